@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from packetloom.operators.materialize import materialize
+
 MICROS = 1_000_000
 
 
@@ -226,6 +228,7 @@ def silence(
     seconds: float,
     inclusive: bool,
     order: Sequence[str] = (),
+    derived: bool = False,
 ) -> DataFrame:
     """Rows that are emitted when each emission silences its key for ``seconds``.
 
@@ -236,7 +239,12 @@ def silence(
     blocks are joined to an upper block the same way; only the few entry rows of
     the upper blocks are walked per key.  The entries found on the way down
     then start every block on its own, so a hot key is shared by many tasks.
+
+    The input is read twice, times only and whole rows; ``derived`` writes an
+    input that is itself expensive to a table first.
     """
+    if derived:
+        df = materialize(df)
     width = _width(seconds)
     reach = width + 1 if inclusive else width
     block, upper = width * _BLOCK, width * _BLOCK * _BLOCK
