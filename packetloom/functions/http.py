@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packetloom.functions.packet import latin1, strip, utf8_lossy
+from packetloom.functions.packet import latin1, let, strip, utf8_lossy
 
 CRLF = "\r\n"
 BLANK_LINE = "\r\n\r\n"
@@ -40,11 +40,15 @@ def header_map(block: Column) -> Column:
             strip(_utf8(line.substr(F.locate(":", line) + 1, F.length(line)))).alias("value"),
         ),
     )
-    last = F.filter(
+    return let(
         pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == p["key"]),
+        lambda all_: F.map_from_entries(
+            F.filter(
+                all_,
+                lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == p["key"]),
+            )
+        ),
     )
-    return F.map_from_entries(last)
 
 
 def _content_length(block: Column) -> Column:
@@ -68,20 +72,32 @@ def _frames(text: Column, responses: bool) -> Column:
 
     def step(acc, _):
         cursor = acc["cursor"]
-        found = F.call_function("locate", F.lit(BLANK_LINE), text, cursor + 1) - 1
-        block = _mid(text, cursor, found)
-        words = F.split(F.substring_index(block, CRLF, 1), " ")
-        answer = F.upper(F.get(words, F.lit(0))).startswith("HTTP/")
-        bad = ((F.size(words) < 2) | ~answer) if responses else (F.size(words) < 3)
-        keep = F.lit(True) if responses else ~answer
-        stop = found + 4 + _content_length(block)
-        stuck = acc["stuck"] | (found < 0) | (~bad & (stop > total))
-        one = F.array(F.struct(cursor.alias("start"), found.alias("header_end"), stop.alias("stop")))
-        return F.struct(
-            F.when(stuck, cursor).when(bad, found + 4).otherwise(stop).alias("cursor"),
-            stuck.alias("stuck"),
-            F.when(stuck | bad | ~keep, acc["frames"]).otherwise(F.concat(acc["frames"], one)).alias("frames"),
-        )
+
+        def look(found):
+            block = _mid(text, cursor, found)
+            words = F.split(F.substring_index(block, CRLF, 1), " ")
+            answer = F.upper(F.get(words, F.lit(0))).startswith("HTTP/")
+            bad = ((F.size(words) < 2) | ~answer) if responses else (F.size(words) < 3)
+            seen = F.struct(
+                bad.alias("bad"),
+                (F.lit(True) if responses else ~answer).alias("wanted"),
+                (found + 4 + _content_length(block)).alias("stop"),
+            )
+            return let(seen, lambda m: advance(found, m))
+
+        def advance(found, m):
+            stuck = (found < 0) | (~m["bad"] & (m["stop"] > total))
+            one = F.array(F.struct(cursor.alias("start"), found.alias("header_end"), m["stop"].alias("stop")))
+            return F.struct(
+                F.when(stuck, cursor).when(m["bad"], found + 4).otherwise(m["stop"]).alias("cursor"),
+                stuck.alias("stuck"),
+                F.when(stuck | m["bad"] | ~m["wanted"], acc["frames"])
+                .otherwise(F.concat(acc["frames"], one))
+                .alias("frames"),
+            )
+
+        here = F.call_function("locate", F.lit(BLANK_LINE), text, cursor + 1) - 1
+        return F.when(acc["stuck"], acc).otherwise(let(here, look))
 
     return F.when(
         steps > 0, F.aggregate(F.sequence(F.lit(1), steps), begin, step, lambda a: a.dropFields("stuck"))
@@ -95,16 +111,23 @@ def dechunk(body: Column) -> Column:
 
     def step(acc, _):
         at = acc["at"]
-        line_end = F.call_function("locate", F.lit(CRLF), body, at + 1) - 1
-        word = strip(F.substring_index(_mid(body, at, line_end), ";", 1))
-        size = F.when(word.rlike("^[0-9A-Fa-f]{1,7}$"), F.conv(word, 16, 10).cast("int"))
-        data = line_end + 2
-        done = acc["done"] | (line_end < 0) | size.isNull() | (size == 0) | (data + size > F.length(body))
-        return F.struct(
-            F.when(done, at).otherwise(data + size + 2).alias("at"),
-            done.alias("done"),
-            F.when(done, acc["out"]).otherwise(F.concat(acc["out"], _mid(body, data, data + size))).alias("out"),
-        )
+
+        def look(line_end):
+            word = strip(F.substring_index(_mid(body, at, line_end), ";", 1))
+            size = F.when(word.rlike("^[0-9A-Fa-f]{1,7}$"), F.conv(word, 16, 10).cast("int"))
+            return let(size, lambda n: take(line_end, n))
+
+        def take(line_end, size):
+            data = line_end + 2
+            done = (line_end < 0) | size.isNull() | (size == 0) | (data + size > F.length(body))
+            return F.struct(
+                F.when(done, at).otherwise(data + size + 2).alias("at"),
+                done.alias("done"),
+                F.when(done, acc["out"]).otherwise(F.concat(acc["out"], _mid(body, data, data + size))).alias("out"),
+            )
+
+        here = F.call_function("locate", F.lit(CRLF), body, at + 1) - 1
+        return F.when(acc["done"], acc).otherwise(let(here, look))
 
     return F.when(
         steps > 0, F.aggregate(F.sequence(F.lit(1), steps), begin, step, lambda a: a["out"])
@@ -116,36 +139,55 @@ def http_requests(buf: Column) -> Column:
 
     Chunked bodies are decoded; compressed bodies stay as they are with ``encoded`` set.
     """
-    text = latin1(buf)
-    parsed = _frames(text, responses=False)
+    def message(text, f):
+        return let(
+            F.struct(_mid(text, f["start"], f["header_end"]).alias("block"), _mid(text, f["header_end"] + 4, f["stop"]).alias("body")),
+            lambda m: let(
+                F.struct(
+                    m["block"].alias("block"),
+                    m["body"].alias("body"),
+                    F.split(_utf8(F.substring_index(m["block"], CRLF, 1)), " ").alias("words"),
+                    header_map(m["block"]).alias("headers"),
+                ),
+                lambda p: request(text, f, p),
+            ),
+        )
 
-    def message(f):
-        block = _mid(text, f["start"], f["header_end"])
-        words = F.split(_utf8(F.substring_index(block, CRLF, 1)), " ")
-        headers = header_map(block)
-        body = _mid(text, f["header_end"] + 4, f["stop"])
-        chunked = F.lower(F.coalesce(headers["transfer-encoding"], F.lit(""))).contains("chunked")
-        encoding = F.lower(F.coalesce(headers["content-encoding"], F.lit("")))
+    def request(text, f, p):
+        chunked = F.lower(F.coalesce(p["headers"]["transfer-encoding"], F.lit(""))).contains("chunked")
+        encoding = F.lower(F.coalesce(p["headers"]["content-encoding"], F.lit("")))
         return F.struct(
-            F.get(words, F.lit(0)).alias("method"),
-            F.get(words, F.lit(1)).alias("path"),
-            F.get(words, F.lit(2)).alias("version"),
-            headers.alias("headers"),
-            _bytes(F.when(chunked, dechunk(body)).otherwise(body)).alias("body"),
+            F.get(p["words"], F.lit(0)).alias("method"),
+            F.get(p["words"], F.lit(1)).alias("path"),
+            F.get(p["words"], F.lit(2)).alias("version"),
+            p["headers"].alias("headers"),
+            _bytes(F.when(chunked, dechunk(p["body"])).otherwise(p["body"])).alias("body"),
             _bytes(_mid(text, f["start"], f["stop"])).alias("raw"),
             encoding.rlike("gzip|deflate").alias("encoded"),
         )
 
-    return F.struct(parsed["cursor"].alias("consumed"), F.transform(parsed["frames"], message).alias("messages"))
+    return _messages(buf, False, message)
+
+
+def _messages(buf: Column, responses: bool, message) -> Column:
+    return let(
+        latin1(buf),
+        lambda text: let(
+            _frames(text, responses),
+            lambda parsed: F.struct(
+                parsed["cursor"].alias("consumed"),
+                F.transform(parsed["frames"], lambda f: message(text, f)).alias("messages"),
+            ),
+        ),
+    )
 
 
 def http_responses(buf: Column) -> Column:
     """``struct(consumed, messages)`` of the complete responses in a byte buffer."""
-    text = latin1(buf)
-    parsed = _frames(text, responses=True)
+    def message(text, f):
+        return let(_mid(text, f["start"], f["header_end"]), lambda block: response(text, f, block))
 
-    def message(f):
-        block = _mid(text, f["start"], f["header_end"])
+    def response(text, f, block):
         words = F.split(_utf8(F.substring_index(block, CRLF, 1)), " ")
         return F.struct(
             F.get(words, F.lit(0)).alias("version"),
@@ -156,7 +198,7 @@ def http_responses(buf: Column) -> Column:
             _bytes(_mid(text, f["start"], f["stop"])).alias("raw"),
         )
 
-    return F.struct(parsed["cursor"].alias("consumed"), F.transform(parsed["frames"], message).alias("messages"))
+    return _messages(buf, True, message)
 
 
 def unquote_plus(text: Column) -> Column:

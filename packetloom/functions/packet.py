@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,11 @@ SMTP_COMMANDS = ["EHLO", "HELO", "MAIL FROM", "RCPT TO", "DATA", "QUIT", "RSET",
 POP3_COMMANDS = ["USER", "PASS", "STAT", "LIST", "RETR", "DELE", "NOOP", "RSET", "QUIT", "TOP", "UIDL"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def latin1(payload: Column) -> Column:
     """Bytes as text with one character per byte, so positions are byte positions."""
     return F.decode(payload, "ISO-8859-1")
@@ -138,36 +143,44 @@ def dns_question(payload: Column) -> Column:
 
     def step(acc, _):
         pos = acc["pos"]
-        length = F.coalesce(byte_at(payload, pos), F.lit(0))
-        stop = acc["done"] | (pos >= size) | (length == 0) | (pos + length + 1 >= size)
-        label = utf8_lossy(payload.substr(pos + 2, length))
-        return F.struct(
-            F.when(stop, pos).otherwise(pos + length + 1).alias("pos"),
-            F.when(stop, acc["labels"]).otherwise(F.concat(acc["labels"], F.array(label))).alias("labels"),
-            stop.alias("done"),
-        )
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.expr("1") * F.floor(size / 2).cast("int"))), start, step)
+        def take(length):
+            stop = acc["done"] | (pos >= size) | (length == 0) | (pos + length + 1 >= size)
+            label = utf8_lossy(payload.substr(pos + 2, length))
+            return F.struct(
+                F.when(stop, pos).otherwise(pos + length + 1).alias("pos"),
+                F.when(stop, acc["labels"]).otherwise(F.concat(acc["labels"], F.array(label))).alias("labels"),
+                stop.alias("done"),
+            )
+
+        return let(F.coalesce(byte_at(payload, pos), F.lit(0)), take)
+
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(size / 2).cast("int")))
     questions = byte_at(payload, 4) * 256 + byte_at(payload, 5)
-    pos = walked["pos"]
-    number = byte_at(payload, pos + 1) * 256 + byte_at(payload, pos + 2)
-    kind = None
-    for value, name in DNS_TYPES.items():
-        kind = F.when(number == value, name) if kind is None else kind.when(number == value, name)
-    kind = kind.otherwise(F.concat(F.lit("UNKNOWN("), number, F.lit(")")))
     asked = (size > 12) & (questions > 0)
     empty = F.struct(
         F.lit("unknown").alias("query_type"),
         F.lit(None).cast("string").alias("domain"),
         F.lit(None).cast("string").alias("record_type"),
     )
-    return F.when((size < 12) | size.isNull(), empty).otherwise(
-        F.struct(
+
+    def kind(number):
+        out = None
+        for value, name in DNS_TYPES.items():
+            out = F.when(number == value, name) if out is None else out.when(number == value, name)
+        return out.otherwise(F.concat(F.lit("UNKNOWN("), number.cast("string"), F.lit(")")))
+
+    def answer(walked):
+        pos = walked["pos"]
+        number = byte_at(payload, pos + 1) * 256 + byte_at(payload, pos + 2)
+        return F.struct(
             F.when(byte_at(payload, 2) < 128, "query").otherwise("response").alias("query_type"),
             F.when(asked & (F.size(walked["labels"]) > 0), F.array_join(walked["labels"], ".")).alias("domain"),
-            F.when(asked & (pos + 2 < size), kind).alias("record_type"),
+            F.when(asked & (pos + 2 < size), let(number, kind)).alias("record_type"),
         )
-    )
+
+    found = let(F.aggregate(steps, start, step), answer)
+    return F.when((size < 12) | size.isNull(), empty).otherwise(found)
 
 
 def _lines(text: Column) -> Column:
@@ -179,11 +192,13 @@ def smtp_lines(text: Column) -> Column:
     command = lambda line: F.upper(line).rlike("^(?:" + "|".join(SMTP_COMMANDS) + ")")
     response = lambda line: line.rlike(r"^\d{3}\s")
     email = lambda line: line.contains("@") & F.lower(line).rlike("from:|to:")
-    lines = _lines(text)
-    return F.struct(
-        F.filter(lines, command).alias("commands"),
-        F.filter(lines, lambda line: ~command(line) & response(line)).alias("responses"),
-        F.filter(lines, lambda line: ~command(line) & ~response(line) & email(line)).alias("emails"),
+    return let(
+        _lines(text),
+        lambda lines: F.struct(
+            F.filter(lines, command).alias("commands"),
+            F.filter(lines, lambda line: ~command(line) & response(line)).alias("responses"),
+            F.filter(lines, lambda line: ~command(line) & ~response(line) & email(line)).alias("emails"),
+        ),
     )
 
 
@@ -191,10 +206,12 @@ def pop3_lines(text: Column) -> Column:
     """``struct(commands, responses)`` of the lines of a POP3 text."""
     command = lambda line: F.upper(line).rlike("^(?:" + "|".join(POP3_COMMANDS) + ")")
     response = lambda line: line.startswith("+OK") | line.startswith("-ERR")
-    lines = _lines(text)
-    return F.struct(
-        F.filter(lines, command).alias("commands"),
-        F.filter(lines, lambda line: ~command(line) & response(line)).alias("responses"),
+    return let(
+        _lines(text),
+        lambda lines: F.struct(
+            F.filter(lines, command).alias("commands"),
+            F.filter(lines, lambda line: ~command(line) & response(line)).alias("responses"),
+        ),
     )
 
 
@@ -211,13 +228,8 @@ def sticky_buffers(app: Column, proto: Column, payload: Column) -> Column:
     """Named byte buffers that rules may ask for besides the raw payload."""
     carried = F.upper(proto).isin("TCP", "UDP") & (F.length(payload) > 0)
     text = utf8_lossy(payload)
-    dns = dns_question(payload)
     query = F.when(
-        carried & (app == "dns"),
-        F.when(
-            dns["domain"].isNotNull(),
-            F.concat_ws("\n", dns["domain"], dns["record_type"]),
-        ),
+        carried & (app == "dns"), let(dns_question(payload), lambda q: F.concat_ws("\n", q["domain"], q["record_type"]))
     )
     smtp = F.when(carried & (app == "smtp"), F.array_join(smtp_lines(text)["commands"], "\n"))
     pop = F.when(carried & (app == "pop3"), F.array_join(pop3_lines(text)["commands"], "\n"))

@@ -205,5 +205,5 @@ def byte_test(payload: Column, test: Column) -> Column:
 
 
 def _bits(value: Column) -> Column:
-    half = F.lit(2**63).cast("decimal(20,0)")
+    half = F.lit(str(2**63)).cast("decimal(20,0)")
     return F.when(value >= half, (value - half - half).cast("bigint")).otherwise(value.cast("bigint"))

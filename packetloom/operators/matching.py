@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.packet import ascii_lower, flag_set, latin1, utf8_lossy
+from packetloom.functions.packet import ascii_lower, flag_set, latin1, let, utf8_lossy
 from packetloom.functions.rules import (
     address_matches,
     address_spec,
@@ -25,6 +25,7 @@ from packetloom.functions.rules import (
     size_spec,
 )
 from packetloom.operators.joins import lookup_join
+from packetloom.operators.materialize import materialize
 
 GRAM = 4
 KEYED_PORTS = 64  # rules naming at most this many ports are joined on the port
@@ -178,8 +179,16 @@ def candidates(packets: DataFrame, rules: DataFrame) -> DataFrame:
     (or any), packets carry the four keys they can meet, and a rule meets a
     packet under one key only, so the join is an equi-join without duplicates.
     """
-    keyed = compile_rules(rules).withColumn("_key", F.explode(header_keys(F.col("r"))))
-    return _with_rules(_numbered(packets), keyed)
+    return _with_rules(_numbered(packets), _keyed(_compiled(rules)))
+
+
+def _compiled(rules: DataFrame) -> DataFrame:
+    """Compiled rules as a small table of their own: prepared once, not inside every plan."""
+    return materialize(compile_rules(rules))
+
+
+def _keyed(compiled: DataFrame) -> DataFrame:
+    return materialize(compiled.withColumn("_key", F.explode(header_keys(F.col("r")))))
 
 
 def _numbered(packets: DataFrame) -> DataFrame:
@@ -214,19 +223,23 @@ def content_chain(text: Column, low: Column, contents: Column) -> Column:
         length = F.length(c["text"])
         moved = at + F.when(c["distance"] >= 0, c["distance"]).otherwise(0)
         later = F.when(c["offset"] >= 0, F.greatest(moved, c["offset"])).otherwise(moved)
-        start = F.when(first, F.greatest(F.coalesce(c["offset"], F.lit(0)), F.lit(0))).otherwise(later)
-        base = F.when(c["offset"] >= 0, c["offset"]).otherwise(start)
-        reach = F.when(c["depth"] >= 0, F.least(size, base + c["depth"])).otherwise(size)
-        near = F.when(~first & (c["within"] >= 0), at + c["within"] + length)
-        end = F.when(near.isNotNull(), F.least(reach, near)).otherwise(reach)
-        segment = F.when(c["nocase"], low).otherwise(text).substr(start + 1, F.greatest(end - start, F.lit(0)))
-        hit = F.call_function("locate", c["text"], segment)
-        ok = acc["ok"] & (end >= start) & (start <= size) & (hit > 0)
-        return F.struct(
-            F.when(ok, start + hit - 1 + length).otherwise(at).alias("at"),
-            ok.alias("ok"),
-            F.lit(False).alias("first"),
-        )
+        begins = F.when(first, F.greatest(F.coalesce(c["offset"], F.lit(0)), F.lit(0))).otherwise(later)
+
+        def search(start):
+            base = F.when(c["offset"] >= 0, c["offset"]).otherwise(start)
+            reach = F.when(c["depth"] >= 0, F.least(size, base + c["depth"])).otherwise(size)
+            near = F.when(~first & (c["within"] >= 0), at + c["within"] + length)
+            end = F.least(reach, near)  # ignores a missing bound
+            segment = F.when(c["nocase"], low).otherwise(text).substr(start + 1, F.greatest(end - start, F.lit(0)))
+            hit = F.when((end >= start) & (start <= size), F.call_function("locate", c["text"], segment))
+            return F.when(hit > 0, start + hit - 1 + length)
+
+        def advance(stop):
+            return F.struct(
+                F.coalesce(stop, at).alias("at"), stop.isNotNull().alias("ok"), F.lit(False).alias("first")
+            )
+
+        return F.when(acc["ok"], let(let(begins, search), advance)).otherwise(acc)
 
     begin = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"), F.lit(True).alias("first"))
     return F.coalesce(F.aggregate(contents, begin, step, lambda acc: acc["ok"]), F.lit(False))
@@ -309,24 +322,23 @@ def _verified(pairs: DataFrame) -> DataFrame:
     bytes_ = F.when(whole, F.col("payload")).otherwise(sticky)
     size = F.coalesce(F.length(bytes_), F.lit(0))
     literal = F.when(r["anchor"].isNull(), F.lit(True)).when(r["anchor_nocase"], F.contains(low, r["anchor"])).otherwise(F.contains(text, r["anchor"]))
-    utf8 = utf8_lossy(bytes_)
-    head = F.get(r["regexes"], F.lit(0))
-    at = F.call_function("regexp_instr", utf8, head) - 1
-    shown = F.call_function("regexp_extract", utf8, head, F.lit(0))
-    regex_span = F.struct(
-        (at + F.length(shown)).alias("stop"), F.lit(0).alias("order"), at.alias("start"), shown.alias("shown")
-    )
+
+    def regex_span(utf8):
+        head = F.get(r["regexes"], F.lit(0))
+        at = F.call_function("regexp_instr", utf8, head) - 1
+        shown = F.call_function("regexp_extract", utf8, head, F.lit(0))
+        span = F.struct(
+            (at + F.length(shown)).alias("stop"), F.lit(0).alias("order"), at.alias("start"), shown.alias("shown")
+        )
+        checked = let(span, lambda s: F.when(_data_ok(r["checks"], size, s["stop"]), s))
+        return F.when(regex_all(utf8, r["regexes"]), checked)
+
     none = F.lit(None).cast("int")
     test_span = F.struct(none.alias("stop"), F.lit(0).alias("order"), none.alias("start"), F.lit("byte_test").alias("shown"))
     chain = ~r["chained"] | content_chain(text, low, r["contents"])
     found = (
         F.when((r["kind"] == "string") & (size > 0), F.when(chain, _first_literal(r, text, low, size)))
-        .when(
-            (r["kind"] == "pcre") & (size > 0),
-            F.when(
-                chain, F.when(regex_all(utf8, r["regexes"]), F.when(_data_ok(r["checks"], size, at + F.length(shown)), regex_span))
-            ),
-        )
+        .when((r["kind"] == "pcre") & (size > 0), F.when(chain, let(utf8_lossy(bytes_), regex_span)))
         .when(r["kind"] == "byte_test", F.when(_data_ok(r["checks"], size, F.lit(0)) & (F.size(r["tests"]) > 0) & chain, test_span))
     )
     return (
@@ -357,16 +369,15 @@ def match_packets(packets: DataFrame, rules: DataFrame, anchored: bool = False)
     bytes or more are then found by an equi-join on one piece of their longest
     literal, all others by header as usual.
     """
-    compiled = compile_rules(rules)
+    compiled = _compiled(rules)
     ready = _prepared(packets)
     r = F.col("r")
-    by_header = compiled.withColumn("_key", F.explode(header_keys(r)))
     if not anchored:
-        return _verified(_with_rules(ready, by_header))
+        return _verified(_with_rules(ready, _keyed(compiled)))
     gram = ascii_lower(r["anchor"]).cast("binary").substr(1, GRAM)
     long_enough = (r["buffer"] == "raw") & (F.length(r["anchor"]) >= GRAM)
-    by_gram = compiled.filter(F.coalesce(long_enough, F.lit(False))).withColumn("_gram", gram)
-    others = by_header.filter(~F.coalesce(long_enough, F.lit(False)))
+    by_gram = materialize(compiled.filter(F.coalesce(long_enough, F.lit(False))).withColumn("_gram", gram))
+    others = _keyed(compiled.filter(~F.coalesce(long_enough, F.lit(False))))
     low = F.col("_low").cast("binary")
     pieces = ready.withColumn("_gram", F.explode(_grams(low, GRAM)))
     proto = F.coalesce(F.upper("proto"), F.lit("IP"))

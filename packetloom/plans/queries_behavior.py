@@ -121,26 +121,25 @@ _SAMPLES = f"""samples AS (SELECT src_ip, date_trunc('day', ts) AS day, count(*)
           FROM numbered WHERE n = 1
         UNION ALL
         SELECT s.src_ip, s.n, s.day, s.packet_no, s.pps, s.bps, f.avg_pps, f.avg_bps,
-          0.3::DOUBLE * s.pps + 0.7::DOUBLE * f.avg_pps, 0.3::DOUBLE * s.bps + 0.7::DOUBLE * f.avg_bps
+          s.pps / 3 + f.avg_pps * 2 / 3, s.bps / 3 + f.avg_bps * 2 / 3
           FROM folded f JOIN numbered s ON s.src_ip = f.src_ip AND s.n = f.n + 1)"""
 
 
 @query(
     "b6_ewma",
     f"""WITH RECURSIVE {PACKETS}, {_SAMPLES}
-      SELECT src_ip, n, round(avg_pps * 86400 + 3e-11, 9) AS avg_pps, round(prior_pps * 86400 + 3e-11, 9) AS prior_pps FROM folded""",
+      SELECT src_ip, n, round(avg_pps * 86400, 9) AS avg_pps, round(prior_pps * 86400, 9) AS prior_pps FROM folded""",
 )
 def _(spark, sf):
     from packetloom.operators.windows import MICROS, ewma
 
     samples = behavior.traffic_samples(t.packets(spark, sf), F.col("size"), DAY)
-    # the small shift keeps exact decimal ties from rounding by their last bit
-    out = ewma(samples, ["src_ip"], "us", {"avg_pps": "pps"}, 0.3, 3600 * DAY * MICROS).filter("own")
+    out = ewma(samples, ["src_ip"], "us", {"avg_pps": "pps"}, 1 / 3, 3600 * DAY * MICROS).filter("own")
     return out.select(
         "src_ip",
         "n",
-        F.round(F.col("avg_pps") * 86400 + 3e-11, 9).alias("avg_pps"),
-        F.round(F.col("avg_pps_prior") * 86400 + 3e-11, 9).alias("prior_pps"),
+        F.round(F.col("avg_pps") * 86400, 9).alias("avg_pps"),
+        F.round(F.col("avg_pps_prior") * 86400, 9).alias("prior_pps"),
     )
 
 
@@ -156,7 +155,7 @@ def _spike_sql(base: str) -> str:
 
 def _spikes(spark, sf, baseline):
     found = behavior.traffic_spike(
-        t.packets(spark, sf), F.col("size"), DAY, 0.3, 1.3, warmup=4, sustain=2, baseline=baseline, cooldown=4 * DAY
+        t.packets(spark, sf), F.col("size"), DAY, 1 / 3, 1.3, warmup=4, sustain=2, baseline=baseline, cooldown=4 * DAY
     )
     return found.select("src_ip", "ts", "packet_no")
 
