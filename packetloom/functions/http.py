@@ -55,7 +55,7 @@ def _content_length(block: Column) -> Column:
     values = F.regexp_extract_all(
         block, F.lit(r"(?is)\r\n[ \t]*content-length[ \t]*:((?:(?!\r\n).)*)"), F.lit(1)
     )
-    value = strip(F.element_at(values, -1))
+    value = strip(F.try_element_at(values, F.lit(-1)))
     return F.when(F.size(values) > 0, F.greatest(F.coalesce(value.try_cast("int"), F.lit(0)), F.lit(0))).otherwise(0)
 
 

@@ -217,7 +217,7 @@ def pop3_lines(text: Column) -> Column:
 
 def request_line(text: Column) -> Column:
     """``struct(method, uri, version)`` of the first line if it has three words."""
-    words = F.split(strip(F.element_at(F.split(text, "\n"), 1)), r"\s+")
+    words = F.split(strip(F.try_element_at(F.split(text, "\n"), F.lit(1))), r"\s+")
     enough = F.size(words) >= 3
     return F.struct(
         *[F.when(enough, F.get(words, F.lit(i))).alias(n) for i, n in enumerate(["method", "uri", "version"])]

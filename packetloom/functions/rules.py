@@ -37,7 +37,7 @@ def java_regex(text: Column) -> Column:
 def ip_number(ip: Column) -> Column:
     """IPv4 address as a number, null for anything else."""
     parts = F.split(ip, r"\.")
-    number = sum(F.get(parts, F.lit(i)).cast("bigint") * 256 ** (3 - i) for i in range(4))
+    number = sum(F.get(parts, F.lit(i)).try_cast("bigint") * 256 ** (3 - i) for i in range(4))
     valid = ip.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$")
     return F.when(valid, number)
 

@@ -64,7 +64,10 @@ def compile_rules(rules: DataFrame) -> DataFrame:
         )
 
     contents = F.filter(F.transform(texts, content), lambda c: F.length(c["text"]) > 0)
-    longest = F.element_at(F.array_sort(F.transform(contents, lambda c: F.struct(F.length(c["text"]), c["text"].alias("text"), c["nocase"].alias("nocase")))), -1)
+    sized = F.transform(
+        contents, lambda c: F.struct(F.length(c["text"]).alias("n"), c["text"].alias("text"), c["nocase"].alias("nocase"))
+    )
+    longest = F.array_max(sized)
     buffer = (
         F.when(F.coalesce(md["dns_query"], F.lit(False)), "dns_query")
         .when(F.coalesce(md["smtp_command"], F.lit(False)), "smtp_command")
@@ -247,12 +250,17 @@ def content_chain(text: Column, low: Column, contents: Column) -> Column:
 
 def occurrences(haystack: Column, needle: Column) -> Column:
     """Zero-based starts of all, also overlapping, occurrences (binary columns)."""
-    length = F.length(needle)
-    last = F.length(haystack) - length
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: haystack.substr(i + 1, length) == needle
-    )
-    return F.when((last >= 0) & (length > 0), starts).otherwise(F.array().cast("array<int>"))
+
+    def scan(hay):
+        return let(needle, lambda lit: starts(hay, lit))
+
+    def starts(hay, lit):
+        length = F.length(lit)
+        last = F.length(hay) - length
+        all_ = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: hay.substr(i + 1, length) == lit)
+        return F.when((last >= 0) & (length > 0), all_).otherwise(F.array().cast("array<int>"))
+
+    return let(haystack, scan)
 
 
 def regex_all(text: Column, regexes: Column) -> Column:
@@ -315,7 +323,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
     """Candidate pairs whose content options hold, with the first match of each pair."""
     r = F.col("r")
     raw = r["buffer"] == "raw"
-    sticky = F.element_at("buffers", r["buffer"])
+    sticky = F.try_element_at("buffers", r["buffer"])
     whole = raw | (r["kind"] == "byte_test")
     text = F.when(whole, F.col("_text")).otherwise(latin1(sticky))
     low = F.when(whole, F.col("_low")).otherwise(ascii_lower(latin1(sticky)))
@@ -374,11 +382,11 @@ def match_packets(packets: DataFrame, rules: DataFrame, anchored: bool = False)
     r = F.col("r")
     if not anchored:
         return _verified(_with_rules(ready, _keyed(compiled)))
-    gram = ascii_lower(r["anchor"]).cast("binary").substr(1, GRAM)
+    gram = ascii_lower(r["anchor"]).substr(1, GRAM)
     long_enough = (r["buffer"] == "raw") & (F.length(r["anchor"]) >= GRAM)
     by_gram = materialize(compiled.filter(F.coalesce(long_enough, F.lit(False))).withColumn("_gram", gram))
     others = _keyed(compiled.filter(~F.coalesce(long_enough, F.lit(False))))
-    low = F.col("_low").cast("binary")
+    low = F.encode("_low", "ISO-8859-1")
     pieces = ready.withColumn("_gram", F.explode(_grams(low, GRAM)))
     proto = F.coalesce(F.upper("proto"), F.lit("IP"))
     found = (
@@ -392,12 +400,16 @@ def match_packets(packets: DataFrame, rules: DataFrame, anchored: bool = False)
 
 
 def _grams(data: Column, size: int) -> Column:
-    """Distinct pieces of ``size`` bytes."""
-    last = F.length(data) - size
-    return F.when(
-        last >= 0,
-        F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: data.substr(i + 1, F.lit(size)))),
-    )
+    """Distinct pieces of ``size`` bytes as text (bytes have no hashed distinct in Spark)."""
+
+    def cut(bytes_):
+        last = F.length(bytes_) - size
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: latin1(bytes_.substr(i + 1, F.lit(size)))
+        )
+        return F.when(last >= 0, F.array_distinct(pieces))
+
+    return let(data, cut)
 
 
 def literal_matches(payloads: DataFrame, literals: DataFrame, key: str = "packet_no") -> DataFrame:
@@ -411,8 +423,8 @@ def literal_matches(payloads: DataFrame, literals: DataFrame, key: str = "packet
     size = F.least(F.length("_needle"), F.lit(GRAM))
     # at most GRAM different piece lengths
     lengths = sorted(row[0] for row in prepared.select(size).distinct().collect())
-    anchors = prepared.select("rule_id", "literal", "_l", "_needle", F.col("_needle").substr(F.lit(1), size).alias("_gram"))
-    grams = F.concat(*[F.coalesce(_grams(F.col("payload"), n), F.array().cast("array<binary>")) for n in lengths])
+    anchors = prepared.select("rule_id", "literal", "_l", "_needle", F.col("_l").substr(F.lit(1), size).alias("_gram"))
+    grams = F.concat(*[F.coalesce(_grams(F.col("payload"), n), F.array().cast("array<string>")) for n in lengths])
     pieces = payloads.select(key, "payload", F.explode(grams).alias("_gram"))
     pairs = lookup_join(pieces, anchors, ["_gram"])
     start = F.explode(occurrences(F.col("payload"), F.col("_needle")))

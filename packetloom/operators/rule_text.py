@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.packet import strip
 from packetloom.functions.rules import literal_bytes, port_items
 from packetloom.operators.joins import lookup_join
+from packetloom.operators.materialize import materialize
 from packetloom.schemas import BYTE_TEST, ISDATAAT
 
 # Rule line shape, option patterns, variables, class tables.
@@ -164,7 +165,7 @@ def content_items(options: Column) -> Column:
         fresh = F.aggregate(inline, fresh, lambda item, token: _modified(item, token)[1])
         starts = part.startswith("content:")
         n = F.size(acc["items"])
-        applied, changed = _modified(F.element_at(acc["items"], -1), part)
+        applied, changed = _modified(F.try_element_at(acc["items"], F.lit(-1)), part)
         extends = acc["open"] & ~F.lower(part).rlike(ENDS_CONTENT) & applied
         return F.struct(
             F.when(starts & (text != ""), F.concat(acc["items"], F.array(fresh)))
@@ -269,8 +270,8 @@ def _substituted(rules: DataFrame, column: str, resolved: DataFrame) -> DataFram
 def convert_rules(lines: DataFrame, variables: DataFrame, line: str = "line") -> DataFrame:
     """Rule rows of all readable rule lines (columns of the rules schema)."""
     parsed = split_header(lines, line).filter("parsed")
-    # the variable table is a few dozen rows; its resolved form is needed four times
-    resolved = resolve_variables(variables)
+    # needed four times below
+    resolved = materialize(resolve_variables(variables))
     for column in ("src", "dst", "src_port", "dst_port"):
         parsed = _substituted(parsed, column, resolved)
     options = F.col("options")

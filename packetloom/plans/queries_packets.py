@@ -134,8 +134,8 @@ def _(spark, sf):
         f"cast(array_join(transform(split({_HOST}, '[.]'), l -> concat(chr(length(l)), l)), '') as binary), "
         "unhex(concat('00', array('0001', '001C', '000F', '0063')[page_id % 4], '0001')))"
     )
-    out = packet.dns_question(question)
-    return t.read(spark, sf, "pages").select("page_id", out.alias("q")).select("page_id", "q.*")
+    asked = t.read(spark, sf, "pages").select("page_id", question.alias("payload"))
+    return asked.select("page_id", packet.dns_question(F.col("payload")).alias("q")).select("page_id", "q.*")
 
 
 # every line of a document becomes a mail line of one of four shapes
