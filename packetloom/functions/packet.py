@@ -128,7 +128,10 @@ def has_flag(flags: Column, letter: str) -> Column:
 def header_projection(packets: DataFrame) -> DataFrame:
     """Packets with an IP protocol; ICMP carries type and code in the port columns."""
     icmp = F.col("proto") == "ICMP"
-    return packets.filter(F.col("proto").isNotNull()).withColumns(
+    known = packets.filter(F.col("proto").isNotNull())
+    if "icmp_type" not in packets.columns:
+        return known
+    return known.withColumns(
         {
             "src_port": F.when(icmp, F.col("icmp_type")).otherwise(F.col("src_port")),
             "dst_port": F.when(icmp, F.col("icmp_code")).otherwise(F.col("dst_port")),
@@ -155,7 +158,7 @@ def dns_question(payload: Column) -> Column:
 
         return let(F.coalesce(byte_at(payload, pos), F.lit(0)), take)
 
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(size / 2).cast("int")))
+    few, all_ = F.sequence(F.lit(1), F.lit(32)), F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(size / 2).cast("int")))
     questions = byte_at(payload, 4) * 256 + byte_at(payload, 5)
     asked = (size > 12) & (questions > 0)
     empty = F.struct(
@@ -179,7 +182,11 @@ def dns_question(payload: Column) -> Column:
             F.when(asked & (pos + 2 < size), let(number, kind)).alias("record_type"),
         )
 
-    found = let(F.aggregate(steps, start, step), answer)
+    # names have few labels; only a longer walk goes on over the whole payload
+    found = let(
+        F.aggregate(few, start, step),
+        lambda w: F.when(w["done"], answer(w)).otherwise(let(F.aggregate(all_, w, step), answer)),
+    )
     return F.when((size < 12) | size.isNull(), empty).otherwise(found)
 
 

@@ -48,38 +48,49 @@ def flow_state(packets: DataFrame) -> DataFrame:
     ).drop("_syn", "_answer", "_ack")
 
 
-def reassemble(segments: DataFrame) -> DataFrame:
-    """Pieces of new data per flow: ``flow, arrival, start, data, contiguous``.
-
-    ``segments`` has ``flow, arrival, seq, data``.  The stream starts at the first
-    segment that arrived; data before it and data already seen is cut off, of
-    equal starts the longest segment counts.  ``contiguous`` is false from the
-    first hole on.
+def reassembly_cuts(segments: DataFrame) -> DataFrame:
+    """Where each segment's new data starts: ``flow, arrival, start, skip, contiguous``.
+
+    ``segments`` has ``flow, arrival, seq, size`` and no data, so the shuffles
+    carry a few numbers per segment.  The stream starts at the first segment that
+    arrived; what lies before it or was seen already is skipped, of equal starts
+    the longest segment counts, segments without new data are left out.
+    ``contiguous`` is false from the first hole on.
     """
-    size = F.length("data")
-    present = segments.filter(size > 0)
+    present = segments.filter("size > 0").select("flow", "arrival", F.col("seq").cast("bigint"), F.col("size").cast("bigint"))
     base = present.groupBy("flow").agg(F.min_by("seq", "arrival").alias("_base"))
     seen = running(
         present,
         ["flow"],
         F.col("seq"),
-        ["seq", F.length("data").desc(), "arrival"],
-        {"_until": ("max", F.col("seq") + size)},
+        ["seq", F.desc("size"), "arrival"],
+        {"_until": ("max", F.col("seq") + F.col("size"))},
         SEQUENCE_CELL,
         include_current=False,
     ).join(base, "flow")
     until = F.greatest(F.coalesce("_until", "_base"), F.col("_base"))
     start = F.greatest(F.col("seq"), until)
-    pieces = seen.filter(F.col("seq") + size > start).select(
-        "flow",
-        "arrival",
-        start.alias("start"),
-        F.substring("data", (start - F.col("seq") + 1).cast("int"), F.length("data")).alias("data"),
-        (F.col("seq") > until).alias("_hole"),
+    pieces = seen.filter(F.col("seq") + F.col("size") > start).select(
+        "flow", "arrival", start.alias("start"), (start - F.col("seq")).alias("skip"), (F.col("seq") > until).alias("_hole")
     )
-    holes = pieces.groupBy("flow").agg(F.min(F.when(F.col("_hole"), F.col("start"))).alias("_first"))
-    return pieces.join(holes, "flow").select(
-        "flow", "arrival", "start", "data", (F.col("_first").isNull() | (F.col("start") < F.col("_first"))).alias("contiguous")
+    holes = pieces.filter("_hole").groupBy("flow").agg(F.min("start").alias("_first"))
+    return pieces.join(holes, "flow", "left").select(
+        "flow", "arrival", "start", "skip", (F.col("_first").isNull() | (F.col("start") < F.col("_first"))).alias("contiguous")
+    )
+
+
+def reassemble(segments: DataFrame) -> DataFrame:
+    """Pieces of new data per flow: ``flow, arrival, start, data, contiguous``.
+
+    ``segments`` has ``flow, arrival, seq, data``; the data is shuffled once, to
+    meet its cut.
+    """
+    cuts = reassembly_cuts(segments.select("flow", "arrival", "seq", F.length("data").alias("size")))
+    new = F.substring("data", (F.col("skip") + 1).cast("int"), F.length("data"))
+    return (
+        segments.select("flow", "arrival", "data")
+        .join(cuts, ["flow", "arrival"])
+        .select("flow", "arrival", "start", new.alias("data"), "contiguous")
     )
 
 
@@ -136,8 +147,8 @@ def live_contexts(events: DataFrame, now, timeout: float = 300) -> DataFrame:
     )
 
 
-def dedupe_requests(requests: DataFrame, seconds: float = 2) -> DataFrame:
+def dedupe_requests(requests: DataFrame, seconds: float = 2, derived: bool = False) -> DataFrame:
     """Requests whose raw bytes were not processed on the same flow in the last ``seconds``."""
     return silence(
-        requests.withColumn("_hash", F.sha1("raw")), ["flow", "_hash"], "ts", seconds, True, ["packet_no", "msg_no"]
+        requests.withColumn("_hash", F.sha1("raw")), ["flow", "_hash"], "ts", seconds, True, ["packet_no", "msg_no"], derived
     ).drop("_hash")

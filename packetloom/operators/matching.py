@@ -6,6 +6,8 @@ packet is shuffled while the rule table is small enough to broadcast.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,19 +177,29 @@ def specificity(r: Column) -> Column:
     )
 
 
-def candidates(packets: DataFrame, rules: DataFrame) -> DataFrame:
+def candidates(packets: DataFrame, rules: DataFrame | PreparedRules) -> DataFrame:
     """Packet and rule pairs whose protocol, direction, addresses and ports fit.
 
     Adds ``rule_id, r, score``.  Rules are keyed by protocol and destination port
     (or any), packets carry the four keys they can meet, and a rule meets a
     packet under one key only, so the join is an equi-join without duplicates.
     """
-    return _with_rules(_numbered(packets), _keyed(_compiled(rules)))
+    return _with_rules(_numbered(packets), prepare_rules(rules).keyed)
+
+
+@dataclass(frozen=True)
+class PreparedRules:
+    """Compiled rules as small tables of their own, prepared once and used by many plans."""
 
+    compiled: DataFrame
+    keyed: DataFrame
 
-def _compiled(rules: DataFrame) -> DataFrame:
-    """Compiled rules as a small table of their own: prepared once, not inside every plan."""
-    return materialize(compile_rules(rules))
+
+def prepare_rules(rules: DataFrame | PreparedRules) -> PreparedRules:
+    if isinstance(rules, PreparedRules):
+        return rules
+    compiled = materialize(compile_rules(rules))
+    return PreparedRules(compiled, _keyed(compiled))
 
 
 def _keyed(compiled: DataFrame) -> DataFrame:
@@ -294,7 +306,7 @@ def _first_literal(r: Column, text: Column, low: Column, size: Column) -> Column
 
 
 def packet_filters(r: Column, size: Column) -> Column:
-    """Size, application, header field, flag and flow options of a rule."""
+    """Size, application, header field and flag options of a rule."""
     no = F.lit(False)
     return (
         F.coalesce(size_matches(r["size"], size), no)
@@ -305,10 +317,14 @@ def packet_filters(r: Column, size: Column) -> Column:
             r["flags"].isNull()
             | ((F.size(r["flags"]) > 0) & (F.size(F.array_except(r["flags"], F.col("_flags"))) == 0))
         )
-        & flow_matches(r["flow"], F.col("flow_dir"), F.col("flow_established"), F.col("stream"))
     )
 
 
+def flow_filter(tokens: Column) -> Column:
+    """Flow keywords against the flow columns of the packet."""
+    return flow_matches(tokens, F.col("flow_dir"), F.col("flow_established"), F.col("stream"))
+
+
 def _prepared(packets: DataFrame) -> DataFrame:
     """Packets with all columns rules look at; payload texts are computed once per packet."""
     missing = {c: F.lit(None).cast(t) for c, t in PACKET_DEFAULTS.items() if c not in packets.columns}
@@ -319,9 +335,11 @@ def _prepared(packets: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, defer_flow: bool) -> DataFrame:
     """Candidate pairs whose content options hold, with the first match of each pair."""
     r = F.col("r")
+    if not defer_flow:
+        pairs = pairs.filter(flow_filter(r["flow"]))
     raw = r["buffer"] == "raw"
     sticky = F.try_element_at("buffers", r["buffer"])
     whole = raw | (r["kind"] == "byte_test")
@@ -363,25 +381,31 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 "buffer": r["buffer"],
                 "message": r["description"],
                 "priority": r["priority"],
+                **({"flow_tokens": r["flow"]} if defer_flow else {}),
             }
         )
         .drop("_m", "r", "_text", "_low", "_flags", "src_number", "dst_number")
     )
 
 
-def match_packets(packets: DataFrame, rules: DataFrame, anchored: bool = False) -> DataFrame:
+def match_packets(
+    packets: DataFrame, rules: DataFrame | PreparedRules, anchored: bool = False, defer_flow: bool = False
+) -> DataFrame:
     """First match per packet and rule, with the packet's columns.
 
     ``anchored`` is for rule sets so large that testing every literal costs more
     than cutting the payload into 4-byte pieces: rules with a literal of four
     bytes or more are then found by an equi-join on one piece of their longest
-    literal, all others by header as usual.
+    literal, all others by header as usual.  With ``defer_flow`` the flow
+    keywords are not tested but handed on as ``flow_tokens``, so that the flow
+    state has to be joined to the matches only.
     """
-    compiled = _compiled(rules)
+    prepared = prepare_rules(rules)
+    compiled = prepared.compiled
     ready = _prepared(packets)
     r = F.col("r")
     if not anchored:
-        return _verified(_with_rules(ready, _keyed(compiled)))
+        return _verified(_with_rules(ready, prepared.keyed), defer_flow)
     gram = ascii_lower(r["anchor"]).substr(1, GRAM)
     long_enough = (r["buffer"] == "raw") & (F.length(r["anchor"]) >= GRAM)
     by_gram = materialize(compiled.filter(F.coalesce(long_enough, F.lit(False))).withColumn("_gram", gram))
@@ -396,7 +420,7 @@ def match_packets(packets: DataFrame, rules: DataFrame, anchored: bool = False)
         .withColumn("score", specificity(r))
         .drop("_gram")
     )
-    return _verified(found).unionByName(_verified(_with_rules(ready, others)))
+    return _verified(found, defer_flow).unionByName(_verified(_with_rules(ready, others), defer_flow))
 
 
 def _grams(data: Column, size: int) -> Column:

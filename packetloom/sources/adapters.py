@@ -161,3 +161,31 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "substring(data, 4, length(data) - 3) as data",
     )
     return plain.unionByName(again).unionByName(ahead)
+
+
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed capture: documents as single packets, pages as requests in two segments, events without payload."""
+    docs = payloads(spark, sf_dir).selectExpr(
+        "packet_no", "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, packet_no) as ts", "src_ip", "dst_ip",
+        "src_port", "dst_port", "proto", "ip_id", "ip_proto", "tcp_flags", "cast(1000 as bigint) as seq", "payload",
+        "length(payload) as size",
+    )
+    half = "(length(buf) div 2)"
+    pages = http_pages(spark, sf_dir).selectExpr(
+        "page_id",
+        f"inline(array(struct(0 as part, substring(buf, 1, {half}) as payload), struct(1 as part, substring(buf, {half} + 1, length(buf)) as payload)))",
+        f"{half} as half",
+    )
+    web = pages.selectExpr(
+        "1000000000 + page_id * 2 + part as packet_no",
+        "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id * 3 + part) as ts",
+        "concat('10.2.0.', cast(page_id % 50 as string)) as src_ip", "'192.168.0.80' as dst_ip",
+        "cast(2000 + page_id as int) as src_port", "80 as dst_port", "'TCP' as proto", "cast(page_id as int) as ip_id",
+        "6 as ip_proto", "'PA' as tcp_flags", "cast(1000 + part * half as bigint) as seq", "payload", "length(payload) as size",
+    )
+    bare = packets(spark, sf_dir).selectExpr(
+        "2000000000 + packet_no as packet_no", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "proto",
+        "cast(packet_no % 65536 as int) as ip_id", "if(proto = 'TCP', 6, 17) as ip_proto", "tcp_flags",
+        "cast(1000 as bigint) as seq", "cast(null as binary) as payload", "size",
+    )
+    return docs.unionByName(web).unionByName(bare)
