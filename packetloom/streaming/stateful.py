@@ -21,8 +21,10 @@ WATERMARK = "10 minutes"
 
 
 def _grouped(stream: DataFrame, keys: Sequence[str], watermark: str, names: list[str]):
+    # the watermark is bound to ts, so ts has to reach the stateful operator
     marked = stream.withWatermark("ts", watermark)
-    return marked.withColumn("us", micros("ts")).select(*keys, "us", *[n for n in names if n not in keys]).groupBy(*keys)
+    rest = [n for n in names if n not in keys and n != "ts"]
+    return marked.withColumn("us", micros("ts")).select(*keys, "ts", "us", *rest).groupBy(*keys)
 
 
 def _ordered(frames, columns=("us", "packet_no")) -> pd.DataFrame:
