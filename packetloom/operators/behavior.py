@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from packetloom.functions.alerts import behavior_topic, rule_topic
 from packetloom.functions.http import LOGIN_PORTS, LOGIN_WORDS
 from packetloom.functions.packet import latin1
+from packetloom.operators.joins import lookup_join
 from packetloom.operators.materialize import materialize
 from packetloom.operators.windows import (
     MICROS,
@@ -37,11 +38,9 @@ def high_connection_rate(
     cooldown: float | None = 120,
 ) -> DataFrame:
     """Many connections between two hosts, with several targets or ports touched."""
-    conns = packets.select(
-        "ts", "src_ip", "dst_ip", "dst_port", F.lower("proto").alias("proto"), F.struct("packet_no", "dst_port").alias("head")
-    )
+    conns = packets.select("ts", "src_ip", "dst_ip", "dst_port", F.lower("proto").alias("proto"), "packet_no")
     pair = trailing(
-        conns, ["src_ip", "dst_ip", "proto"], "ts", window, {"connections": 1}, {"unique_ports": "dst_port"}, "head"
+        conns, ["src_ip", "dst_ip", "proto"], "ts", window, {"connections": 1}, {"unique_ports": "dst_port"}, "packet_no"
     )
     busy = pair.filter(
         (F.col("connections") > max_connections) & (F.col("connections") >= int(max_connections * burst))
@@ -52,17 +51,20 @@ def high_connection_rate(
         .filter((F.col("unique_targets") >= min_targets) | (F.col("unique_ports") >= min_ports))
         .select(
             from_micros("us").alias("ts"),
-            F.col("head.packet_no").alias("packet_no"),
+            "packet_no",
             "src_ip",
             "dst_ip",
             "proto",
-            F.col("head.dst_port").alias("target_port"),
             "connections",
             "unique_targets",
             "unique_ports",
         )
     )
-    return silence(fired, ["src_ip"], "ts", cooldown, False, ["packet_no", "dst_ip"], derived=True) if cooldown else fired
+    if cooldown:
+        fired = silence(fired, ["src_ip"], "ts", cooldown, False, ["packet_no", "dst_ip"], derived=True)
+    # the port is looked up for the few alerts instead of being carried through the windows
+    ports = packets.select("packet_no", F.col("dst_port").alias("target_port"))
+    return lookup_join(ports, materialize(fired), ["packet_no"])
 
 
 def accepted_probes(packets: DataFrame, seconds: float = 1) -> DataFrame:

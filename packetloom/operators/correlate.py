@@ -103,10 +103,13 @@ def upsert_attackers(stored: DataFrame, marks: DataFrame) -> DataFrame:
 
 def attacker_counts(attackers: DataFrame, history: DataFrame) -> DataFrame:
     """One row: attackers in total and per severity, sources with alerts in ``history``."""
+    severities = ("high", "medium", "low")
+    zero = F.lit(0).cast("bigint")
     counts = attackers.agg(
-        F.count("*").alias("total_attackers"),
-        *[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")],
+        F.count("*").alias("total_attackers"), *[F.count_if(F.col("severity") == s).alias(s) for s in severities]
+    ).withColumn("monitoring_ips", zero)
+    watched = history.agg(F.count_distinct("src_ip").alias("monitoring_ips")).withColumns(
+        {c: zero for c in ("total_attackers", *severities)}
     )
-    watched = history.agg(F.count_distinct("src_ip").alias("monitoring_ips"))
-    one = F.lit(1)
-    return counts.withColumn("_1", one).join(watched.withColumn("_1", one), "_1").drop("_1")
+    both = counts.unionByName(watched)
+    return both.agg(*[F.sum(c).alias(c) for c in ("total_attackers", *severities, "monitoring_ips")])

@@ -450,7 +450,7 @@ def literal_matches(payloads: DataFrame, literals: DataFrame, key: str = "packet
     anchors = prepared.select("rule_id", "literal", "_l", "_needle", F.col("_l").substr(F.lit(1), size).alias("_gram"))
     grams = F.concat(*[F.coalesce(_grams(F.col("payload"), n), F.array().cast("array<string>")) for n in lengths])
     pieces = payloads.select(key, "payload", F.explode(grams).alias("_gram"))
-    pairs = lookup_join(pieces, anchors, ["_gram"])
+    pairs = lookup_join(pieces, anchors, ["_gram"]).filter(F.contains("payload", "_needle"))
     start = F.explode(occurrences(F.col("payload"), F.col("_needle")))
     return pairs.select(key, "rule_id", F.col("_l").alias("match_text"), F.length("_needle").alias("_n"), start.alias("pos_start")).select(
         key, "rule_id", "match_text", "pos_start", (F.col("pos_start") + F.col("_n") - 1).alias("pos_end")

@@ -367,14 +367,15 @@ def import_summary(lines: DataFrame, existing: DataFrame | None = None, line: st
     fresh = ids.filter("parsed").select("rule_id").distinct()
     if existing is not None:
         fresh = fresh.join(existing.select("rule_id"), "rule_id", "left_anti")
+    names = ["total", "success", "failed_count", "imported"]
+    zero = F.lit(0).cast("bigint")
     counts = ids.agg(
         F.count("*").alias("total"),
         F.count_if("parsed").alias("success"),
         F.count_if(~F.col("parsed")).alias("failed_count"),
-    )
-    return counts.withColumn("_one", F.lit(1)).join(
-        fresh.agg(F.count("*").alias("imported")).withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    ).withColumn("imported", zero)
+    added = fresh.agg(F.count("*").alias("imported")).withColumns({n: zero for n in names[:3]})
+    return counts.unionByName(added).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def failed_lines(lines: DataFrame, line: str = "line") -> DataFrame:
