@@ -63,8 +63,11 @@ def high_connection_rate(
     if cooldown:
         fired = silence(fired, ["src_ip"], "ts", cooldown, False, ["packet_no", "dst_ip"], derived=True)
     # the port is looked up for the few alerts instead of being carried through the windows
-    ports = packets.select("packet_no", F.col("dst_port").alias("target_port"))
-    return lookup_join(ports, materialize(fired), ["packet_no"])
+    fired = materialize(fired)
+    keys = ["packet_no", "ts", "src_ip", "dst_ip"]
+    ports = lookup_join(packets.select(*keys, "dst_port"), fired.select(*keys), keys, "left_semi")
+    ports = ports.groupBy(*keys).agg(F.min("dst_port").alias("target_port"))
+    return fired.join(ports, keys, "left")
 
 
 def accepted_probes(packets: DataFrame, seconds: float = 1) -> DataFrame:
