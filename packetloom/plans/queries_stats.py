@@ -106,7 +106,6 @@ _EFFECTIVE = """CASE WHEN r.priority IS NOT NULL THEN
         (contains(lower(payload_preview), 'k": 3') OR contains(lower(rule_id), 'click')) AND {_EFFECTIVE} = 'high'""",
 )
 def _(spark, sf):
-    # without the "text" of the preview the rule id alone decides
     rows = stats.filter_alerts(
         t.alerts(spark, sf), t.alert_rules(spark), kind="behavior", src_ip=".1", severity="high"
     )
