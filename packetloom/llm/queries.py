@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import pattern_packing, piece_bpe, secret_automaton, voronoi_knn, wavelet_shards
+from packetloom.llm import line_templates, pattern_packing, piece_bpe, quality_rules, secret_automaton, voronoi_knn, wavelet_shards
 from packetloom.llm.common import new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_knn.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@query("op2_quality_rules", quality_rules.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality_rules.rate_documents(read_table(spark, sf_dir, "documents"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op4_piece_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = piece_bpe.encode_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -68,6 +74,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, base), F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query("op7_line_templates", line_templates.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_dropped", "text")
+
+
 @query("op8_wavelet_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = wavelet_shards.encode_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
