@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 
 from packetloom.llm.common import u32
 
 # Unicode's White_Space, which the tokenizers' patterns call \s.
-SPACE = "\t-\r \x85\xa0  -     　"
-CACHED_LENGTH, CACHED_STRETCHES = 64, 500_000
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+CACHED_LENGTH, CACHED_STRETCHES = 64, 400_000
 
 
 class StretchEncoder:
@@ -34,46 +35,59 @@ class StretchEncoder:
         added = self.joiner.get_added_tokens_decoder()
         self.specials = [t.content for t in added.values()]
         self.between_id, self.between = next((k, t.content) for k, t in added.items() if t.special)
+        self.spaces = spaces
         self.stretches = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+" if spaces else f"[^{SPACE}]+")
+        # texts whose white space is single blanks and line ends split quicker; str.split() also splits at \x1c-\x1f
+        self.unusual = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]" if spaces else "[\\x1c-\\x1f]")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def keys_of(self, text: str) -> list[str]:
+        """A text's stretches by their keys: without the blank before them; "\\r" before those that have no white space before them."""
+        if not self.spaces:
+            return self.stretches.findall(text) if self.unusual.search(text) else text.split()
+        plain = text and text[0] not in " \n" and text[-1] not in " \n" and not any(map(text.__contains__, ("  ", "\n\n", " \n", "\n ")))
+        if plain and not self.unusual.search(text):
+            keys = text.replace("\n", " \n").split(" ")
+            keys[0] = "\r" + keys[0]
+            return keys
+        return [s[1:] if len(s) > 1 and s[0] == " " and s[1] not in "\r\n " else "\r" + s for s in self.stretches.findall(text)]
+
+    def stretch_of(self, key: str) -> str:
+        if not self.spaces:
+            return key
+        return key[1:] if key[0] == "\r" else key if key[0] == "\n" else " " + key
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = list(map(self.stretches.findall, texts))
+        split = list(map(self.keys_of, texts))
         known, fresh = self.known, {}
-        for stretches in split:
-            for s in stretches:
-                if s not in known:
-                    fresh[s] = b""
-        for s in list(fresh):
-            if s in self.older:
-                known[s] = self.older[s]
-                del fresh[s]
-        known.update(self._encode_new(list(fresh)))
-        results = [b"".join(map(known.__getitem__, stretches)) for stretches in split]
-        for s in fresh:
-            if len(s) > CACHED_LENGTH:
-                del known[s]
+        for keys in split:
+            fresh.update(dict.fromkeys(filterfalse(known.__contains__, keys)))
+        for key in list(fresh):
+            if key in self.older:
+                known[key] = self.older[key]
+                del fresh[key]
+        fresh = list(fresh)
+        known.update(zip(fresh, self._encode_new(list(map(self.stretch_of, fresh))), strict=True))
+        results = [b"".join(map(known.__getitem__, keys)) for keys in split]
+        for key in fresh:
+            if len(key) > CACHED_LENGTH:
+                del known[key]
         if len(known) > CACHED_STRETCHES:
             self.known, self.older = {}, known
         return results
 
-    def _encode_new(self, fresh: list[str]) -> dict[str, bytes]:
+    def _encode_new(self, fresh: list[str]) -> list[bytes]:
         """One call for all, with a special token between each two, which the library encodes apart from one another."""
-        found, together = {}, []
-        for s in fresh:
-            if any(t in s for t in self.specials):
-                found[s] = u32(self.library.encode(s, add_special_tokens=False).ids)
-            else:
-                together.append(s)
-        if together:
-            ids = np.array(self.joiner.encode_batch_fast([self.between.join(together)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.between_id), len(ids))
-            data, begin = ids.tobytes(), 0
-            for s, end in zip(together, (ends * 4).tolist(), strict=True):
-                found[s] = data[begin:end]
-                begin = end + 4
-        return found
+        if not fresh:
+            return []
+        joined = self.between.join(fresh)
+        if sum(map(joined.count, self.specials)) >= len(fresh):  # such a string in a text
+            return [u32(e.ids) for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
+        ids = np.array(self.joiner.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * np.append(np.flatnonzero(ids == self.between_id), len(ids))).tolist()
+        data, begins = ids.tobytes(), [0, *(e + 4 for e in ends[:-1])]
+        return [data[b:e] for b, e in zip(begins, ends, strict=True)]
 
 
 @cache

@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import line_templates, pattern_packing, piece_bpe, quality_rules, secret_automaton, voronoi_knn, wavelet_shards
+from packetloom.llm import line_templates, pattern_packing, pii_surrogates, piece_bpe, quality_rules, secret_automaton, voronoi_knn, wavelet_shards
 from packetloom.llm.common import new_path, read_table
 
+# The key of the queries' surrogates; a user's own is secret.
+SECRET = "packetloom"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -53,6 +56,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op3_pii_surrogates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii_surrogates.replace_personal_data(read_table(spark, sf_dir, "documents"), SECRET)
+    return replaced.select("doc_id", "n_entities", "text")
+
+
 @query("op4_piece_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = piece_bpe.encode_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -81,9 +90,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_wavelet_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = wavelet_shards.encode_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    documents = read_table(spark, sf_dir, "documents")
+    tokens = wavelet_shards.encode_tokens(documents, public_tokenizers.path("byte_bpe_50k.json"))
     path = new_path(spark)
-    wavelet_shards.write_shards(tokens, path)
+    wavelet_shards.write_shards(tokens, documents.select("doc_id"), path)
     return wavelet_shards.read_shards(spark, path)
 
 

@@ -172,16 +172,18 @@ def encode_tokens(documents: DataFrame, tokenizer: str, end_id: int = 0) -> Data
     return documents.select("doc_id", "text").mapInArrow(encode, "doc_id bigint, ids binary")
 
 
-def write_shards(tokens: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_shards(tokens: DataFrame, doc_ids: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write (doc_id, ids) as wavelet shards in ascending doc_id order, a null doc_id first, equal ids by their tokens.
 
+    ``doc_ids``: where the documents' numbers can be read without making tokens.
+
     Ranges of doc_id go to one task each, which sorts them (spilling if need be) and cuts a shard whenever enough
     tokens are together; so memory is one shard and the longest document. The ranges' ends are approximate quantiles of
     doc_id alone. Row: part (number of the range), shard (within it), doc_ids and lengths (binary), n_tokens, block.
     """
     spark = tokens.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ends = _range_ends(tokens, parts)
+    ends = _range_ends(doc_ids, parts)
     part = F.lit(0)
     if ends:
         # number of ends at or below the id, by halving
@@ -214,9 +216,9 @@ def write_shards(tokens: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS)
     ordered.mapInArrow(cut, schema).write.option("compression", "uncompressed").parquet(path)
 
 
-def _range_ends(tokens: DataFrame, parts: int) -> list[int]:
+def _range_ends(doc_ids: DataFrame, parts: int) -> list[int]:
     shares = [k / parts for k in range(1, parts)]
-    found = tokens.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] if shares else None
+    found = doc_ids.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] if shares else None
     return sorted(set(found or []))
 
 
