@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import line_templates, pattern_packing, pii_surrogates, piece_bpe, quality_rules, secret_automaton, voronoi_knn, wavelet_shards
+from packetloom.llm import line_templates, order_minhash, pattern_packing, pii_surrogates, piece_bpe, quality_rules, secret_automaton, voronoi_knn, wavelet_shards
 from packetloom.llm.common import new_path, read_table
 
 # The key of the queries' surrogates; a user's own is secret.
@@ -68,6 +68,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.piece_digests(encoded)
 
 
+@query("op5_order_minhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query("op6_secret_automaton")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_automaton.secret_spans(read_table(spark, sf_dir, "documents"))
