@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import line_templates, order_minhash, pattern_packing, pii_surrogates, piece_bpe, quality_rules, secret_automaton, voronoi_knn, wavelet_shards
+from packetloom.llm import (
+    html_marginals,
+    line_templates,
+    order_minhash,
+    pattern_packing,
+    pii_surrogates,
+    piece_bpe,
+    quality_rules,
+    secret_automaton,
+    voronoi_knn,
+    wavelet_shards,
+)
 from packetloom.llm.common import new_path, read_table
 
 # The key of the queries' surrogates; a user's own is secret.
@@ -105,3 +116,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pattern_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+@query("op10_html_marginals")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_marginals.main_text(read_table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
