@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from itertools import filterfalse
 
 import numpy as np
 
@@ -26,6 +25,8 @@ class StretchEncoder:
     Kept stretches are bounded in number and length; others are encoded where they occur.
     """
 
+    SPACES = frozenset(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
     def __init__(self, path: str, spaces: bool) -> None:
         from tokenizers import Tokenizer
 
@@ -36,6 +37,10 @@ class StretchEncoder:
         self.specials = [t.content for t in added.values()]
         self.between_id, self.between = next((k, t.content) for k, t in added.items() if t.special)
         self.spaces = spaces
+        if spaces:  # a token of a byte-level vocabulary has one character for each of its bytes
+            vocabulary = self.library.get_vocab(with_added_tokens=False)
+            self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+            self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
         self.stretches = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+" if spaces else f"[^{SPACE}]+")
         # texts whose white space is single blanks and line ends split quicker; str.split() also splits at \x1c-\x1f
         self.unusual = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]" if spaces else "[\\x1c-\\x1f]")
@@ -59,35 +64,61 @@ class StretchEncoder:
         return key[1:] if key[0] == "\r" else key if key[0] == "\n" else " " + key
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = list(map(self.keys_of, texts))
-        known, fresh = self.known, {}
-        for keys in split:
-            fresh.update(dict.fromkeys(filterfalse(known.__contains__, keys)))
-        for key in list(fresh):
-            if key in self.older:
-                known[key] = self.older[key]
-                del fresh[key]
-        fresh = list(fresh)
-        known.update(zip(fresh, self._encode_new(list(map(self.stretch_of, fresh))), strict=True))
-        results = [b"".join(map(known.__getitem__, keys)) for keys in split]
-        for key in fresh:
-            if len(key) > CACHED_LENGTH:
-                del known[key]
+        known, fresh, split, holes = self.known, {}, [], []
+        get = known.get
+        for text in texts:
+            keys = self.keys_of(text)
+            parts = list(map(get, keys))
+            if None in parts:
+                missing = [(k, key) for k, (key, part) in enumerate(zip(keys, parts, strict=True)) if part is None]
+                fresh.update(dict.fromkeys(key for _, key in missing))
+                holes.append((parts, missing))
+            split.append(parts)
+        found = {key: self.older[key] for key in fresh if key in self.older}
+        new = [key for key in fresh if key not in found]
+        found.update(zip(new, self._encode_new(list(map(self.stretch_of, new))), strict=True))
+        for parts, missing in holes:
+            for k, key in missing:
+                parts[k] = found[key]
+        known.update((key, ids) for key, ids in found.items() if len(key) <= CACHED_LENGTH)
         if len(known) > CACHED_STRETCHES:
             self.known, self.older = {}, known
-        return results
+        return list(map(b"".join, split))
 
     def _encode_new(self, fresh: list[str]) -> list[bytes]:
-        """One call for all, with a special token between each two, which the library encodes apart from one another."""
-        if not fresh:
-            return []
-        joined = self.between.join(fresh)
-        if sum(map(joined.count, self.specials)) >= len(fresh):  # such a string in a text
-            return [u32(e.ids) for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
+        """The ids of new stretches, many in one call."""
+        found: dict[str, bytes] = {}
+        running = [s for s in fresh if self.spaces and len(s) > 1 and s[0] in " \n" and s[1] not in self.SPACES]
+        for k in range(0, len(running), 256):
+            found.update(self._of_running(running[k : k + 256]))
+        others = [s for s in fresh if s not in found] if found else fresh
+        for k in range(0, len(others), 64):
+            found.update(self._of_parted(others[k : k + 64]))
+        return [found[s] for s in fresh]
+
+    def _of_running(self, some: list[str]) -> dict[str, bytes]:
+        """Stretches that begin with white space, as one text: byte-level tokens cover its bytes, so lengths tell whose they are."""
+        ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum([len(s.encode()) for s in some])
+        covered = np.cumsum(self.lengths[ids])
+        cuts = np.searchsorted(covered, ends) + 1
+        if len(covered) != cuts[-1] or (covered[cuts - 1] != ends).any():
+            raise ValueError("a token crosses the border of a stretch")
+        return _cut(some, ids, cuts - np.diff(cuts, prepend=0), cuts)
+
+    def _of_parted(self, some: list[str]) -> dict[str, bytes]:
+        """With a special token between each two, which the library encodes apart from one another."""
+        joined = self.between.join(some)
+        if sum(map(joined.count, self.specials)) >= len(some):  # such a string in a text
+            return {s: u32(e.ids) for s, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True)}
         ids = np.array(self.joiner.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = (4 * np.append(np.flatnonzero(ids == self.between_id), len(ids))).tolist()
-        data, begins = ids.tobytes(), [0, *(e + 4 for e in ends[:-1])]
-        return [data[b:e] for b, e in zip(begins, ends, strict=True)]
+        ends = np.append(np.flatnonzero(ids == self.between_id), len(ids))
+        return _cut(some, ids, np.append(0, ends[:-1] + 1), ends)
+
+
+def _cut(some: list[str], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> dict[str, bytes]:
+    data = ids.tobytes()
+    return {s: data[b:e] for s, b, e in zip(some, (4 * begins).tolist(), (4 * ends).tolist(), strict=True)}
 
 
 @cache

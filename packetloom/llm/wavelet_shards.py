@@ -23,7 +23,8 @@ from packetloom.llm.common import table_of, text_batches, u32
 
 MAGIC = b"PLWM\x01"
 BLOCK = 512  # bits for each stored count; a multiple of 64
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
+SHARDS = "part int, shard bigint, doc_ids array<bigint>, lengths array<bigint>, n_tokens bigint, block binary"
 
 
 class WaveletMatrix:
@@ -212,8 +213,7 @@ def write_shards(tokens: DataFrame, doc_ids: DataFrame, path: str, shard_tokens:
             yield row()
 
     ordered = numbered.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").select("part", "doc_id", "ids")
-    schema = "part int, shard bigint, doc_ids array<bigint>, lengths array<bigint>, n_tokens bigint, block binary"
-    ordered.mapInArrow(cut, schema).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(cut, SHARDS).write.option("compression", "uncompressed").parquet(path)
 
 
 def _range_ends(doc_ids: DataFrame, parts: int) -> list[int]:
@@ -234,7 +234,7 @@ def read_shards(spark: SparkSession, path: str, of_document: Callable[[bytes], i
 
     ``start`` counts the tokens of all shards before; the shards' totals (one row a shard) are added up in one task.
     """
-    shards = spark.read.parquet(path)
+    shards = spark.read.schema(SHARDS).parquet(path)
     # runs of shards within a range are added up in parallel, then the ranges
     inside = Window.partitionBy("part").orderBy("shard")
     by_part = shards.groupBy("part").agg(F.sum("n_tokens").alias("_all"))
