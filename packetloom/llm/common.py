@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators.materialize import materialize, new_path
 
-__all__ = ["let", "materialize", "new_path", "read_table", "table_of", "text_batches", "u32"]
+__all__ = ["let", "materialize", "new_path", "read_table", "table_of", "text_batches", "u32", "unwrapped", "wrapped"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def wrapped(documents: DataFrame) -> DataFrame:
+    """All columns in one called ``row``, so that no name of theirs meets a name of ours."""
+    return documents.select(F.struct("*").alias("row"))
+
+
+def unwrapped(documents: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of a wrapped table as they were, but those named."""
+    return [changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in documents.schema["row"].dataType.fieldNames()]
+
+
 def text_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """(first column, texts) of each Arrow batch; a null text is an empty one."""
     for batch in batches:

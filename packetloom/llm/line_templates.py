@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import let, materialize
+from packetloom.llm.common import let, materialize, unwrapped, wrapped
 
 SPACE = r"\x20\x09-\x0D"
 LEADING = 2  # leading tokens in the tree
@@ -72,18 +72,18 @@ def drop_recurring_lines(documents: DataFrame) -> DataFrame:
     text stays null, an empty one empty; an empty table gives an empty one; repeated rows are changed alike. A column
     called n_dropped is replaced.
     """
-    documents = documents.drop("n_dropped")
-    gone = recurring_lines(documents).groupBy("doc_id", "content").agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.withColumnsRenamed({"doc_id": "_id", "content": "_content"})
-    joined = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content")), "left")
+    gone = recurring_lines(documents).groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.collect_set("pos").alias("_gone"))
+    rows = wrapped(documents.drop("n_dropped"))
+    old = F.col("row.text")
+    joined = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_content")), "left")
 
     def rest(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
         return F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
 
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest))
-    dropped = F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in documents.columns], dropped)
+    text = F.when(F.col("_gone").isNull(), old).otherwise(let(F.split(old, "\n"), rest))
+    dropped = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias("n_dropped")
+    return joined.select(*unwrapped(rows, text=text), dropped)
 
 
 #: The same in DuckDB, with tokens and texts in place of hashes.

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import materialize, table_of, text_batches
+from packetloom.llm.common import materialize, table_of, text_batches, unwrapped, wrapped
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -159,7 +159,7 @@ def _kmer_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 if kept:
                     yield table_of(out, *zip(*kept, strict=True))
 
-    joined = documents.filter(F.col("text").isNotNull()).join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    joined = documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.select("text_class", "text").mapInArrow(cut, "text_class bigint, kmers binary").dropDuplicates(["text_class"])
 
 
@@ -251,4 +251,5 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def keep_first(documents: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; all columns as they were."""
     first = near_duplicates(documents).filter("is_first").select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows = wrapped(documents)
+    return rows.join(first, F.col("row.doc_id").eqNullSafe(F.col("_id")), "left_semi").select(unwrapped(rows))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import let, materialize
+from packetloom.llm.common import let, materialize, unwrapped, wrapped
 
 # Titles before names, by gender: fixed values.
 HE = "Mr|Mister|Herr|Monsieur|Señor|Sr|Don|Sir"
@@ -189,7 +189,6 @@ def replace_personal_data(documents: DataFrame, secret: str) -> DataFrame:
     column n_entities is replaced. Values are added up before they meet, so a value in most documents is one row when
     surrogates are made; its mentions join by value, where a skewed join can be split.
     """
-    documents = documents.drop("n_entities")
     content = F.xxhash64("text")
     held = documents.filter(F.col("text").rlike(MAY_HOLD))
     found = materialize(held.select("doc_id", content.alias("content"), F.inline(_mentions(F.col("text")))))
@@ -198,11 +197,14 @@ def replace_personal_data(documents: DataFrame, secret: str) -> DataFrame:
         "doc_id", "content", F.struct("place", _written(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("surrogate")).alias("_one")
     )
     by_document = written.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.sort_array(F.collect_set("_one")).alias("_new"))
-    joined = documents.join(by_document, F.col("doc_id").eqNullSafe(F.col("_id")) & (content == F.col("_content")), "left")
+    rows = wrapped(documents.drop("n_entities"))
+    old = F.col("row.text")
+    joined = rows.join(by_document, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_content")), "left")
 
     def replaced(pieces: Column) -> Column:
         behind = F.transform(F.col("_new"), lambda n: F.concat(n["surrogate"], F.get(pieces, n["place"] + 1)))
         return F.concat(F.get(pieces, F.lit(0)), F.array_join(behind, ""))
 
-    text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(let(F.split("text", ANY, -1), replaced))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in documents.columns], F.coalesce(F.size("_new"), F.lit(0)).cast("bigint").alias("n_entities"))
+    text = F.when(F.col("_new").isNull(), old).otherwise(let(F.split(old, ANY, -1), replaced))
+    count = F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new")).cast("bigint").alias("n_entities")
+    return joined.select(*unwrapped(rows, text=text), count)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import let, materialize
+from packetloom.llm.common import let, materialize, unwrapped, wrapped
 
 SPACE = r"\x20\x09-\x0D"
 WINDOW = 8
@@ -144,10 +144,10 @@ def judge(features: DataFrame) -> DataFrame:
     usable = F.col("n") >= LEAST_DOCUMENTS
     finest = cut.filter(F.col("level") == 0)
     by_lang = cut.filter((F.col("level") == 1) & usable).select(F.col("lang").alias("_lang"), F.struct(*names).alias("_wider"))
-    everything = cut.filter(F.col("level") == 2).select(F.struct(*names).alias("_widest"))
+    everything = cut.filter(F.col("level") == 2).select("level", F.struct(*names).alias("_widest"))
     chosen = (
         finest.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-        .join(F.broadcast(everything))  # one row
+        .join(everything.withColumnRenamed("level", "_top"), F.col("level") + 2 == F.col("_top"))
         .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.when(usable, F.struct(*names)).otherwise(F.coalesce("_wider", "_widest")).alias("_cut"))
     )
     fine = F.lit(True)
@@ -171,8 +171,9 @@ def rate_documents(documents: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns as they were."""
     kept = rate_documents(documents).filter("kept").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct()
-    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text", "lang", "source") == F.col("_content"))
-    return documents.join(kept, own, "left_semi")
+    rows = wrapped(documents)
+    own = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text", "row.lang", "row.source") == F.col("_content"))
+    return rows.join(kept, own, "left_semi").select(unwrapped(rows))
 
 
 def _sql() -> str:
