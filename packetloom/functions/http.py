@@ -114,16 +114,18 @@ def dechunk(body: Column) -> Column:
 
         def look(line_end):
             word = strip(F.substring_index(_mid(body, at, line_end), ";", 1))
-            size = F.when(word.rlike("^[0-9A-Fa-f]{1,7}$"), F.conv(word, 16, 10).cast("int"))
-            return let(size, lambda n: take(line_end, n))
+            digits = F.regexp_replace(word, "^0+(?=.)", "")
+            # a size of more digits than any body has bytes is one that the body does not hold
+            size = F.when(F.length(digits) > 15, F.lit(1 << 60)).otherwise(F.conv(digits, 16, 10).cast("bigint"))
+            return let(F.when(word.rlike("^[0-9A-Fa-f]+$"), size), lambda n: take(line_end, n))
 
         def take(line_end, size):
             data = line_end + 2
             done = (line_end < 0) | size.isNull() | (size == 0) | (data + size > F.length(body))
             return F.struct(
-                F.when(done, at).otherwise(data + size + 2).alias("at"),
+                F.when(done, at).otherwise((data + size + 2).cast("int")).alias("at"),
                 done.alias("done"),
-                F.when(done, acc["out"]).otherwise(F.concat(acc["out"], _mid(body, data, data + size))).alias("out"),
+                F.when(done, acc["out"]).otherwise(F.concat(acc["out"], _mid(body, data, (data + size).cast("int")))).alias("out"),
             )
 
         here = F.call_function("locate", F.lit(CRLF), body, at + 1) - 1

@@ -144,10 +144,11 @@ def scan_top(alerts: DataFrame, probes: DataFrame, item: str, window: float = 30
 def brute_force(auth: DataFrame, window: float = 300, max_failures: int = 5) -> DataFrame:
     """Failed logins at or over the threshold; every further failure fires again."""
     failed = auth.filter(~F.col("success"))
-    counts = trailing(failed, ["src_ip", "dst_ip", "auth_type"], "ts", window, {"failures": 1}, order="packet_no")
-    return counts.filter(F.col("failures") >= max_failures).select(
-        from_micros("us").alias("ts"), "packet_no", "src_ip", "dst_ip", "auth_type", "failures"
-    )
+    keys = ["src_ip", "dst_ip", "auth_type"]
+    counts = trailing(failed, keys, "ts", window, {"failures": 1}, order="packet_no")
+    over = counts.filter(F.col("failures") >= max_failures).select(*keys, "us", "failures")
+    # a count belongs to all failures of its instant
+    return failed.withColumn("us", micros("ts")).join(over, [*keys, "us"]).select("ts", "packet_no", *keys, "failures")
 
 
 def failures_of(alerts: DataFrame, auth: DataFrame, window: float = 300) -> DataFrame:

@@ -55,10 +55,15 @@ def reassembly_cuts(segments: DataFrame) -> DataFrame:
     carry a few numbers per segment.  The stream starts at the first segment that
     arrived; what lies before it or was seen already is skipped, of equal starts
     the longest segment counts, segments without new data are left out.
-    ``contiguous`` is false from the first hole on.
+    ``contiguous`` is false from the first hole on. Sequence numbers are taken by
+    their signed 32-bit distance to the first one, so they may wrap; ``start``
+    then goes on beyond 2**32.
     """
     present = segments.filter("size > 0").select("flow", "arrival", F.col("seq").cast("bigint"), F.col("size").cast("bigint"))
     base = present.groupBy("flow").agg(F.min_by("seq", "arrival").alias("_base"))
+    half, whole = F.lit(1 << 31), F.lit(1 << 32)
+    near = F.col("_base") + F.pmod(F.col("seq") - F.col("_base") + half, whole) - half
+    present = present.join(base, "flow").select("flow", "arrival", near.alias("seq"), "size")
     seen = running(
         present,
         ["flow"],

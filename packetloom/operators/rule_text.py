@@ -241,20 +241,26 @@ def set_variable(stored: DataFrame, name: str, value: str) -> DataFrame:
     return stored.select("name", "value").filter(F.col("name") != name).unionByName(row)
 
 
-def resolve_variables(variables: DataFrame, depth: int = 5) -> DataFrame:
-    """Adds ``resolved``: nested and negated references followed, unknown ones become any."""
-    table = variables.select(F.col("name").alias("_ref"), F.col("value").alias("_next"))
-    out = variables.select("name", "value", F.col("value").alias("resolved"))
-    for _ in range(depth):
+def resolve_variables(variables: DataFrame) -> DataFrame:
+    """Adds ``resolved``: nested and negated references followed, unknown ones become any.
+
+    Every round follows each reference to what its variable has become by then, so chains halve. Variables that lead
+    back to themselves are an error.
+    """
+    out = materialize(variables.select("name", "value", F.col("value").alias("resolved")))
+    open_refs = F.col("resolved").rlike(r"^!*\$")
+    waiting = out.filter(open_refs).count()
+    rounds = waiting.bit_length() + 1
+    while waiting:
+        if rounds == 0:
+            names = [r["name"] for r in out.filter(open_refs).select("name").limit(20).collect()]
+            raise ValueError(f"variables that refer to themselves: {', '.join(sorted(names))}")
+        table = out.select(F.col("name").alias("_ref"), F.col("resolved").alias("_next"))
         ref = F.regexp_extract("resolved", r"^!*(\$.*)$", 1)
         sign = F.regexp_extract("resolved", r"^(!*)\$", 1)
-        out = lookup_join(out.withColumn("_ref", ref), table, ["_ref"], "left").select(
-            "name",
-            "value",
-            F.when(F.col("_ref") == "", F.col("resolved"))
-            .otherwise(F.concat(sign, F.coalesce("_next", F.lit("any"))))
-            .alias("resolved"),
-        )
+        followed = F.when(F.col("_ref") == "", F.col("resolved")).otherwise(F.concat(sign, F.coalesce("_next", F.lit("any"))))
+        out = materialize(lookup_join(out.withColumn("_ref", ref), table, ["_ref"], "left").select("name", "value", followed.alias("resolved")))
+        waiting, rounds = out.filter(open_refs).count(), rounds - 1
     return out
 
 
@@ -271,7 +277,7 @@ def convert_rules(lines: DataFrame, variables: DataFrame, line: str = "line") ->
     """Rule rows of all readable rule lines (columns of the rules schema)."""
     parsed = split_header(lines, line).filter("parsed")
     # needed four times below
-    resolved = materialize(resolve_variables(variables))
+    resolved = resolve_variables(variables)
     for column in ("src", "dst", "src_port", "dst_port"):
         parsed = _substituted(parsed, column, resolved)
     options = F.col("options")

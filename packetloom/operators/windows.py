@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.operators.joins import fits
 from packetloom.operators.materialize import materialize
 
 MICROS = 1_000_000
@@ -219,7 +218,6 @@ def running(
 # --------------------------------------------------------------------------- emit, then silence
 
 _BLOCK = 16  # windows per block, and blocks per upper block
-SMALL_INPUT = 200_000  # rows
 
 
 def silence(
@@ -242,22 +240,19 @@ def silence(
     then start every block on its own, so a hot key is shared by many tasks.
 
     The input is read twice, times only and whole rows; ``derived`` writes an
-    input that is itself expensive to a table first.  If that table turns out to
-    have at most ``SMALL_INPUT`` rows, the chains are walked key by key at once.
+    input that is itself expensive to a table first.  Rows without a time are
+    left out.  Of rows at one time the first by ``order`` counts; of those equal
+    in that too, the first by all columns.
     """
-    small = False
     if derived:
         df = materialize(df)
-        small = fits(df, SMALL_INPUT)
     width = _width(seconds)
     reach = width + 1 if inclusive else width
     block, upper = width * _BLOCK, width * _BLOCK * _BLOCK
     columns = df.columns
     key = F.to_json(F.struct(*[(F.col(k) if isinstance(k, str) else k).alias(f"k{i}") for i, k in enumerate(keys)]))
-    ranked = F.struct(*[F.col(c) for c in order]) if order else F.lit(1)
-    at = df.select(*columns, key.alias("_k"), micros(ts).alias("_t"))
-    if small:
-        return _silence_small(at, columns, reach, order)
+    ranked = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.to_json(F.struct(*columns)).alias("all"))
+    at = df.select(*columns, key.alias("_k"), micros(ts).alias("_t")).filter("_t is not null")
     # equal times: only the first row of a tick can ever be emitted
     ticks = (
         at.withColumn("_b", cell_of(F.col("_t"), block))
@@ -305,24 +300,6 @@ def silence(
     return emitted.select("_row.*").select(*columns)
 
 
-def _silence_small(at: DataFrame, columns: list[str], reach: int, order: Sequence[str]) -> DataFrame:
-    """The same choice for an input counted to be small: one shuffle by key, one walk."""
-    rows = at.select(
-        "_k",
-        F.lit(0).cast("bigint").alias("_g"),
-        F.lit(None).cast("bigint").alias("_e"),
-        F.col("_t").alias("_c"),
-        F.col("_t").alias("_o"),
-        F.struct(*columns).alias("_row"),
-    )
-    walked = (
-        rows.repartition("_k")
-        .sortWithinPartitions("_k", "_c", *[F.col(f"_row.{c}") for c in order])
-        .mapInArrow(_walk(reach, marked=False), rows.schema)
-    )
-    return walked.select("_row.*").select(*columns)
-
-
 def _starts(batch_cols: Sequence[pa.Array]) -> np.ndarray:
     """Index of every row that begins a new group in sorted columns."""
     n = len(batch_cols[0])

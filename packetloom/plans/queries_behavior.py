@@ -82,8 +82,7 @@ def _(spark, sf):
     "b4_brute_force",
     f"""WITH {AUTH}, counted AS (SELECT *, count(*) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts
         RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND CURRENT ROW) AS failures FROM auth WHERE NOT success)
-      SELECT ts, min(packet_no) AS packet_no, src_ip, dst_ip, any_value(failures) AS failures FROM counted
-      WHERE failures >= 4 GROUP BY ts, src_ip, dst_ip""",
+      SELECT ts, packet_no, src_ip, dst_ip, failures FROM counted WHERE failures >= 4""",
 )
 def _(spark, sf):
     found = behavior.brute_force(t.auth_events(spark, sf), window=365 * DAY, max_failures=4)

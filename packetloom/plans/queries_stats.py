@@ -315,14 +315,14 @@ def _stored_attackers(spark, sf):
     "j9_merge",
     f"""WITH {ALERTS}, live AS (SELECT src_ip, max(created_at) AS ts FROM alerts WHERE src_ip <> '' GROUP BY 1),
       stored AS (SELECT '10.0.' || (c_custkey // 256) || '.' || (c_custkey % 256) AS src_ip, c_mktsegment AS severity,
-        TIMESTAMP '2023-06-01' AS first_seen, c_name AS description FROM customer WHERE c_nationkey < 12)
+        TIMESTAMP '2023-06-01' AS first_seen, c_name AS description FROM customer)
       SELECT src_ip, coalesce(s.severity, 'high') AS severity, coalesce(s.first_seen, l.ts) AS first_seen,
         coalesce(s.description, 'Suspected attack activity from ' || src_ip || ' (severity: high)') AS description
       FROM live l FULL JOIN stored s USING (src_ip)""",
 )
 def _(spark, sf):
     live = t.alerts(spark, sf).filter("src_ip <> ''").groupBy("src_ip").agg(F.max("created_at").alias("ts"))
-    stored = t.read(spark, sf, "customer").filter("c_nationkey < 12").selectExpr(
+    stored = t.read(spark, sf, "customer").selectExpr(
         "concat('10.0.', c_custkey div 256, '.', c_custkey % 256) as src_ip",
         "c_mktsegment as severity",
         "timestamp '2023-06-01 00:00:00' as first_seen",

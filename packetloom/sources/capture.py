@@ -62,8 +62,10 @@ def _cut(path: str, chunk_bytes: int):
     with _open(path) as f:
         size = f.size()
         head = f.read_at(24, 0)
-        if len(head) < 24 or head[:4] not in MAGIC:
+        if not size:
             return
+        if len(head) < 24 or head[:4] not in MAGIC:
+            raise ValueError(f"not a pcap file: {path}")
         order, scale = MAGIC[head[:4]]
         link = struct.unpack(order + "I", head[20:24])[0] & 0xFFFF
         at, number, start, first = 24, 0, 24, 0
@@ -140,7 +142,9 @@ def parse_frames(frames: DataFrame) -> DataFrame:
     )
     l4 = F.col("_l4")
     proto = F.col("ip_proto")
-    tcp, udp, icmp = proto == 6, proto == 17, proto == 1
+    # a later fragment carries no transport header
+    first = (_u16(frame, at + 6) % 0x2000) == 0
+    tcp, udp, icmp = first & (proto == 6), first & (proto == 17), first & (proto == 1)
     bits = byte_at(frame, l4 + 13)
     letters = F.concat(
         *[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, c).otherwise("") for i, c in enumerate(FLAG_LETTERS)]
