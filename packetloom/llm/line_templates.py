@@ -28,7 +28,7 @@ def _lines(documents: DataFrame, carry_tokens: bool) -> DataFrame:
     with_tokens = split.select("doc_id", "content", "pos", tokens.alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS)
     leading = F.transform(F.slice("tokens", 1, LEADING), _masked)
     kept = ["doc_id", "content", "pos", F.xxhash64(F.size("tokens"), leading).alias("leaf")]
-    return with_tokens.select(*kept, F.transform("tokens", _masked).alias("tokens")) if carry_tokens else with_tokens.select(*kept)
+    return with_tokens.select(*kept, "tokens") if carry_tokens else with_tokens.select(*kept)
 
 
 def _masked(token: Column) -> Column:
@@ -43,7 +43,7 @@ def recurring_lines(documents: DataFrame) -> DataFrame:
     """
     leaves = _lines(documents, False).groupBy("leaf", "content").agg(F.min("pos").alias("_p")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     leaves = materialize(leaves.filter(F.col("n") >= LEAST_TEXTS).select("leaf"))
-    rows = _lines(documents, True).join(leaves, "leaf", "left_semi")
+    rows = _lines(documents, True).join(leaves, "leaf", "left_semi").withColumn("tokens", F.transform("tokens", _masked))
     rows = materialize(rows.select("doc_id", "content", "pos", "leaf", F.xxhash64("tokens").alias("line"), "tokens"))
     texts = rows.groupBy("leaf", "line", "content").agg(F.first("tokens").alias("tokens")).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     cells = materialize(texts.select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token")))
@@ -60,7 +60,7 @@ def recurring_lines(documents: DataFrame) -> DataFrame:
     placed = rows.select("doc_id", "content", "pos", "leaf", "line").join(templates, ["leaf", "line"])
     first = F.min(F.struct("doc_id", "pos", "content")).alias("first")
     common = placed.groupBy("leaf", "template", "content").agg(first).groupBy("leaf", "template").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
-    common = common.filter(F.col("n") >= LEAST_TEXTS).select("leaf", "template", "first")
+    common = materialize(common.filter(F.col("n") >= LEAST_TEXTS).select("leaf", "template", "first"))  # so that the join below can split hot ones
     own = F.struct("doc_id", "pos", "content")
     return placed.join(common, ["leaf", "template"]).filter(~own.eqNullSafe(F.col("first"))).select("doc_id", "content", "pos")
 
