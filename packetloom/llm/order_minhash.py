@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import materialize, table_of, text_batches, unwrapped, wrapped
+from packetloom.llm.common import let, materialize, table_of, text_batches, unwrapped, wrapped
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES, PICKED = 36, 5  # at similarity 0.8 a pair misses all buckets with probability 0.672**36, below 1e-6
+PICKED = 5  # k-mers in one sketch; at similarity 0.8 a pair has the same with probability 0.8**5
+SKETCHES, BUCKETS = 64, 36  # sketches of a text; those that are buckets: a pair at 0.8 misses all with probability below 1e-6
+AGREEING = 7  # same sketches that pairs across components need; a pair at 0.8 has fewer with probability below 1e-4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -163,6 +165,27 @@ def _kmer_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("text_class", "text").mapInArrow(cut, "text_class bigint, kmers binary").dropDuplicates(["text_class"])
 
 
+def _shared_kmers(grams: DataFrame, classes: DataFrame) -> DataFrame:
+    """(text_class, shared): how many k-mers each of the classes has that another of them has too.
+
+    Where many copies of one text are edited each for itself, their own k-mers show that they are too unlike one
+    another, before any two of them meet.
+    """
+    out = pa.schema([("text_class", pa.int64()), ("kmer", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = labelled(np.frombuffer(data.as_buffer(), np.uint64)).view(np.int64)
+                yield table_of(out, np.full(len(keys), key), keys)
+
+    held = grams.join(classes, "text_class", "left_semi").select("text_class", "kmers")
+    owners = held.mapInArrow(cut, "text_class bigint, kmer bigint").groupBy("kmer").agg(F.count(F.lit(1)).alias("owners"), F.min("text_class").alias("text_class"))
+    alone = owners.filter("owners = 1").groupBy("text_class").agg(F.count(F.lit(1)).alias("alone"))
+    total = held.select("text_class", (F.octet_length("kmers") / 8).cast("bigint").alias("total"))
+    return total.join(alone, "text_class", "left").select("text_class", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def _verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     left = grams.select(F.col("text_class").alias("a"), F.col("kmers").alias("x"))
@@ -217,7 +240,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     nodes = materialize(
         sketches.filter("text_class is not null").groupBy("text_class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     )
-    members = nodes.select("text_class", "n", F.explode("buckets").alias("bucket"))
+    members = nodes.select("text_class", "n", F.posexplode(F.slice("buckets", 1, BUCKETS)).alias("at", "bucket"))
     order = F.xxhash64("text_class")
     centre = F.struct("text_class", "n")
     shared = members.groupBy("bucket").agg(
@@ -232,12 +255,26 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = _verified(pairs, grams)
     # members whose component is not their bucket's commonest meet all members of other components
     labels = components(links)
-    placed = materialize(buckets.select("bucket", "text_class", "n").join(labels.withColumnRenamed("node", "text_class"), "text_class", "left").withColumn("component", F.coalesce("component", "text_class")))
+    placed = materialize(buckets.select("bucket", "at", "text_class", "n").join(labels.withColumnRenamed("node", "text_class"), "text_class", "left").withColumn("component", F.coalesce("component", "text_class")))
     mixed = placed.groupBy("bucket").agg(F.mode("component", True).alias("common"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("bucket", "common")
     held = placed.join(mixed, "bucket")
-    others = held.filter("component <> common").select("bucket", F.col("text_class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    across = others.join(held.select("bucket", F.col("text_class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy")), "bucket")
-    rest = _pairs(across.filter("cx <> cy and least(nx, ny) >= 0.8 * greatest(nx, ny)")).join(pairs, ["a", "b"], "left_anti")
+    shared = _shared_kmers(grams, held.select("text_class").distinct())
+    sketch = nodes.select("text_class", F.transform("buckets", lambda v: F.shiftright(v, 33).cast("int")).alias("sketch"))
+    held = materialize(held.join(shared, "text_class").join(sketch, "text_class"))
+    names = ["text_class", "n", "shared", "component", "sketch"]
+    others = held.filter("component <> common").select("bucket", "at", *[F.col(c).alias(f"{c}_x") for c in names])
+    theirs = held.select(F.col("bucket").alias("_bucket"), *[F.col(c).alias(f"{c}_y") for c in names])
+    # aligned k-mers are shared ones, and a pair needs SIMILARITY / (1 + SIMILARITY) of both texts' k-mers aligned
+    enough = (1 + SIMILARITY) * F.least("shared_x", "shared_y") >= SIMILARITY * (F.col("n_x") + F.col("n_y")) - 1e-6
+    possible = (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") >= SIMILARITY * F.greatest("n_x", "n_y")) & enough
+    # a pair comes out once, from the first bucket that it shares
+    agree = let(
+        F.zip_with("sketch_x", "sketch_y", lambda p, q: p == q),
+        lambda same: (F.array_position(same, F.lit(True)) - 1 == F.col("at")) & (F.size(F.filter(same, lambda v: v)) >= AGREEING),
+    )
+    across = others.join(theirs, (F.col("bucket") == F.col("_bucket")) & possible & agree)
+    named = across.select(*[F.col(f"{c}_{side}").alias(f"{new}{side}") for c, new in (("text_class", ""), ("n", "n")) for side in "xy"])
+    rest = _pairs(named).join(pairs, ["a", "b"], "left_anti")
     more = _verified(rest, grams)
     groups = components(links.union(more)).withColumnRenamed("node", "text_class")
     named = nodes.select("text_class", "doc_id").join(groups, "text_class", "left").withColumn("component", F.coalesce("component", "text_class"))
