@@ -10,6 +10,7 @@ from packetloom.operators.windows import MICROS, micros, running, silence
 
 HANDSHAKE_CELL = 60 * MICROS
 SEQUENCE_CELL = 1 << 20
+CONNECTION_CELL = 60 * MICROS
 
 
 def flow_state(packets: DataFrame) -> DataFrame:
@@ -48,6 +49,26 @@ def flow_state(packets: DataFrame) -> DataFrame:
     ).drop("_syn", "_answer", "_ack")
 
 
+def connections(packets: DataFrame, idle: float = 120) -> DataFrame:
+    """``packet_no, connection`` of TCP packets: the how many-th connection of its flow a packet belongs to.
+
+    A connection starts at a flow's first packet, at a SYN that does not repeat
+    one right before it, and after more than ``idle`` seconds without a packet.
+    ``packets`` has ``packet_no, flow, ts, tcp_flags``; packets without a time
+    belong to none.
+    """
+    flags = F.coalesce("tcp_flags", F.lit(""))
+    syn = (flags.contains("S") & ~flags.contains("A")).cast("bigint")
+    placed = packets.select("packet_no", "flow", micros("ts").alias("us"), syn.alias("syn")).filter("us is not null")
+    # time and SYN of the packet before in one number
+    before = running(placed, ["flow"], F.col("us"), ["us", "packet_no"], {"_last": ("max", F.col("us") * 2 + F.col("syn"))}, CONNECTION_CELL, include_current=False)
+    last, repeated = F.expr("_last div 2"), F.expr("pmod(_last, 2)") == 1
+    starts = F.col("_last").isNull() | (F.col("us") - last > int(idle * MICROS)) | ((F.col("syn") == 1) & ~repeated)
+    marked = before.select("packet_no", "flow", "us", F.coalesce(starts, F.lit(True)).cast("bigint").alias("_start"))
+    counted = running(marked, ["flow"], F.col("us"), ["us", "packet_no"], {"connection": ("sum", F.col("_start"))}, CONNECTION_CELL)
+    return counted.select("packet_no", "connection")
+
+
 def reassembly_cuts(segments: DataFrame) -> DataFrame:
     """Where each segment's new data starts: ``flow, arrival, start, skip, contiguous``.
 

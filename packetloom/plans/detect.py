@@ -75,7 +75,19 @@ def raw_matches(packets: DataFrame, rules: PreparedRules) -> DataFrame:
     return matched.withColumn("preview", preview).drop("payload", "buffers")
 
 
-def stream_matches(packets: DataFrame, raw: DataFrame, rules: PreparedRules) -> DataFrame:
+def connection_numbers(packets: DataFrame) -> DataFrame:
+    """``packet_no, connection`` of the TCP packets, from headers alone: one flow may hold several connections."""
+    headers = packets.filter("proto = 'TCP'").select("packet_no", "flow", "ts", "tcp_flags")
+    return materialize(flows.connections(headers))
+
+
+def _by_connection(segments: DataFrame, numbers: DataFrame, packet_no: str) -> DataFrame:
+    """Segments whose flow is the single connection."""
+    own = numbers.withColumnRenamed("packet_no", packet_no)
+    return segments.join(own, packet_no, "left").withColumn("flow", F.concat_ws("#", "flow", "connection")).drop("connection")
+
+
+def stream_matches(packets: DataFrame, raw: DataFrame, rules: PreparedRules, numbers: DataFrame) -> DataFrame:
     """Matches on newly contiguous stream data of TCP flows, flow keywords still open.
 
     Where a segment is all new data its matches are the raw ones; only segments
@@ -83,6 +95,7 @@ def stream_matches(packets: DataFrame, raw: DataFrame, rules: PreparedRules) ->
     """
     tcp = packets.filter((F.col("route") == "raw") & (F.col("proto") == "TCP") & F.col("seq").isNotNull())
     segments = tcp.select("flow", F.col("packet_no").alias("arrival"), "seq", F.length("payload").alias("size"))
+    segments = _by_connection(segments, numbers, "arrival")
     cuts = materialize(
         flows.reassembly_cuts(segments).filter("contiguous").select(F.col("arrival").alias("packet_no"), "skip")
     )
@@ -94,11 +107,11 @@ def stream_matches(packets: DataFrame, raw: DataFrame, rules: PreparedRules) ->
     return same.unionByName(again.withColumn("preview", preview).drop("payload", "buffers"))
 
 
-def http_messages(packets: DataFrame) -> DataFrame:
-    """Requests and responses of every TCP flow that carries HTTP, framed on the reassembled flow."""
+def http_messages(packets: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Requests and responses of every TCP connection that carries HTTP, framed on its reassembled bytes."""
     tcp = packets.filter((F.col("proto") == "TCP") & (F.col("route") != "skip_tls") & (F.length("payload") > 0))
     web = tcp.filter("route = 'http'").select("flow").distinct()
-    segments = tcp.join(web, "flow", "left_semi")
+    segments = _by_connection(tcp.join(web, "flow", "left_semi"), numbers, "packet_no")
     whole = flows.flow_bytes(
         flows.reassemble(segments.select("flow", F.col("packet_no").alias("arrival"), "seq", F.col("payload").alias("data")))
     )
@@ -134,15 +147,16 @@ def http_alerts(messages: DataFrame, rules: PreparedRules) -> DataFrame:
 def detect_rules(packets: DataFrame, rules: PreparedRules) -> DataFrame:
     """Alert rows of all rule matches after cross-mode dedupe (``packets`` as from ``routed``)."""
     raw = materialize(raw_matches(packets, rules))
+    numbers = connection_numbers(packets)
     single = _with_flow_state(raw, packets, stream=False)
-    streamed = _with_flow_state(stream_matches(packets, raw, rules), packets, stream=True)
+    streamed = _with_flow_state(stream_matches(packets, raw, rules, numbers), packets, stream=True)
     ports = single.filter("route = 'raw'")
     hits = rule_alerts(streamed, "stream").withColumn("mode", F.lit(0)).unionByName(
         rule_alerts(ports, "packet").withColumn("mode", F.lit(1))
     )
     kept = dedupe_modes(hits, 2, ["packet_no", "mode"], derived=True).drop("mode")
     other = rule_alerts(single.filter("route = 'ip'"), "ip")
-    return kept.unionByName(other).unionByName(http_alerts(materialize(http_messages(packets)), rules))
+    return kept.unionByName(other).unionByName(http_alerts(materialize(http_messages(packets, numbers)), rules))
 
 
 def detect_behavior(packets: DataFrame, settings: Settings, auth: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.plans.detect import Settings, detect, http_messages, routed
+from packetloom.plans.detect import Settings, connection_numbers, detect, http_messages, routed
 from packetloom.plans.queries_rules import make_rules
 from packetloom.plans.registry import query
 from packetloom.functions.http import http_requests
@@ -43,6 +43,7 @@ def _(spark, sf):
     """SELECT '10.2.0.' || (page_id % 50) AS src_ip, CAST(2000 + page_id AS INT) AS src_port, md5(html) AS body FROM pages""",
 )
 def _(spark, sf):
-    found = http_messages(routed(t.captured(spark, sf)))
+    packets = routed(t.captured(spark, sf))
+    found = http_messages(packets, connection_numbers(packets))
     requests = found.select("src_ip", "src_port", F.explode(http_requests(F.col("data"))["messages"]).alias("m"))
     return requests.select("src_ip", "src_port", F.md5("m.body").alias("body"))

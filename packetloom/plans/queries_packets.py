@@ -381,6 +381,30 @@ def _(spark, sf):
     return pieces.select("flow", "arrival", "start", F.md5(F.hex("data")).alias("data"), "contiguous")
 
 
+@query(
+    "t2_wrap",
+    f"""WITH {_SEGMENTS} SELECT flow, arrival, CAST(start - base + (base + 4294965000) % 4294967296 AS BIGINT) AS start, md5(h) AS data, contiguous
+      FROM done JOIN base USING (flow)""",
+)
+def _(spark, sf):
+    # the same segments where sequence numbers begin anew within most flows
+    pieces = flows.reassemble(t.segments(spark, sf).withColumn("seq", F.expr("(seq + 4294965000) % 4294967296")))
+    return pieces.select("flow", "arrival", "start", F.md5(F.hex("data")).alias("data"), "contiguous")
+
+
+@query(
+    "t2_connections",
+    f"""WITH {FLOWS}, f AS (SELECT packet_no, src_ip || '|' || dst_ip AS flow, epoch_us(ts) AS us,
+          CASE WHEN tcp_flags LIKE '%S%' AND tcp_flags NOT LIKE '%A%' THEN 1 ELSE 0 END AS syn FROM flows),
+        m AS (SELECT *, max(us * 2 + syn) OVER (PARTITION BY flow ORDER BY us, packet_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f),
+        s AS (SELECT *, CASE WHEN before IS NULL OR us - before // 2 > 7200000000 OR (syn = 1 AND before % 2 = 0) THEN 1 ELSE 0 END AS start FROM m)
+      SELECT packet_no, CAST(sum(start) OVER (PARTITION BY flow ORDER BY us, packet_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS connection FROM s""",
+)
+def _(spark, sf):
+    packets = t.flows(spark, sf).withColumn("flow", F.concat("src_ip", F.lit("|"), "dst_ip"))
+    return flows.connections(packets, idle=7200)
+
+
 @query(
     "t2_flow_bytes",
     f"""WITH {_SEGMENTS} SELECT flow, md5(string_agg(h, '' ORDER BY start)) AS data, CAST(sum(length(h) // 2) AS INT) AS size FROM done WHERE contiguous GROUP BY 1""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.http import dechunk
 from packetloom.operators.behavior import brute_force
-from packetloom.operators.flows import reassemble
+from packetloom.operators.flows import connections, reassemble
 from packetloom.operators.joins import fits
 from packetloom.operators.rule_text import resolve_variables
 from packetloom.operators.windows import silence
@@ -47,6 +47,13 @@ def test_sequence_numbers_wrap(spark):
     assert [(p["flow"], bytes(p["data"]), p["contiguous"]) for p in pieces] == [("f", b"abc", True), ("f", b"def", True), ("f", b"gh", True), ("g", b"xy", True)]
 
 
+def test_connections_start_at_a_syn_or_after_a_pause(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [(1, "f", at(0), "S"), (2, "f", at(1), "S"), (3, "f", at(1.1), "A"), (4, "f", at(100), "PA"), (5, "f", at(221), "PA"), (6, "f", at(230), "S"), (7, "f", at(231), "SA"), (8, "g", at(5), None), (9, "f", None, "A")]
+    found = connections(spark.createDataFrame(rows, "packet_no long, flow string, ts timestamp, tcp_flags string"))
+    assert {r["packet_no"]: r["connection"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 6: 3, 7: 3, 8: 1}
+
+
 def test_failures_at_one_instant_count_each(spark):
     rows = [(k, T0, "a", "b", False, "ftp") for k in range(7)] + [(9, T0 + timedelta(seconds=1), "a", "b", False, "ftp"), (10, T0, "z", "b", False, "ftp")]
     auth = spark.createDataFrame(rows, "packet_no long, ts timestamp, src_ip string, dst_ip string, success boolean, auth_type string")
