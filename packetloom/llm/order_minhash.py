@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import let, materialize, table_of, text_batches, unwrapped, wrapped
@@ -23,8 +23,8 @@ from packetloom.llm.common import let, materialize, table_of, text_batches, unwr
 WORDS = 5
 SIMILARITY = 0.8
 PICKED = 5  # k-mers in one sketch; at similarity 0.8 a pair has the same with probability 0.8**5
-SKETCHES, BUCKETS = 64, 36  # sketches of a text; those that are buckets: a pair at 0.8 misses all with probability below 1e-6
-AGREEING = 7  # same sketches that pairs across components need; a pair at 0.8 has fewer with probability below 1e-4
+SKETCHES, BUCKETS = 96, 36  # sketches of a text; those that are buckets: a pair at 0.8 misses all with probability below 1e-6
+AGREEING = 13  # same sketches that candidates need; a pair at 0.8 has fewer with probability below 1e-5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -225,6 +225,21 @@ def _pairs(candidates: DataFrame) -> DataFrame:
     return candidates.filter((F.col("x") != F.col("y")) & possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _same(x: str, y: str) -> Column:
+    return F.zip_with(x, y, lambda p, q: p == q)
+
+
+def _enough(same: Column) -> Column:
+    return F.size(F.filter(same, lambda v: v)) >= AGREEING
+
+
+def _agreeing(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) with enough sketches alike."""
+    left = sketch.select(F.col("text_class").alias("a"), F.col("sketch").alias("sketch_a"))
+    right = sketch.select(F.col("text_class").alias("_b"), F.col("sketch").alias("sketch_b"))
+    return pairs.join(left, "a").join(right, (F.col("b") == F.col("_b")) & _enough(_same("sketch_a", "sketch_b"))).select("a", "b")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, group_id, copy_of, is_first): the group of every document.
 
@@ -249,7 +264,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     shared = shared.filter("_size > 1").drop("_size")
     buckets = materialize(members.join(shared, "bucket"))
     stars = _pairs(buckets.select(F.col("text_class").alias("x"), F.col("n").alias("nx"), F.inline(F.array_distinct("centres"))).withColumnsRenamed({"text_class": "y", "n": "ny"}))
-    pairs = materialize(stars)
+    sketch = nodes.select("text_class", F.transform("buckets", lambda v: F.shiftright(v, 33).cast("int")).alias("sketch"))
+    pairs = materialize(_agreeing(stars, sketch))
     wanted = nodes.select("doc_id", "text_class").join(buckets.select("text_class").distinct(), "text_class", "left_semi")
     grams = materialize(_kmer_table(documents, wanted))
     links = _verified(pairs, grams)
@@ -259,7 +275,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     mixed = placed.groupBy("bucket").agg(F.mode("component", True).alias("common"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("bucket", "common")
     held = placed.join(mixed, "bucket")
     shared = _shared_kmers(grams, held.select("text_class").distinct())
-    sketch = nodes.select("text_class", F.transform("buckets", lambda v: F.shiftright(v, 33).cast("int")).alias("sketch"))
     held = materialize(held.join(shared, "text_class").join(sketch, "text_class"))
     names = ["text_class", "n", "shared", "component", "sketch"]
     others = held.filter("component <> common").select("bucket", "at", *[F.col(c).alias(f"{c}_x") for c in names])
@@ -268,10 +283,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     enough = (1 + SIMILARITY) * F.least("shared_x", "shared_y") >= SIMILARITY * (F.col("n_x") + F.col("n_y")) - 1e-6
     possible = (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") >= SIMILARITY * F.greatest("n_x", "n_y")) & enough
     # a pair comes out once, from the first bucket that it shares
-    agree = let(
-        F.zip_with("sketch_x", "sketch_y", lambda p, q: p == q),
-        lambda same: (F.array_position(same, F.lit(True)) - 1 == F.col("at")) & (F.size(F.filter(same, lambda v: v)) >= AGREEING),
-    )
+    agree = let(_same("sketch_x", "sketch_y"), lambda same: (F.array_position(same, F.lit(True)) - 1 == F.col("at")) & _enough(same))
     across = others.join(theirs, (F.col("bucket") == F.col("_bucket")) & possible & agree)
     named = across.select(*[F.col(f"{c}_{side}").alias(f"{new}{side}") for c, new in (("text_class", ""), ("n", "n")) for side in "xy"])
     rest = _pairs(named).join(pairs, ["a", "b"], "left_anti")
