@@ -2,7 +2,9 @@
 
 A text's k-mers are its runs of five words, labelled by their occurrence number. A sketch is, for each of several hash
 functions, the few k-mers with the smallest values, in text order; so texts meet in a bucket if they share such k-mers
-in the same order. Bucket members are aligned in a band: aligned k-mers over all k-mers of both is the similarity.
+in the same order. Texts of few k-mers also meet in the buckets of their rarest k-mers, so that no similar pair of them
+is missed. Bucket members are aligned in a band: aligned k-mers over all k-mers of both is the similarity. Before that,
+only pairs go that cannot reach it by their lengths or by the k-mers that they do not share.
 
 Groups are the components of "similarity of 0.8 or more" among texts that share a bucket. Texts are first compared with
 a few centres of their buckets; after that, only with those bucket members that are still in another component.
@@ -18,13 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import let, materialize, table_of, text_batches, unwrapped, wrapped
+from packetloom.llm.common import materialize, table_of, text_batches, unwrapped, wrapped
 
 WORDS = 5
 SIMILARITY = 0.8
 PICKED = 5  # k-mers in one sketch; at similarity 0.8 a pair has the same with probability 0.8**5
-SKETCHES, BUCKETS = 96, 36  # sketches of a text; those that are buckets: a pair at 0.8 misses all with probability below 1e-6
-AGREEING = 13  # same sketches that candidates need; a pair at 0.8 has fewer with probability below 1e-5
+SKETCHES = 36  # sketches of a text, each a bucket: two long texts at 0.8 without repeats miss all with probability of about 1e-6
+FEW = 80  # k-mers up to which texts also meet by their rarest k-mers
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -83,6 +85,16 @@ def order_sketch(keys: np.ndarray, sketches: int = SKETCHES, picked: int = PICKE
     return found
 
 
+def parities(keys: np.ndarray) -> np.ndarray:
+    """Whether the number of k-mers at each place is odd, as bits; the place is the head of the k-mer's hash.
+
+    A k-mer that two texts share changes both alike, so at least as many k-mers as bits differ are in one of them only.
+    """
+    head = 11 if len(keys) <= 2000 else 13
+    odd = np.bincount((keys >> np.uint64(64 - head)).astype(np.int64), minlength=1 << head) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence within ``band`` places of the diagonal; a row of bits at a time."""
     same = int(min(len(a), len(b)))
@@ -126,21 +138,40 @@ def similarity_reaches(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 
 def sketched(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_class, n, buckets): a hash of the words, the number of k-mers, the sketch. Without words the class is null."""
-    out = pa.schema([("doc_id", pa.int64()), ("text_class", pa.int64()), ("n", pa.int32()), ("buckets", pa.list_(pa.int64()))])
+    """(doc_id, text_class, n, buckets, odd, few): a hash of the words, the number of k-mers, the sketch, the k-mers' parities,
+    few k-mers themselves. Without words the class is null.
+    """
+    lists = [(name, pa.list_(pa.int64())) for name in ("buckets", "odd", "few")]
+    out = pa.schema([("doc_id", pa.int64()), ("text_class", pa.int64()), ("n", pa.int32()), *lists])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
             for begin in range(0, len(texts), 1000):
-                classes, counts, buckets = [], [], []
+                classes, counts, buckets, odd, few = [], [], [], [], []
                 for text in texts[begin : begin + 1000]:
                     runs = kmers(text)
                     classes.append(class_of(text) if len(runs) else None)
                     counts.append(len(runs))
-                    buckets.append(order_sketch(labelled(runs)).view(np.int64) if len(runs) else [])
-                yield table_of(out, ids.slice(begin, 1000).cast(pa.int64()), classes, counts, buckets)
+                    keys = labelled(runs)
+                    buckets.append(order_sketch(keys).view(np.int64) if len(runs) else [])
+                    odd.append(parities(keys) if len(runs) else [])
+                    few.append(keys.view(np.int64) if len(runs) <= FEW else [])
+                yield table_of(out, ids.slice(begin, 1000).cast(pa.int64()), classes, counts, buckets, odd, few)
+
+    return documents.select("doc_id", "text").mapInArrow(sketch, "doc_id bigint, text_class bigint, n int, buckets array<bigint>, odd array<bigint>, few array<bigint>")
 
-    return documents.select("doc_id", "text").mapInArrow(sketch, "doc_id bigint, text_class bigint, n int, buckets array<bigint>")
+
+def _rarest(nodes: DataFrame) -> DataFrame:
+    """(text_class, rare): those of the rarest k-mers of each text of few k-mers that other such texts have too.
+
+    Similar texts share SIMILARITY of either one's k-mers. In one order of all k-mers, the first of the shared ones is
+    then among the first (1 - SIMILARITY) of each text's, and one more; so both texts have it in ``rare``.
+    """
+    kmers = nodes.select("text_class", "n", F.explode("few").alias("kmer"))
+    owners = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("owners"))
+    ordered = kmers.join(owners, "kmer").groupBy("text_class", "n").agg(F.sort_array(F.collect_list(F.struct("owners", "kmer"))).alias("_all"))
+    head = F.slice("_all", F.lit(1), (F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1).cast("int"))
+    return ordered.select("text_class", F.transform(F.filter(head, lambda k: k["owners"] > 1), lambda k: k["kmer"]).alias("rare"))
 
 
 def class_of(text: str) -> int:
@@ -225,19 +256,19 @@ def _pairs(candidates: DataFrame) -> DataFrame:
     return candidates.filter((F.col("x") != F.col("y")) & possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _same(x: str, y: str) -> Column:
-    return F.zip_with(x, y, lambda p, q: p == q)
-
-
-def _enough(same: Column) -> Column:
-    return F.size(F.filter(same, lambda v: v)) >= AGREEING
+def _within_reach(x: str, y: str) -> Column:
+    """False where the numbers and parities of k-mers of both sides show that they share too few, whatever their order."""
+    both = F.col(f"n_{x}") + F.col(f"n_{y}")
+    differ = F.zip_with(f"odd_{x}", f"odd_{y}", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.when(F.size(f"odd_{x}") == F.size(f"odd_{y}"), F.aggregate(differ, F.lit(0), lambda s, v: s + v)).otherwise(0)
+    # at most half of the others are shared, and a pair needs SIMILARITY / (1 + SIMILARITY) of both texts' k-mers aligned
+    return (1 + SIMILARITY) * (both - apart) >= 2 * SIMILARITY * both - 1e-6
 
 
-def _agreeing(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) with enough sketches alike."""
-    left = sketch.select(F.col("text_class").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = sketch.select(F.col("text_class").alias("_b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(left, "a").join(right, (F.col("b") == F.col("_b")) & _enough(_same("sketch_a", "sketch_b"))).select("a", "b")
+def _reachable(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) without those that share too few k-mers."""
+    left, right = (nodes.select(F.col("text_class").alias(f"_{c}"), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
+    return pairs.join(left, F.col("a") == F.col("_a")).join(right, (F.col("b") == F.col("_b")) & _within_reach("a", "b")).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -253,9 +284,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     sketches = materialize(sketched(documents))
     nodes = materialize(
-        sketches.filter("text_class is not null").groupBy("text_class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+        sketches.filter("text_class is not null").groupBy("text_class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("buckets", "odd", "few")])
     )
-    members = nodes.select("text_class", "n", F.posexplode(F.slice("buckets", 1, BUCKETS)).alias("at", "bucket"))
+    buckets = F.when(F.col("rare").isNull(), F.col("buckets")).otherwise(F.concat("buckets", "rare"))
+    nodes = materialize(nodes.join(_rarest(nodes), "text_class", "left").select("text_class", "doc_id", "n", buckets.alias("buckets"), "odd"))
+    members = nodes.select("text_class", "n", F.explode("buckets").alias("bucket"))
     order = F.xxhash64("text_class")
     centre = F.struct("text_class", "n")
     shared = members.groupBy("bucket").agg(
@@ -264,27 +297,26 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     shared = shared.filter("_size > 1").drop("_size")
     buckets = materialize(members.join(shared, "bucket"))
     stars = _pairs(buckets.select(F.col("text_class").alias("x"), F.col("n").alias("nx"), F.inline(F.array_distinct("centres"))).withColumnsRenamed({"text_class": "y", "n": "ny"}))
-    sketch = nodes.select("text_class", F.transform("buckets", lambda v: F.shiftright(v, 33).cast("int")).alias("sketch"))
-    pairs = materialize(_agreeing(stars, sketch))
+    pairs = materialize(_reachable(stars, nodes))
     wanted = nodes.select("doc_id", "text_class").join(buckets.select("text_class").distinct(), "text_class", "left_semi")
     grams = materialize(_kmer_table(documents, wanted))
     links = _verified(pairs, grams)
     # members whose component is not their bucket's commonest meet all members of other components
     labels = components(links)
-    placed = materialize(buckets.select("bucket", "at", "text_class", "n").join(labels.withColumnRenamed("node", "text_class"), "text_class", "left").withColumn("component", F.coalesce("component", "text_class")))
+    placed = materialize(buckets.select("bucket", "text_class", "n").join(labels.withColumnRenamed("node", "text_class"), "text_class", "left").withColumn("component", F.coalesce("component", "text_class")))
     mixed = placed.groupBy("bucket").agg(F.mode("component", True).alias("common"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("bucket", "common")
     held = placed.join(mixed, "bucket")
     shared = _shared_kmers(grams, held.select("text_class").distinct())
-    held = materialize(held.join(shared, "text_class").join(sketch, "text_class"))
-    names = ["text_class", "n", "shared", "component", "sketch"]
-    others = held.filter("component <> common").select("bucket", "at", *[F.col(c).alias(f"{c}_x") for c in names])
+    held = materialize(held.join(shared, "text_class").join(nodes.select("text_class", "buckets", "odd"), "text_class"))
+    names = ["text_class", "n", "shared", "component", "buckets", "odd"]
+    others = held.filter("component <> common").select("bucket", *[F.col(c).alias(f"{c}_x") for c in names])
     theirs = held.select(F.col("bucket").alias("_bucket"), *[F.col(c).alias(f"{c}_y") for c in names])
     # aligned k-mers are shared ones, and a pair needs SIMILARITY / (1 + SIMILARITY) of both texts' k-mers aligned
     enough = (1 + SIMILARITY) * F.least("shared_x", "shared_y") >= SIMILARITY * (F.col("n_x") + F.col("n_y")) - 1e-6
     possible = (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") >= SIMILARITY * F.greatest("n_x", "n_y")) & enough
-    # a pair comes out once, from the first bucket that it shares
-    agree = let(_same("sketch_x", "sketch_y"), lambda same: (F.array_position(same, F.lit(True)) - 1 == F.col("at")) & _enough(same))
-    across = others.join(theirs, (F.col("bucket") == F.col("_bucket")) & possible & agree)
+    # a pair comes out once, from the smallest bucket that it shares
+    once = F.array_min(F.array_intersect("buckets_x", "buckets_y")) == F.col("bucket")
+    across = others.join(theirs, (F.col("bucket") == F.col("_bucket")) & possible & _within_reach("x", "y") & once)
     named = across.select(*[F.col(f"{c}_{side}").alias(f"{new}{side}") for c, new in (("text_class", ""), ("n", "n")) for side in "xy"])
     rest = _pairs(named).join(pairs, ["a", "b"], "left_anti")
     more = _verified(rest, grams)

@@ -254,6 +254,30 @@ def test_groups_of_a_table(spark):
     assert {frozenset(g & kept) for g in groups.values() if g & kept} == {frozenset(k for k in want if want[k] == g) for g in set(want.values())}
 
 
+def test_short_texts_with_few_changes_meet(spark, documents):
+    """Pairs at 0.8 or somewhat more of few k-mers share few sketches or none; every one of them is found."""
+    draw = random.Random(17)
+    rows, near = [], {}
+    for size, more in [(8, 1), (9, 1), (12, 2), (14, 2), (24, 5), (40, 9)] * 60:
+        words = [f"{draw.randrange(10**9):x}" for _ in range(size)]
+        near[len(rows) + 1] = len(rows)
+        rows += [" ".join(words), " ".join([*words, *(f"{draw.randrange(10**9):x}" for _ in range(more))])]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.group_id for r in order_minhash.near_duplicates(documents(rows)).collect()}
+    assert got == {k: near.get(k, k) for k, _ in rows}
+
+
+def test_pairs_out_of_reach_are_not_similar():
+    """The parities never differ in more places than k-mers are in one text only."""
+    draw = np.random.default_rng(3)
+    for size in (1, 50, 1500, 3000, 20_000):
+        a = draw.integers(0, 2**64, size, dtype=np.uint64)
+        b = np.concatenate([a[: size * 3 // 4], draw.integers(0, 2**64, size // 4, dtype=np.uint64)])
+        x, y = order_minhash.parities(a), order_minhash.parities(b)
+        if len(x) == len(y):
+            assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_long_texts_align(spark, documents):
     draw = random.Random(2)
     words = [str(draw.randrange(10**6)) for _ in range(40_000)]
