@@ -104,12 +104,14 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
             yield number, row_ids[places], line[chosen].astype(np.int64)
 
 
-def plan_blocks(summary: list, pivots: np.ndarray, k: int, block: int) -> tuple[list, list]:
+def plan_blocks(summary: list, pivots: np.ndarray, k: int, block: int, own: dict[int, int] | None = None) -> tuple[list, list]:
     """Blocks of queries and the shells each needs, from the cells' summaries.
 
-    ``summary``: rows with cell, shell, n, n_queries, reach (largest distance to the pivot). Returns
+    ``summary``: rows with cell, shell, n, n_queries, reach (largest distance to the pivot). ``own``: for a cell the most
+    rows, of the whole table, that have the vec_id of one of its queries; 1 if not given. Returns
     ``(cell, first block, number of blocks)`` for cells with queries, and ``(cell, shell, [blocks])``.
     """
+    own = own or {}
     cells: dict[int, list] = {}
     for row in summary:
         held = cells.setdefault(row["cell"], [0, 0.0])
@@ -151,7 +153,8 @@ def plan_blocks(summary: list, pivots: np.ndarray, k: int, block: int) -> tuple[
             slack = 1e-6 * (1 + np.abs(inner) + around)
             least, most = inner - around - slack, inner + around + slack
             order = np.argsort(-least, kind="stable")
-            enough = np.searchsorted(np.cumsum(count[order]), k + 1)  # one of them may be the query itself
+            # so many of them may have the query's own vec_id
+            enough = np.searchsorted(np.cumsum(count[order]), k + max(own.get(c, 1) for c in members))
             border = least[order[enough]] if enough < len(order) else -np.inf
             wanted = np.flatnonzero(most >= border)
         for j in wanted.tolist():
@@ -165,8 +168,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, pivots: int = PIVOTS, block
     ``vectors``: (vec_id, x array<bigint>), see :func:`integer_vectors`. ``is_query``: a condition on vec_id. Ranks start
     at 1, ties go to the smaller vec_id, all rows but those of the query's own vec_id are candidates; a query with fewer
     has fewer. Rows that repeat with the same vec_id and vector are candidates each but one query. Short vectors count as
-    filled with zeros. An empty table, or one without queries, has no results. The driver holds the sample, the pivots
-    and the summaries (at most pivots x shells rows); blocks and chunks bound what one task holds.
+    filled with zeros. An empty table, or one without queries, has no results. The driver holds the sample, the pivots,
+    the summaries (at most pivots x shells rows) and one count for each pivot; blocks and chunks bound what one task holds.
     """
     spark = vectors.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
@@ -190,7 +193,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, pivots: int = PIVOTS, block
         F.count(F.lit(1)).alias("n"), F.count_if("query").alias("n_queries"), F.max("distance").alias("reach"), F.max(F.when(F.col("query"), F.col("distance"))).alias("query_reach")
     )
     summary = [r.asDict() for r in summary.orderBy("cell", "shell").collect()]
-    dealt, needed = plan_blocks(summary, centres, k, block)
+    repeated = placed.filter("query").groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("cell").alias("cells")).filter("n > 1")
+    own = {r["cell"]: r["n"] for r in repeated.select(F.explode("cells").alias("cell"), "n").groupBy("cell").agg(F.max("n").alias("n")).collect()}
+    dealt, needed = plan_blocks(summary, centres, k, block, own)
     if not dealt:
         return spark.createDataFrame([], schema)
     n_of = {(r["cell"], r["shell"]): r["n"] for r in summary}

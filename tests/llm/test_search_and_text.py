@@ -52,6 +52,15 @@ def test_top_k_of_few_or_no_rows(spark):
     assert run([(0, [1.0]), (3, [-1.0])]) == [(0, 1, 3, -64 * 64)]
 
 
+def test_query_with_many_rows_of_its_own(spark):
+    """Rows of the query's own vec_id, which are no candidates, do not stand for the k that it needs."""
+    rows = [(0, [100.0, 0.0])] * 30 + [(20 * k + 1, [-100.0 + k / 64, 0.0]) for k in range(50)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = voronoi_knn.top_k(voronoi_knn.integer_vectors(frame), F.col("vec_id") % 20 == 0, 20, pivots=2)
+    want = brute_top(rows, lambda i: i % 20 == 0, 20)
+    assert len(want) == 20 and sorted(map(tuple, got.collect())) == want
+
+
 def test_cells_that_cannot_reach_are_not_sent():
     pivots = np.array([[100.0, 0], [-100.0, 0]])
     summary = [{"cell": c, "shell": 0, "n": 50, "n_queries": 5 if c == 0 else 0, "reach": 1.0, "query_reach": 1.0} for c in (0, 1)]
