@@ -1,6 +1,7 @@
 """Personal data replaced by surrogates: keyed, of the same type and form, one for each person or number.
 
-Entities are found by patterns in whole texts. Every distinct value gets one candidate from the secret key; candidates
+Entities are found by patterns in whole texts: names behind titles, then the same names without a title in the same
+document. Every distinct value gets one candidate from the secret key; candidates
 that meet another value's surrogate, or any real value, are drawn again until none does. So different values stay
 different, and all mentions of a value, however written, get the same surrogate in their own writing.
 """
@@ -17,6 +18,12 @@ from packetloom.llm.common import let, materialize, unwrapped, wrapped
 # Titles before names, by gender: fixed values.
 HE = "Mr|Mister|Herr|Monsieur|Señor|Sr|Don|Sir"
 SHE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Doña|Madam"
+# Those of other scripts, whose letters are no word characters to \b.
+HE_OTHER = "[Гг]осподин(?:а|у|ом|е)?|[Гг]-(?:н|на|ну|ном|не)|[Κκ]ύρι(?:ος|ου|ο|ε)|[Κκ]ος|[Κκ]"
+SHE_OTHER = "[Гг]осп(?:ожа|ожи|оже|ожу|ожой)|[Гг]-(?:жа|жи|же|жу|жой)|[Κκ]υρία(?:ς)?|[Κκ]α(?:ς)?"
+HE_TITLE = rf"(?:\b(?:{HE})|(?<![\p{{L}}\p{{N}}_-])(?:{HE_OTHER}))"
+SHE_TITLE = rf"(?:\b(?:{SHE})|(?<![\p{{L}}\p{{N}}_-])(?:{SHE_OTHER}))"
+TITLE = rf"(?:{HE_TITLE}|{SHE_TITLE})"
 NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
@@ -24,11 +31,17 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "name": rf"(?=\p{{Lu}})(?<= )(?:(?<=\b(?:{HE}|{SHE})\.? ){NAME}|(?<=\b(?:{HE}|{SHE})\.? {NAME} ){NAME})",
+    "name": rf"(?=\p{{Lu}})(?<= )(?:(?<={TITLE}\.? ){NAME}|(?<={TITLE}\.? {NAME} ){NAME})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity.
-MAY_HOLD = rf"[0-9@]|\b(?:{HE}|{SHE})\.? \p{{Lu}}"
+MAY_HOLD = rf"[0-9@]|{TITLE}\.? \p{{Lu}}"
+#: A text without this holds no name. In one with it, words are looked up that may be a name without its title: whole
+#: capitalised ones, without a possessive ending, that are no part of a mail address.
+TITLED = rf"{TITLE}\.? \p{{Lu}}"
+WORD = r"(?<![\p{L}\p{N}_'’-])\p{Lu}[\p{L}'’-]{1,30}?(?=['’-]*(?:['’]s)?(?![\p{L}'’-]))(?![\p{N}_]|[A-Za-z0-9._%+'’-]*@)"
+POSSESSIVE = "['’-]*(?:['’]s)?$"
+WITH_WORDS = rf"{ANY}|(?:{WORD})"
 #: Letters from which names are made, by script: consonants, vowels, the ending of women's names.
 SCRIPTS = {"latin": ("bdfgklmnprstv", "aeiou", "a"), "cyrillic": ("бвгдзклмнпрст", "аеиоу", "а"), "greek": ("βγδζκλμνπρστ", "αεηιο", "α")}
 MOST_ROUNDS = 60
@@ -50,26 +63,52 @@ def _canonical(kind: Column, mention: Column) -> Column:
     return F.when(kind.isin("email", "name"), F.lower(mention)).when(kind == "ip", mention).otherwise(F.regexp_replace(mention, "[^0-9]", ""))
 
 
-def _mentions(text: Column) -> Column:
-    """array<struct<place, mention, kind, value>>: names are parted into given names by gender and family names."""
+def _mentions(text: Column, words: bool) -> Column:
+    """array<struct<place, mention, kind, value>>: names are parted into given names by gender and family names.
 
-    def described(pieces: Column) -> Column:
-        def named(found: Column) -> Column:
-            def one(mention: Column, k: Column) -> Column:
-                kind = _kind(mention)
-                before, behind = F.get(pieces, k), F.get(pieces, k + 1)
-                second = (before == " ") & (k > 0) & (_kind(F.get(found, k - 1)) == "name")
-                first_of_two = (behind == " ") & F.coalesce(_kind(F.get(found, k + 1)) == "name", F.lit(False))
-                woman = before.rlike(rf"\b(?:{SHE})\.? $")
-                part = F.when(second | ~first_of_two, "family").when(woman, "given_f").otherwise("given_m")
-                kind = F.when(kind == "name", part).otherwise(kind)
-                return F.struct(k.alias("place"), mention.alias("mention"), kind.alias("kind"), _canonical(_kind(mention), mention).alias("value"))
-
-            return F.transform(found, one)
-
-        return let(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), named)
+    With ``words``, words that may be names too are mentions without a kind; their value is that of a name.
+    """
+    pattern = WITH_WORDS if words else ANY
 
-    return let(F.split(text, ANY, -1), described)
+    def described(pieces: Column) -> Column:
+        def named(whole: Column) -> Column:
+            def kinds(found: Column) -> Column:
+                def one(mention: Column, k: Column) -> Column:
+                    kind = _kind(mention)
+                    before, behind = F.get(pieces, k), F.get(pieces, k + 1)
+                    second = (before == " ") & (k > 0) & (_kind(F.get(found, k - 1)) == "name")
+                    first_of_two = (behind == " ") & F.coalesce(_kind(F.get(found, k + 1)) == "name", F.lit(False))
+                    # the title may be such a word
+                    woman = F.concat(F.coalesce(F.get(whole, k - 1), F.lit("")), before).rlike(rf"{SHE_TITLE}\.? $")
+                    part = F.when(second | ~first_of_two, "family").when(woman, "given_f").otherwise("given_m")
+                    kind = F.when(kind == "name", part).otherwise(kind)
+                    value = _canonical(_kind(mention), mention)
+                    if words:
+                        kind = F.when(mention != "", kind)
+                        value = F.when(mention == "", F.lower(F.get(whole, k))).otherwise(value)
+                    return F.struct(k.alias("place"), F.get(whole, k).alias("mention"), kind.alias("kind"), value.alias("value"))
+
+                return F.transform(found, one)
+
+            # what only WORD matches has an empty group here
+            return let(F.regexp_extract_all(text, F.lit(f"({ANY})|(?:{WORD})"), F.lit(1)), kinds) if words else kinds(whole)
+
+        return let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), named)
+
+    return let(F.split(text, pattern, -1), described)
+
+
+def _looked_up(words: DataFrame) -> DataFrame:
+    """The mentions with those words that are, without a title, a name of their document as such."""
+    found, bare = words.filter("kind is not null"), words.filter("kind is null").drop("kind")
+    # a word that is a name in several ways: the written value before one without its ending, family names first
+    key = F.regexp_replace("value", POSSESSIVE, "")
+    names = found.filter(F.col("kind").isin("family", "given_f", "given_m")).select("doc_id", "content", "kind", "value", F.explode(F.array_distinct(F.array(key, "value"))).alias("_key"))
+    best = F.min(F.struct(F.col("_key") != F.col("value"), F.col("kind") != "family", "kind", "value")).alias("_best")
+    names = names.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "_key").agg(best)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")) & (F.col("value") == F.col("_key"))
+    known = bare.join(names, same, "left").select("doc_id", "content", "place", "mention", F.col("_best.kind").alias("kind"), F.col("_best.value").alias("value"))
+    return found.select(known.columns).union(known)
 
 
 def _number(key: Column, place, most: int) -> Column:
@@ -191,11 +230,14 @@ def replace_personal_data(documents: DataFrame, secret: str) -> DataFrame:
     """
     content = F.xxhash64("text")
     held = documents.filter(F.col("text").rlike(MAY_HOLD))
-    found = materialize(held.select("doc_id", content.alias("content"), F.inline(_mentions(F.col("text")))))
-    known = surrogates(found, secret)
-    written = found.join(known, ["kind", "value"]).select(
-        "doc_id", "content", F.struct("place", _written(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("surrogate")).alias("_one")
-    )
+    named = F.col("text").rlike(TITLED)
+    words = materialize(held.filter(named).select("doc_id", content.alias("content"), F.inline(_mentions(F.col("text"), True))))
+    plain = held.filter(~named).select("doc_id", content.alias("content"), F.inline(_mentions(F.col("text"), False)))
+    found = materialize(plain.select("doc_id", "content", "place", "mention", "kind", "value").union(_looked_up(words)))
+    known = surrogates(found.filter("kind is not null"), secret)
+    # other words stay in the list as they are
+    new = F.coalesce(_written(F.col("mention"), F.col("kind"), F.col("surrogate")), F.col("mention"))
+    written = found.join(known, ["kind", "value"], "left").select("doc_id", "content", F.struct("place", new.alias("surrogate"), F.col("kind").isNotNull().alias("entity")).alias("_one"))
     by_document = written.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.sort_array(F.collect_set("_one")).alias("_new"))
     rows = wrapped(documents.drop("n_entities"))
     old = F.col("row.text")
@@ -205,6 +247,6 @@ def replace_personal_data(documents: DataFrame, secret: str) -> DataFrame:
         behind = F.transform(F.col("_new"), lambda n: F.concat(n["surrogate"], F.get(pieces, n["place"] + 1)))
         return F.concat(F.get(pieces, F.lit(0)), F.array_join(behind, ""))
 
-    text = F.when(F.col("_new").isNull(), old).otherwise(let(F.split(old, ANY, -1), replaced))
-    count = F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new")).cast("bigint").alias("n_entities")
+    text = F.when(F.col("_new").isNull(), old).otherwise(F.when(old.rlike(TITLED), let(F.split(old, WITH_WORDS, -1), replaced)).otherwise(let(F.split(old, ANY, -1), replaced)))
+    count = F.when(F.col("_new").isNull(), 0).otherwise(F.size(F.filter("_new", lambda n: n["entity"]))).cast("bigint").alias("n_entities")
     return joined.select(*unwrapped(rows, text=text), count)

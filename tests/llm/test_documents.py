@@ -153,6 +153,35 @@ def test_writings_of_one_entity(spark, documents, clashing):
     assert pii_surrogates.replace_personal_data(documents([]), "key").count() == 0
 
 
+def test_names_without_their_title(spark, documents):
+    """Later and earlier mentions of a document's names go too; the same words elsewhere, and other words, stay."""
+    rows = [
+        (1, "Smith rang. Mr. John Smith called. Smith's son, John Smith, left; SMITH slept. Smithson, Johnny, Smith-Jones and smith@x.org stay"),
+        (2, "Smith and John are no names here"),
+        (3, "Господин Иван Петров пришёл, потом Петров ушёл. Г-жа Анна Петрова"),
+        (4, "κ. Νίκος Παππάς και Παππάς"),
+        (None, "Mrs. Anna Lee. Élan@x.com Anna"), (5, "Mr. Ian Low and Low"), (5, "Low Mr. Ian Other"),
+    ]
+    got = pii_surrogates.replace_personal_data(documents(rows), "key").collect()
+    texts, counts = ({(r.doc_id, k): v for k, (r, v) in enumerate((r, r[c]) for r in sorted(got, key=lambda r: (r.doc_id or 0, -len(r.text))))} for c in ("text", "n_entities"))
+    one = re.fullmatch(r"(\w+) rang\. Mr\. (\w+) (\w+) called\. (\w+)'s son, (\w+) (\w+), left; (\w+) slept\. Smithson, Johnny, Smith-Jones and \S+@example\.\w+ stay", next(t for (k, _), t in texts.items() if k == 1))
+    smith, john = one[3], one[2]
+    assert (one[1], one[4], one[5], one[6], one[7]) == (smith, smith, john, smith, smith.upper()) and smith != "Smith" and john != "John"
+    by_id = defaultdict(list)
+    for (k, _), t in texts.items():
+        by_id[k].append(t)
+    assert by_id[2] == [rows[1][1]]
+    three = re.fullmatch(r"Господин ([А-Я][а-я]+) ([А-Я][а-я]+) пришёл, потом ([А-Я][а-я]+) ушёл\. Г-жа ([А-Я][а-я]+а) ([А-Я][а-я]+)", by_id[3][0])
+    assert three[2] == three[3] != "Петров" and three[1] != "Иван" and three[4] != "Анна" and three[5] != "Петрова"
+    four = re.fullmatch(r"κ\. (\w+) (\w+) και (\w+)", by_id[4][0])
+    assert four[2] == four[3] != "Παππάς" and four[1] != "Νίκος"
+    assert re.fullmatch(r"Mrs\. (\w+a) \w+\. É\S+@example\.\w+ \1", by_id[None][0]) and "Anna" not in by_id[None][0]
+    # rows of one doc_id keep apart
+    low = next(t for t in by_id[5] if t.startswith("Mr."))
+    assert re.fullmatch(r"Mr\. \w+ (\w+) and \1", low) and "Low" not in low and any(t.startswith("Low Mr.") for t in by_id[5])
+    assert {k: v for (k, _), v in counts.items() if k in (1, 2, 3, 4)} == {1: 8, 2: 0, 3: 5, 4: 3}
+
+
 def test_surrogates_that_meet_are_drawn_again(spark, monkeypatch):
     """With few possible surrogates most first draws meet; all values still end with their own."""
     values = spark.createDataFrame([("ssn", f"{k:03d}") for k in range(0, 900)], "kind string, value string").repartition(4)
