@@ -30,6 +30,7 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|di
 WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 # Elements whose text is never shown as part of a page's text.
 SILENT = RAW | frozenset("head template svg math object select button canvas audio video datalist".split())
 BLOCKS = frozenset(
@@ -52,7 +53,7 @@ class Page:
         self.own, self.linked = [0], [0]  # characters right in the element, and of those in links
         stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # (tag, element, silent)
         block, links, at, end = 0, 0, 0, len(source)
-        find, lowered = TOKEN.match, None
+        find = TOKEN.match
         while at < end:
             token = find(source, at)
             at = token.end() if token else at + 1
@@ -110,9 +111,8 @@ class Page:
                 self.linked.append(0)
             if tag in RAW:
                 # up to the end tag, whatever stands between
-                lowered = source.lower() if lowered is None else lowered
-                close = lowered.find(f"</{tag}", at) if len(lowered) == end else source.find(f"</{tag}", at)
-                at = end if close < 0 else close
+                close = RAW_ENDS[tag].search(source, at)
+                at = close.start() if close else end
                 found = source.find(">", at)
                 at = end if found < 0 else found + 1
                 continue

@@ -191,6 +191,13 @@ def test_page_parts(model):
     assert page.text(model.marginals(page)) == "Big Title First bolded & plain line. Second one"
 
 
+def test_end_tags_of_scripts_in_any_case():
+    """Also on pages with a character whose lower case is longer."""
+    for tag, end in [("script", "SCRIPT"), ("STYLE", "Style"), ("textarea", "TextArea"), ("noscript", "NOSCRIPT")]:
+        page = html_marginals.Page(f"<p>\u0130stanbul</p><{tag}>if(a<b)</{end}><p>behind</p>")
+        assert [text for _, _, text in page.pieces] == ["\u0130stanbul", "behind"]
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (None, None, "<article><p>x y</p></article>"), (3, "u", "<" * 50), (4, "u", "<div>" * 50_000 + "deep"), (5, "u", "<article><p>" + "long text " * 60_000 + "</article>"), (2, "u", ""), (6, "u", "<script>never closed"), (7, "u", "<p class='a>b")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
