@@ -15,6 +15,7 @@ from packetloom.llm import (
     pattern_packing,
     pii_surrogates,
     piece_bpe,
+    ptolemaic_clusters,
     quality_rules,
     secret_automaton,
     voronoi_knn,
@@ -122,3 +123,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_marginals.main_text(read_table(spark, sf_dir, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op11_ptolemaic_clusters", ptolemaic_clusters.sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ptolemaic_clusters.centroid_clusters(read_table(spark, sf_dir, "embeddings"))
