@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from packetloom.llm import (
     html_marginals,
     line_templates,
+    merkle_manifest,
     order_minhash,
     pattern_packing,
+    phrase_automata,
     pii_surrogates,
     piece_bpe,
     ptolemaic_clusters,
@@ -128,3 +130,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_ptolemaic_clusters", ptolemaic_clusters.sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ptolemaic_clusters.centroid_clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_phrase_automata", phrase_automata.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.remove_repeated_passages(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op13_merkle_manifest", merkle_manifest.sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.document_manifest(read_table(spark, sf_dir, "documents")).drop("copies")

@@ -1,10 +1,12 @@
 """Centroid clusters, dataset manifest: against plain versions."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
 
+from packetloom.llm import merkle_manifest as mm
 from packetloom.llm import ptolemaic_clusters as pc
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -86,3 +88,93 @@ def test_bounds_stay_below_the_distances():
         assert (bounds <= true).all()
         if move == 0:
             assert (bounds > 0.999 * true).all()
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def plain_leaf(doc_id, text, lang, source, n_chars):
+    fields = [None if f is None else str(f) for f in (doc_id, source, lang, n_chars, text)]
+    return h(*["-" if f is None else f"{len(f.encode())}:{f}" for f in fields])
+
+
+def plain_root(leaves):
+    """(root, siblings and their side for each leaf), level by level."""
+    paths, at, nodes = [[] for _ in leaves], list(range(len(leaves))), list(leaves)
+    while len(nodes) > 1:
+        for k, place in enumerate(at):
+            first = place // 8 * 8
+            paths[k] += [("".join(nodes[first:place]), "".join(nodes[place + 1 : first + 8]))]
+        at, nodes = [p // 8 for p in at], [h(*nodes[k : k + 8]) for k in range(0, len(nodes), 8)]
+    return nodes[0], paths
+
+
+def plain_manifest(rows):
+    """Rows of (doc_id, leaf, subroot, root, proof, folded root, verified)."""
+    langs = sorted({r[2] for r in rows}, key=lambda c: (c is not None, (c or "").encode()))
+    trees = {}
+    for lang in langs:
+        mine = sorted((r for r in rows if r[2] == lang), key=lambda r: (r[0] is not None, r[0] or 0, plain_leaf(*r)))
+        trees[lang] = (mine, *plain_root([plain_leaf(*r) for r in mine]))
+    root, upper = plain_root([trees[c][1] for c in langs])
+    found = []
+    for lang, above in zip(langs, upper, strict=True):
+        mine, subroot, paths = trees[lang]
+        for row, path in zip(mine, paths, strict=True):
+            path = path + above
+            folded = leaf = plain_leaf(*row)
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0:
+                low = None if row[1] is None else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in row[1])
+                folded = plain_leaf(row[0], low, *row[2:])
+            for left, right in path:
+                folded = h(left, folded, right)
+            found.append((row[0], leaf, subroot, root, h(*[s for p in path for s in p]), folded, folded == root))
+    return found
+
+
+COLUMNS = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def compare_manifest(documents, rows, change=lambda df: df):
+    got = mm.document_manifest(change(documents(rows))).select(*COLUMNS).collect()
+    key = lambda r: (r[0] is None, r)
+    assert sorted(map(tuple, got), key=key) == sorted(plain_manifest(rows), key=key)
+
+
+def test_manifest_of_odd_tables(documents, clashing):
+    texts = ["Aa Bb", "", None, "ÄÖ ß 字", "x" * 300_000 + "Y", "plain"]
+    rows = [(k * 7 % 1000, texts[k % 6], ("en", "de", None, "", "Ä", "zz", "=")[k % 7], ("web", None)[k % 2], k % 5 or None) for k in range(400)]
+    rows += [rows[9]] * 70 + [(None, "Null Id", "en", "web", 3)] * 3 + [(14, "Same id", "en", "web", 3), (14, "same id", "en", "web", 3)]
+    compare_manifest(documents, rows, clashing)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 8, 9, 65])
+def test_manifest_of_small_trees(documents, n):
+    compare_manifest(documents, [(k, f"Text {k}", "en", "web", 6) for k in range(n)]) if n else None
+    compare_manifest(documents, [(k, f"Text {k}", f"l{k:03}", "web", 6) for k in range(n)]) if n else None
+    if not n:
+        assert mm.document_manifest(documents([])).count() == 0
+
+
+def test_manifest_over_several_blocks(documents):
+    # more than one block of 4096 leaves, the last one a single leaf, and more than one block of languages
+    compare_manifest(documents, [(k, f"Text {k}", "en", "web", 6) for k in range(2 * 4096 + 1)])
+    compare_manifest(documents, [(k, "T", f"l{k}", "web", 1) for k in range(4096 + 9)])
+
+
+def test_versions_share_all_but_the_leafs_ancestors(documents):
+    rows = [(k, f"Text {k}", "en", "web", 6) for k in range(600)]
+    proved = mm.document_manifest(documents(rows))
+    copied = {}
+    for r in mm.copied_nodes(proved).collect():
+        copied.setdefault(r["doc_id"], {})[r["level"]] = r["digest"]
+    assert set(copied) == {k for k in range(600) if zlib.crc32(str(k).encode()) % 3 == 0}
+    for doc_id, nodes in copied.items():
+        # the whole tree with one leaf changed has these nodes on the leaf's way up, and all others as before
+        leaves = [plain_leaf(*(r if r[0] != doc_id else (r[0], r[1].lower(), *r[2:]))) for r in rows]
+        level, place = leaves, doc_id
+        for k in range(1, len(nodes) + 1):
+            level, place = [h(*level[i : i + 8]) for i in range(0, len(level), 8)], place // 8
+            assert nodes[k] == level[place]
+        assert len(level) == 1
