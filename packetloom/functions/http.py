@@ -107,7 +107,8 @@ def _frames(text: Column, responses: bool) -> Column:
 def dechunk(body: Column) -> Column:
     """Body of a chunked transfer (one char per byte); stops at the zero chunk or an incomplete one."""
     steps = ((F.length(body) - F.length(F.replace(body, F.lit(CRLF), F.lit("")))) / 2).cast("int")
-    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.lit("").alias("out"))
+    span = "array<struct<start:int,stop:int>>"
+    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast(span).alias("out"))
 
     def step(acc, _):
         at = acc["at"]
@@ -125,84 +126,93 @@ def dechunk(body: Column) -> Column:
             return F.struct(
                 F.when(done, at).otherwise((data + size + 2).cast("int")).alias("at"),
                 done.alias("done"),
-                F.when(done, acc["out"]).otherwise(F.concat(acc["out"], _mid(body, data, (data + size).cast("int")))).alias("out"),
+                F.when(done, acc["out"])
+                .otherwise(F.concat(acc["out"], F.array(F.struct(data.alias("start"), (data + size).cast("int").alias("stop")))))
+                .alias("out"),
             )
 
         here = F.call_function("locate", F.lit(CRLF), body, at + 1) - 1
         return F.when(acc["done"], acc).otherwise(let(here, look))
 
-    return F.when(
-        steps > 0, F.aggregate(F.sequence(F.lit(1), steps), begin, step, lambda a: a["out"])
-    ).otherwise(F.lit(""))
+    # the fold carries positions; the chunks are cut and joined once
+    spans = F.aggregate(F.sequence(F.lit(1), steps), begin, step, lambda a: a["out"])
+    return F.when(steps > 0, F.array_join(F.transform(spans, lambda c: _mid(body, c["start"], c["stop"])), "")).otherwise(F.lit(""))
 
 
-def http_requests(buf: Column) -> Column:
-    """``struct(consumed, messages)`` of the complete requests at the front of a byte buffer.
+def request_fields(parts: Column) -> Column:
+    """A request's fields from ``struct(block, body, raw)``, one character per byte.
 
     Chunked bodies are decoded; compressed bodies stay as they are with ``encoded`` set.
     """
-    def message(text, f):
+
+    def named(p):
         return let(
-            F.struct(_mid(text, f["start"], f["header_end"]).alias("block"), _mid(text, f["header_end"] + 4, f["stop"]).alias("body")),
-            lambda m: let(
-                F.struct(
-                    m["block"].alias("block"),
-                    m["body"].alias("body"),
-                    F.split(_utf8(F.substring_index(m["block"], CRLF, 1)), " ").alias("words"),
-                    header_map(m["block"]).alias("headers"),
-                ),
-                lambda p: request(text, f, p),
-            ),
+            F.struct(F.split(_utf8(F.substring_index(p["block"], CRLF, 1)), " ").alias("words"), header_map(p["block"]).alias("headers")),
+            lambda h: fields(p, h["words"], h["headers"]),
         )
 
-    def request(text, f, p):
-        chunked = F.lower(F.coalesce(p["headers"]["transfer-encoding"], F.lit(""))).contains("chunked")
-        encoding = F.lower(F.coalesce(p["headers"]["content-encoding"], F.lit("")))
+    def fields(p, words, headers):
+        chunked = F.lower(F.coalesce(headers["transfer-encoding"], F.lit(""))).contains("chunked")
+        encoding = F.lower(F.coalesce(headers["content-encoding"], F.lit("")))
         return F.struct(
-            F.get(p["words"], F.lit(0)).alias("method"),
-            F.get(p["words"], F.lit(1)).alias("path"),
-            F.get(p["words"], F.lit(2)).alias("version"),
-            p["headers"].alias("headers"),
+            F.get(words, F.lit(0)).alias("method"),
+            F.get(words, F.lit(1)).alias("path"),
+            F.get(words, F.lit(2)).alias("version"),
+            headers.alias("headers"),
             _bytes(F.when(chunked, dechunk(p["body"])).otherwise(p["body"])).alias("body"),
-            _bytes(_mid(text, f["start"], f["stop"])).alias("raw"),
+            _bytes(p["raw"]).alias("raw"),
             encoding.rlike("gzip|deflate").alias("encoded"),
         )
 
-    return _messages(buf, False, message)
+    return let(parts, named)
+
+
+def response_fields(parts: Column) -> Column:
+    """A response's fields from ``struct(block, body, raw)``, one character per byte; its body is not decoded."""
+
+    def fields(p, words):
+        return F.struct(
+            F.get(words, F.lit(0)).alias("version"),
+            F.get(words, F.lit(1)).try_cast("int").alias("status_code"),
+            F.array_join(F.slice(words, 3, 1 << 30), " ").alias("status_text"),
+            header_map(p["block"]).alias("headers"),
+            _bytes(p["body"]).alias("body"),
+            _bytes(p["raw"]).alias("raw"),
+        )
+
+    return let(parts, lambda p: let(F.split(_utf8(F.substring_index(p["block"], CRLF, 1)), " "), lambda words: fields(p, words)))
+
+
+def http_requests(buf: Column) -> Column:
+    """``struct(consumed, messages)`` of the complete requests at the front of a byte buffer."""
+    return _messages(buf, False, request_fields)
+
+
+def http_responses(buf: Column) -> Column:
+    """``struct(consumed, messages)`` of the complete responses in a byte buffer."""
+    return _messages(buf, True, response_fields)
 
 
-def _messages(buf: Column, responses: bool, message) -> Column:
+def _messages(buf: Column, responses: bool, fields) -> Column:
+    def parts(text, f):
+        return F.struct(
+            _mid(text, f["start"], f["header_end"]).alias("block"),
+            _mid(text, f["header_end"] + 4, f["stop"]).alias("body"),
+            _mid(text, f["start"], f["stop"]).alias("raw"),
+        )
+
     return let(
         latin1(buf),
         lambda text: let(
             _frames(text, responses),
             lambda parsed: F.struct(
                 parsed["cursor"].alias("consumed"),
-                F.transform(parsed["frames"], lambda f: message(text, f)).alias("messages"),
+                F.transform(parsed["frames"], lambda f: fields(parts(text, f))).alias("messages"),
             ),
         ),
     )
 
 
-def http_responses(buf: Column) -> Column:
-    """``struct(consumed, messages)`` of the complete responses in a byte buffer."""
-    def message(text, f):
-        return let(_mid(text, f["start"], f["header_end"]), lambda block: response(text, f, block))
-
-    def response(text, f, block):
-        words = F.split(_utf8(F.substring_index(block, CRLF, 1)), " ")
-        return F.struct(
-            F.get(words, F.lit(0)).alias("version"),
-            F.get(words, F.lit(1)).try_cast("int").alias("status_code"),
-            F.array_join(F.slice(words, 3, 1 << 30), " ").alias("status_text"),
-            header_map(block).alias("headers"),
-            _bytes(_mid(text, f["header_end"] + 4, f["stop"])).alias("body"),
-            _bytes(_mid(text, f["start"], f["stop"])).alias("raw"),
-        )
-
-    return _messages(buf, True, message)
-
-
 def unquote_plus(text: Column) -> Column:
     """URL decoding with ``+`` as space; a bad escape stays as it is."""
     return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))

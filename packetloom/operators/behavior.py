@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from packetloom.functions.alerts import behavior_topic, rule_topic
 from packetloom.functions.http import LOGIN_PORTS, LOGIN_WORDS
-from packetloom.functions.packet import latin1
+from packetloom.operators import byte_stream
 from packetloom.operators.joins import lookup_join
 from packetloom.operators.materialize import materialize
 from packetloom.operators.windows import (
@@ -394,22 +394,28 @@ def compose(detected: DataFrame, rule_alerts: DataFrame, window: float = 300) ->
 # --------------------------------------------------------------------------- authentication events
 
 
-def ftp_auth(pieces: DataFrame) -> DataFrame:
-    """Login results in reassembled server lines (``flow, ts, packet_no, src_ip, dst_ip, src_port, data``)."""
-    line = F.explode(F.split(latin1(F.col("data")), "\r\n"))
-    code = F.col("line").substr(1, 3)
-    return (
-        pieces.filter(F.col("src_port") == 21)
-        .select("ts", "packet_no", "src_ip", "dst_ip", line.alias("line"))
-        .filter(code.isin("230", "530"))
-        .select(
-            "packet_no",
-            "ts",
-            F.col("dst_ip").alias("src_ip"),
-            F.col("src_ip").alias("dst_ip"),
-            (code == "230").alias("success"),
-            F.lit("ftp").alias("auth_type"),
-        )
+def ftp_auth(segments: DataFrame) -> DataFrame:
+    """Login results in server lines of FTP connections (``flow, ts, packet_no, src_ip, dst_ip, src_port, seq, data``).
+
+    Lines are those of the reassembled streams, wherever packets cut them; a line belongs to the packet whose arrival
+    released its end, CRLF included.
+    """
+    server = materialize(segments.filter(F.col("src_port") == 21))
+    named = server.select("flow", F.col("packet_no").alias("arrival"), "seq", "data")
+    pieces = materialize(byte_stream.releases(named.select("flow", "arrival", "seq", F.length("data").alias("size"))))
+    stream = byte_stream.blocks(byte_stream.piece_data(named, pieces))
+    lines = byte_stream.stream_lines(stream).filter(F.col("end") >= F.col("begin") + 3)
+    heads = lines.select("flow", "begin", (F.col("begin") + 3).alias("end"), (F.col("end") + 1).alias("_last"))
+    codes = byte_stream.cut(stream, heads).filter(F.col("text").isin("230", "530"))
+    found = byte_stream.arrival_at(pieces, codes.select("flow", "begin", "text", "_last"), "_last")
+    packets = server.select("flow", F.col("packet_no").alias("arrival"), "ts", "src_ip", "dst_ip")
+    return found.join(packets, ["flow", "arrival"]).select(
+        F.col("arrival").alias("packet_no"),
+        "ts",
+        F.col("dst_ip").alias("src_ip"),
+        F.col("src_ip").alias("dst_ip"),
+        (F.col("text") == "230").alias("success"),
+        F.lit("ftp").alias("auth_type"),
     )
 
 

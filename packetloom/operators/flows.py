@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.packet import endpoint, flow_key, has_flag, latin1
+from packetloom.operators.byte_stream import unwrapped
 from packetloom.operators.windows import MICROS, micros, running, silence
 
 HANDSHAKE_CELL = 60 * MICROS
@@ -76,15 +77,12 @@ def reassembly_cuts(segments: DataFrame) -> DataFrame:
     carry a few numbers per segment.  The stream starts at the first segment that
     arrived; what lies before it or was seen already is skipped, of equal starts
     the longest segment counts, segments without new data are left out.
-    ``contiguous`` is false from the first hole on. Sequence numbers are taken by
-    their signed 32-bit distance to the first one, so they may wrap; ``start``
-    then goes on beyond 2**32.
+    ``contiguous`` is false from the first hole on. ``start`` goes on beyond 2**32
+    where sequence numbers begin anew, however often.
     """
     present = segments.filter("size > 0").select("flow", "arrival", F.col("seq").cast("bigint"), F.col("size").cast("bigint"))
+    present = unwrapped(present)
     base = present.groupBy("flow").agg(F.min_by("seq", "arrival").alias("_base"))
-    half, whole = F.lit(1 << 31), F.lit(1 << 32)
-    near = F.col("_base") + F.pmod(F.col("seq") - F.col("_base") + half, whole) - half
-    present = present.join(base, "flow").select("flow", "arrival", near.alias("seq"), "size")
     seen = running(
         present,
         ["flow"],
@@ -123,8 +121,8 @@ def reassemble(segments: DataFrame) -> DataFrame:
 def flow_bytes(pieces: DataFrame) -> DataFrame:
     """``flow, first_arrival, last_arrival, data``: the contiguous bytes of every flow from its start.
 
-    A flow without a sequence wrap is at most 4 GiB; messages are framed on it,
-    so it is put together as one value.
+    One value for a whole flow, so for flows that are known to be small; messages
+    and lines of others are cut out of blocks (``byte_stream``).
     """
     text = F.array_join(
         F.transform(

@@ -183,7 +183,7 @@ def byte_tests(raws: Column) -> Column:
 
     def parse(raw):
         parts = F.filter(F.transform(F.split(raw, ","), strip), lambda p: p != "")
-        flags = F.transform(F.slice(parts, 5, 100), F.lower)
+        flags = F.transform(F.slice(parts, 5, F.size(parts)), F.lower)
         text = F.get(parts, F.lit(2))
         hexed = F.array_contains(flags, "hex") | F.lower(text).startswith("0x")
         digits = F.regexp_replace(text, "^0[xX]", "")
@@ -212,7 +212,7 @@ def data_checks(raws: Column) -> Column:
     def parse(raw):
         parts = F.filter(F.transform(F.split(raw, ","), strip), lambda p: p != "")
         first = F.get(parts, F.lit(0))
-        flags = F.transform(F.slice(parts, 2, 100), F.lower)
+        flags = F.transform(F.slice(parts, 2, F.size(parts)), F.lower)
         return F.struct(
             F.regexp_replace(first, "^!", "").try_cast("int").alias("offset"),
             first.startswith("!").alias("negated"),

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import packet
 from packetloom.functions.alerts import behavior_alert_rows, correlation_alert_rows, rule_alerts
-from packetloom.functions.http import MATCHED_METHODS, http_requests, http_responses, request_carrier, response_carrier
-from packetloom.operators import behavior, correlate, flows
+from packetloom.functions.http import MATCHED_METHODS, request_carrier, response_carrier
+from packetloom.operators import behavior, byte_stream, correlate, flows
 from packetloom.operators.alert_stream import dedupe_alerts, dedupe_modes
 from packetloom.operators.matching import PreparedRules, flow_filter, match_packets, prepare_rules
 from packetloom.operators.materialize import materialize
@@ -88,52 +88,81 @@ def _by_connection(segments: DataFrame, numbers: DataFrame, packet_no: str) -> D
 
 
 def stream_matches(packets: DataFrame, raw: DataFrame, rules: PreparedRules, numbers: DataFrame) -> DataFrame:
-    """Matches on newly contiguous stream data of TCP flows, flow keywords still open.
+    """Matches on what each packet of a TCP flow releases to its stream, flow keywords still open.
 
-    Where a segment is all new data its matches are the raw ones; only segments
-    cut by an overlap are matched again.
+    Where that is the packet's own payload, its matches are the raw ones; only chunks cut by an overlap, and those of
+    packets that close a hole, which hold what waited behind it, are matched again.
     """
     tcp = packets.filter((F.col("route") == "raw") & (F.col("proto") == "TCP") & F.col("seq").isNotNull())
-    segments = tcp.select("flow", F.col("packet_no").alias("arrival"), "seq", F.length("payload").alias("size"))
+    segments = tcp.select("flow", F.col("packet_no").alias("arrival"), "seq", F.col("payload").alias("data"))
     segments = _by_connection(segments, numbers, "arrival")
-    cuts = materialize(
-        flows.reassembly_cuts(segments).filter("contiguous").select(F.col("arrival").alias("packet_no"), "skip")
+    sizes = segments.select("flow", "arrival", "seq", F.length("data").cast("bigint").alias("size"))
+    pieces = materialize(byte_stream.releases(sizes))
+    own = pieces.groupBy("flow", "released").agg(
+        F.bool_and(F.col("arrival") == F.col("released")).alias("_own"), F.sum(F.col("stop") - F.col("start")).alias("_bytes")
     )
-    same = raw.filter(F.col("proto") == "TCP").join(cuts.filter("skip = 0").select("packet_no"), "packet_no", "left_semi")
-    cut = tcp.join(cuts.filter("skip > 0"), "packet_no")
-    new = F.substring("payload", (F.col("skip") + 1).cast("int"), F.length("payload"))
+    whole = own.join(sizes.select("flow", F.col("arrival").alias("released"), "size"), ["flow", "released"])
+    whole = materialize(whole.select("flow", "released", (F.col("_own") & (F.col("_bytes") == F.col("size"))).alias("same")))
+    same = raw.filter(F.col("proto") == "TCP").join(
+        whole.filter("same").select(F.col("released").alias("packet_no")), "packet_no", "left_semi"
+    )
+    others = pieces.join(whole.filter("not same").select("flow", "released"), ["flow", "released"], "left_semi")
+    chunks = byte_stream.chunks_of(segments, others).select(F.col("arrival").alias("packet_no"), F.col("data").alias("_chunk"))
+    cut = tcp.join(chunks, "packet_no").withColumn("payload", F.col("_chunk")).drop("_chunk")
     preview = F.trim(packet.utf8_lossy(F.col("payload").substr(1, 100)))
-    again = match_packets(cut.withColumn("payload", new).drop("skip"), rules, defer_flow=True)
+    again = match_packets(cut, rules, defer_flow=True)
     return same.unionByName(again.withColumn("preview", preview).drop("payload", "buffers"))
 
 
-def http_messages(packets: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Requests and responses of every TCP connection that carries HTTP, framed on its reassembled bytes."""
-    tcp = packets.filter((F.col("proto") == "TCP") & (F.col("route") != "skip_tls") & (F.length("payload") > 0))
+def http_messages(packets: DataFrame, numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests and responses of every TCP connection that carries HTTP, each with the packet that completed it.
+
+    Columns ``flow, ts, packet_no, src_ip, src_port, dst_ip, dst_port, proto, msg_no, m``; ``msg_no`` is the position in
+    the stream.
+    """
+    tcp = packets.filter((F.col("proto") == "TCP") & (F.col("route") != "skip_tls") & (F.length("payload") > 0) & F.col("seq").isNotNull())
     web = tcp.filter("route = 'http'").select("flow").distinct()
-    segments = _by_connection(tcp.join(web, "flow", "left_semi"), numbers, "packet_no")
-    whole = flows.flow_bytes(
-        flows.reassemble(segments.select("flow", F.col("packet_no").alias("arrival"), "seq", F.col("payload").alias("data")))
+    segments = materialize(
+        _by_connection(tcp.join(web, "flow", "left_semi"), numbers, "packet_no").select(
+            "flow", "packet_no", "ts", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "seq", "payload"
+        )
     )
-    heads = segments.groupBy("flow").agg(
-        F.min("ts").alias("ts"),
-        F.min("packet_no").alias("packet_no"),
-        *[F.first(c).alias(c) for c in ("src_ip", "src_port", "dst_ip", "dst_port")],
+    named = segments.select("flow", F.col("packet_no").alias("arrival"), "seq", F.col("payload").alias("data"))
+    pieces = materialize(byte_stream.releases(named.select("flow", "arrival", "seq", F.length("data").alias("size"))))
+    stream = byte_stream.blocks(byte_stream.piece_data(named, pieces))
+    heads = segments.drop("seq", "payload")
+
+    def timed(responses: bool) -> DataFrame:
+        found = byte_stream.http_messages(stream, responses).withColumn("_last", F.col("end") - 1)
+        found = byte_stream.arrival_at(pieces, found, "_last").withColumnRenamed("arrival", "packet_no")
+        return materialize(found.join(heads, ["flow", "packet_no"]).select(*heads.columns, F.col("begin").alias("msg_no"), "m"))
+
+    return timed(False), timed(True)
+
+
+def login_events(packets: DataFrame, numbers: DataFrame, requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Authentication events that the packets themselves show: FTP replies, and answers to HTTP logins."""
+    ftp = packets.filter((F.col("proto") == "TCP") & (F.col("src_port") == 21) & (F.length("payload") > 0) & F.col("seq").isNotNull())
+    ftp = _by_connection(ftp, numbers, "packet_no").withColumnRenamed("payload", "data")
+    tries = behavior.login_attempts(requests.select("*", "m.method", "m.path"))
+    ends = ("client_ip", "client_port", "server_ip", "server_port")
+    asked = tries.select("ts", "packet_no", *[F.col(c).alias(n) for n, c in zip(ends, ("src_ip", "src_port", "dst_ip", "dst_port"), strict=True)])
+    answered = responses.select(
+        "ts", "packet_no", "m.status_code", *[F.col(c).alias(n) for n, c in zip(ends, ("dst_ip", "dst_port", "src_ip", "src_port"), strict=True)]
     )
-    return whole.join(heads, "flow").withColumn("proto", F.lit("TCP"))
+    columns = ["packet_no", "ts", "src_ip", "dst_ip", "success", "auth_type"]
+    return behavior.ftp_auth(ftp).select(*columns).unionByName(behavior.login_results(asked, answered).select(*columns))
 
 
-def http_alerts(messages: DataFrame, rules: PreparedRules) -> DataFrame:
+def http_alerts(requests: DataFrame, responses: DataFrame, rules: PreparedRules) -> DataFrame:
     """Alert rows of rules that match HTTP requests and responses."""
     common = ["flow", "ts", "packet_no", "src_ip", "src_port", "dst_ip", "dst_port", "proto"]
-    requests = messages.select(*common, F.posexplode(http_requests(F.col("data"))["messages"]).alias("msg_no", "m"))
     requests = requests.select(*common, "msg_no", "m", F.col("m.raw").alias("raw"), F.col("m.method").alias("method"), F.col("m.path").alias("path"))
     requests = flows.dedupe_requests(requests, 2, derived=True).filter(F.upper("method").isin(MATCHED_METHODS))
     asked = requests.select(
         *common, "msg_no", "method", "path", request_carrier(F.col("m")).alias("payload"), F.lit(True).alias("stream"),
         F.lit("http").alias("app_proto"),
     ).withColumn("buffers", F.create_map(F.lit("raw"), F.col("payload")))
-    responses = messages.select(*common, F.posexplode(http_responses(F.col("data"))["messages"]).alias("msg_no", "m"))
     answered = responses.select(
         *common, "msg_no", F.col("m.status_code").alias("status_code"), response_carrier(F.col("m")).alias("payload"),
         F.lit(True).alias("stream"), F.lit("http").alias("app_proto"),
@@ -144,10 +173,13 @@ def http_alerts(messages: DataFrame, rules: PreparedRules) -> DataFrame:
     return found.unionByName(back)
 
 
-def detect_rules(packets: DataFrame, rules: PreparedRules) -> DataFrame:
+def detect_rules(
+    packets: DataFrame, rules: PreparedRules, numbers: DataFrame | None = None, messages: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Alert rows of all rule matches after cross-mode dedupe (``packets`` as from ``routed``)."""
     raw = materialize(raw_matches(packets, rules))
-    numbers = connection_numbers(packets)
+    numbers = connection_numbers(packets) if numbers is None else numbers
+    requests, responses = http_messages(packets, numbers) if messages is None else messages
     single = _with_flow_state(raw, packets, stream=False)
     streamed = _with_flow_state(stream_matches(packets, raw, rules, numbers), packets, stream=True)
     ports = single.filter("route = 'raw'")
@@ -156,7 +188,7 @@ def detect_rules(packets: DataFrame, rules: PreparedRules) -> DataFrame:
     )
     kept = dedupe_modes(hits, 2, ["packet_no", "mode"], derived=True).drop("mode")
     other = rule_alerts(single.filter("route = 'ip'"), "ip")
-    return kept.unionByName(other).unionByName(http_alerts(materialize(http_messages(packets, numbers)), rules))
+    return kept.unionByName(other).unionByName(http_alerts(requests, responses, rules))
 
 
 def detect_behavior(packets: DataFrame, settings: Settings, auth: DataFrame | None = None) -> DataFrame:
@@ -184,13 +216,18 @@ def detect(
     """The whole run: rule matches, behaviour alerts, attackers, and the alert list that is stored.
 
     Correlation sees rule alerts before the final dedupe and behaviour alerts
-    before suppression; the alert list sees what is left after both.
+    before suppression; the alert list sees what is left after both. Logins that
+    the packets show (FTP, HTTP) count beside those of ``auth``.
     """
     settings = settings or Settings()
     if "size" not in packets.columns:
         packets = packets.withColumn("size", F.coalesce(F.length("payload"), F.lit(0)))
     ready = routed(packets)
-    matched = materialize(detect_rules(ready, prepare_rules(rules)))
+    numbers = connection_numbers(ready)
+    messages = http_messages(ready, numbers)
+    matched = materialize(detect_rules(ready, prepare_rules(rules), numbers, messages))
+    logins = login_events(ready, numbers, *messages)
+    auth = logins if auth is None else logins.unionByName(auth.select(*logins.columns))
     known = matched.select("ts", "src_ip", "dst_ip", F.col("match_rule").alias("rule_id"))
     behaved = behavior.compose(detect_behavior(ready, settings, auth), known, settings.behavior_window)
     behaved = materialize(behaved)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import behavior, correlate, stats
 from packetloom.operators.alert_stream import dedupe_alerts, dedupe_modes
-from packetloom.operators.windows import silence
+from packetloom.operators.windows import running, silence
 from packetloom.plans.registry import query
 from packetloom.plans.sql_tables import ALERTS, AUTH, CONNECTIONS, IP, PACKETS, K, silenced
 from packetloom.sources import adapters as t
@@ -239,18 +239,24 @@ _SUPPRESSED = f"""checked AS (SELECT b.*, EXISTS (SELECT 1 FROM rule_alerts r WH
         AND r.rule_id = {_TOPICS} AND r.ts BETWEEN b.ts - INTERVAL 2 DAY AND b.ts) AS suppressed FROM behavior b)"""
 
 
-def _behavior_rows(spark, sf):
+def _event_rows(spark, sf):
     rows = t.packets(spark, sf).join(
         t.read(spark, sf, "events").selectExpr(
             "event_id as packet_no", "event_type", "cast(get_json_object(props, '$.k') as int) as k"
         ),
         "packet_no",
     )
-    rows = rows.withColumn("dst_ip", F.expr("concat('d', packet_no % 3)"))
+    return rows.withColumn("dst_ip", F.expr("concat('d', packet_no % 3)"))
+
+
+def _alert_types(rows):
     quoted = "array('brute_force', 'port_scan', 'high_connection_rate', 'traffic_spike', 'suspicious_session', 'odd')"
-    alerts = rows.filter("event_type in ('click', 'view')").selectExpr(
-        "packet_no", "ts", "src_ip", "dst_ip", f"{quoted}[k % 6] as alert_type", "'x' as description"
-    )
+    return rows.selectExpr("packet_no", "ts", "src_ip", "dst_ip", f"{quoted}[k % 6] as alert_type", "'x' as description")
+
+
+def _behavior_rows(spark, sf):
+    rows = _event_rows(spark, sf)
+    alerts = _alert_types(rows.filter("event_type in ('click', 'view')"))
     rules = rows.filter("event_type not in ('click', 'view')").selectExpr(
         "ts", "src_ip", "dst_ip", "array('login_failed', 'nmap_probe', 'syn_flood', 'other')[k % 4] as rule_id"
     )
@@ -268,11 +274,12 @@ def _(spark, sf):
 
 @query(
     "b10_repeat",
-    f"""WITH RECURSIVE {_BEHAVIOR}, {silenced('behavior', 'alert_type, src_ip', 3 * DAY, True)}
+    f"""WITH RECURSIVE behavior AS (SELECT event_id AS packet_no, ts, {IP} AS src_ip, {_TYPES}[CAST({K} % 6 + 1 AS INT)] AS alert_type FROM events),
+      {silenced('behavior', 'alert_type, src_ip', 3 * DAY, True)}
       SELECT packet_no, alert_type, src_ip, ts FROM emitted""",
 )
 def _(spark, sf):
-    alerts, _rules = _behavior_rows(spark, sf)
+    alerts = _alert_types(_event_rows(spark, sf))
     return behavior.first_of_topic(alerts, 3 * DAY).select("packet_no", "alert_type", "src_ip", "ts")
 
 
@@ -289,21 +296,29 @@ def _(spark, sf):
 
 @query(
     "b12_ftp_auth",
-    f"""SELECT event_id AS packet_no, '10.9.' || user_id AS src_ip, 's' || (event_id % 4) AS dst_ip, {K} % 4 = 0 AS success
+    f"""SELECT event_id * 2 + 1 AS packet_no, '10.9.' || user_id AS src_ip, 's' || (event_id % 4) AS dst_ip, {K} % 4 = 0 AS success
       FROM events WHERE {K} % 4 IN (0, 1)""",
 )
 def _(spark, sf):
-    # each event is a server line on port 21 with a result code chosen by k
-    lines = t.read(spark, sf, "events").selectExpr(
-        "event_id as packet_no",
+    # each event is two server lines on port 21, with a result code chosen by k, sent in two packets cut somewhere in them
+    texts = t.read(spark, sf, "events").selectExpr(
+        "event_id",
         "cast(ts as timestamp) as ts",
         "concat('s', event_id % 4) as src_ip",
         "concat('10.9.', user_id) as dst_ip",
-        "21 as src_port",
         "cast(concat('220 hello', '\\r\\n', array('230 welcome', '530 no', '331 password', '23 odd')"
-        "[cast(get_json_object(props, '$.k') as int) % 4], '\\r\\n') as binary) as data",
-    )
-    return behavior.ftp_auth(lines).select("packet_no", "src_ip", "dst_ip", "success")
+        "[cast(get_json_object(props, '$.k') as int) % 4], '\\r\\n') as binary) as text",
+    ).withColumn("flow", F.concat_ws("|", "src_ip", "dst_ip"))
+    size = F.length("text").cast("bigint")
+    placed = running(texts, ["flow"], F.col("event_id").cast("bigint"), ["event_id"], {"_end": ("sum", size)}, 4096)
+    cut = "(1 + event_id % (length(text) - 1))"
+    sent = placed.selectExpr(
+        "flow", "ts", "src_ip", "dst_ip", "21 as src_port",
+        "cast(event_id * 2 as bigint) as _no", "_end - length(text) as _from",
+        f"inline(array(struct(0 as part, 0L as at, substring(text, 1, {cut}) as data), struct(1 as part, cast({cut} as bigint) as at, substring(text, {cut} + 1, length(text)) as data)))",
+    )
+    segments = sent.selectExpr("flow", "ts", "_no + part as packet_no", "src_ip", "dst_ip", "src_port", "(4294967000 + _from + at) % 4294967296 as seq", "data")
+    return behavior.ftp_auth(segments).select("packet_no", "src_ip", "dst_ip", "success")
 
 
 _LOGIN = f"""rows AS (SELECT event_id AS packet_no, ts, user_id % 40 AS client, event_type = 'click' AS attempt,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from packetloom.plans.detect import Settings, connection_numbers, detect, http_messages, routed
 from packetloom.plans.queries_rules import make_rules
 from packetloom.plans.registry import query
-from packetloom.functions.http import http_requests
 from packetloom.sources import adapters as t
 
 DAY = 86400
@@ -44,6 +43,16 @@ def _(spark, sf):
 )
 def _(spark, sf):
     packets = routed(t.captured(spark, sf))
-    found = http_messages(packets, connection_numbers(packets))
-    requests = found.select("src_ip", "src_port", F.explode(http_requests(F.col("data"))["messages"]).alias("m"))
+    requests, _ = http_messages(packets, connection_numbers(packets))
     return requests.select("src_ip", "src_port", F.md5("m.body").alias("body"))
+
+
+@query(
+    "t10_message_times",
+    """SELECT CAST(1000000000 + page_id * 2 + 1 AS BIGINT) AS packet_no, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 3 + 1) AS ts, md5(html) AS body FROM pages""",
+)
+def _(spark, sf):
+    # a page comes in two packets, one second apart; the second completes the message
+    packets = routed(t.captured(spark, sf))
+    requests, _ = http_messages(packets, connection_numbers(packets))
+    return requests.select("packet_no", "ts", F.md5("m.body").alias("body"))

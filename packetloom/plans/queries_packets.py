@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.functions import http, packet
-from packetloom.operators import flows
+from packetloom.operators import byte_stream, flows
 from packetloom.operators.matching import match_packets
-from packetloom.operators.windows import from_micros
+from packetloom.operators.windows import from_micros, running
 from packetloom.plans.registry import query
 from packetloom.plans.sql_tables import FLOWS, PACKETS, K, silenced
 from packetloom.sources import adapters as t
@@ -234,11 +234,13 @@ def _(spark, sf):
 
 
 def _pipelined(spark, sf):
-    """Three pages sent one after the other on one connection."""
-    pages = t.http_pages(spark, sf)
-    sent = F.array_sort(F.collect_list(F.struct("page_id", F.hex("buf").alias("h"))))
-    joined = pages.groupBy(F.expr("page_id div 3").alias("conn")).agg(sent.alias("sent"))
-    return joined.select("conn", F.expr("unhex(array_join(transform(sent, p -> p.h), ''))").alias("buf"))
+    """Three pages sent one after the other on one connection, in packets of up to 1000 bytes: pieces of streams."""
+    pages = t.http_pages(spark, sf).withColumn("flow", F.expr("page_id div 3"))
+    size = F.length("buf").cast("bigint")
+    placed = running(pages, ["flow"], F.col("page_id").cast("bigint"), ["page_id"], {"_end": ("sum", size)}, 1 << 20)
+    cuts = F.expr("sequence(0, length(buf) - 1, 1000)")
+    sent = placed.select("flow", (F.col("_end") - size).alias("_from"), "buf", F.explode(cuts).alias("_cut"))
+    return sent.select("flow", (F.col("_from") + F.col("_cut")).alias("start"), F.expr("substring(buf, _cut + 1, 1000)").alias("data"))
 
 
 @query(
@@ -248,10 +250,9 @@ def _pipelined(spark, sf):
       {_HOST} AS host, md5(html) AS body, CAST(strlen(html) AS INT) AS size FROM pages""",
 )
 def _(spark, sf):
-    found = http.http_requests(F.col("buf"))
-    rows = _pipelined(spark, sf).select("conn", F.explode(found["messages"]).alias("m"))
+    rows = byte_stream.http_messages(byte_stream.blocks(_pipelined(spark, sf)))
     return rows.select(
-        "conn", "m.method", "m.path", F.col("m.headers")["host"].alias("host"), F.md5("m.body").alias("body"),
+        F.col("flow").alias("conn"), "m.method", "m.path", F.col("m.headers")["host"].alias("host"), F.md5("m.body").alias("body"),
         F.length("m.body").alias("size"),
     )
 
@@ -265,8 +266,10 @@ def _(spark, sf):
         "cast(concat('HTTP/1.1 ', cast(200 + n_chars % 300 as string), ' All is ', lang, '\\r\\n', 'SERVER:  ', source, ' \\r\\n', "
         "'Content-Length: ', cast(octet_length(text) as string), '\\r\\n\\r\\n', text, 'HTTP/1.1 200 OK\\r\\nContent-Length: 5\\r\\n\\r\\nHel') as binary)"
     )
-    found = http.http_responses(buf)
-    rows = t.read(spark, sf, "documents").select("doc_id", F.explode(found["messages"]).alias("m"))
+    # each document is a connection of its own, in two packets
+    half = t.read(spark, sf, "documents").select(F.col("doc_id").alias("flow"), buf.alias("buf")).withColumn("_half", F.expr("length(buf) div 2"))
+    parts = "inline(array(struct(7L as start, substring(buf, 1, _half) as data), struct(7L + _half as start, substring(buf, _half + 1, length(buf)) as data)))"
+    rows = byte_stream.http_messages(byte_stream.blocks(half.selectExpr("flow", parts)), responses=True).withColumnRenamed("flow", "doc_id")
     return rows.select(
         "doc_id", "m.status_code", "m.status_text", F.col("m.headers")["server"].alias("server"), F.md5("m.body").alias("body")
     )
@@ -392,6 +395,21 @@ def _(spark, sf):
     return pieces.select("flow", "arrival", "start", F.md5(F.hex("data")).alias("data"), "contiguous")
 
 
+@query(
+    "t2_long",
+    """WITH turns AS (SELECT conv_id AS flow, turn, 2147000000 - strlen(text) AS size, (conv_id + turn) % 3 = 0 AS again FROM conversations),
+        placed AS (SELECT *, 4000000000 + sum(size) OVER (PARTITION BY flow ORDER BY turn) - size AS start FROM turns)
+      SELECT flow, CAST(2 * turn AS BIGINT) AS arrival, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop FROM placed""",
+)
+def _(spark, sf):
+    # every turn stands for nearly 2 GiB, a third are sent twice: sequence numbers begin anew several times in a flow
+    turns = t.read(spark, sf, "conversations").selectExpr("conv_id as flow", "turn", "2147000000L - octet_length(text) as size")
+    placed = running(turns, ["flow"], F.col("turn").cast("bigint"), ["turn"], {"_end": ("sum", F.col("size"))}, 1 << 20)
+    sent = placed.selectExpr("flow", "cast(2 * turn as bigint) as arrival", "(4000000000L + _end - size) % 4294967296 as seq", "size", "turn")
+    again = sent.filter("(flow + turn) % 3 = 0").withColumn("arrival", F.col("arrival") + 1)
+    return byte_stream.releases(sent.unionByName(again).drop("turn")).select("flow", "arrival", "start", "stop")
+
+
 @query(
     "t2_connections",
     f"""WITH {FLOWS}, f AS (SELECT packet_no, src_ip || '|' || dst_ip AS flow, epoch_us(ts) AS us,
@@ -450,6 +468,19 @@ def _(spark, sf):
     return match_packets(chunks, rules).select("flow", "arrival", "rule_id")
 
 
+@query(
+    "t5_released_chunks",
+    f"""WITH {_SEGMENTS},
+        bytes AS (SELECT flow, arrival, seq + i AS pos, substr(h, 2 * i + 1, 2) AS b FROM (SELECT flow, arrival, seq, h, unnest(range(n)) AS i FROM segments)),
+        firsts AS (SELECT flow, pos, min(arrival) AS arrival, min(b) AS b FROM bytes JOIN base USING (flow) WHERE pos >= base GROUP BY flow, pos),
+        freed AS (SELECT *, max(arrival) OVER w AS released, pos - base = row_number() OVER w - 1 AS whole FROM firsts JOIN base USING (flow) WINDOW w AS (PARTITION BY flow ORDER BY pos))
+      SELECT flow, CAST(released AS BIGINT) AS arrival, CAST(min(pos) AS BIGINT) AS start, md5(string_agg(b, '' ORDER BY pos)) AS data FROM freed WHERE whole GROUP BY flow, released""",
+)
+def _(spark, sf):
+    chunks = byte_stream.released_chunks(t.segments(spark, sf))
+    return chunks.select("flow", "arrival", "start", F.md5(F.hex("data")).alias("data"))
+
+
 @query(
     "t7_http_dedupe",
     f"""WITH RECURSIVE rows AS (SELECT event_id AS packet_no, ts, user_id % 20 AS flow, event_type || ({K} % 2) AS raw FROM events),

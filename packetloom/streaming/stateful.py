@@ -212,8 +212,9 @@ def flow_state_stream(packets: DataFrame, idle: float = 180, watermark: str = WA
 def reassemble_stream(segments: DataFrame, idle: float = 120, watermark: str = WATERMARK) -> DataFrame:
     """``flow, arrival, start, data``: the newly contiguous bytes each arriving segment (``flow, arrival, ts, seq, data``) releases.
 
-    The state holds the next expected position and the segments beyond a hole;
-    it ends when a flow is idle, nothing is evicted before.
+    The state holds the next expected position, where the last segment began, and
+    the segments beyond a hole; it ends when a flow is idle, nothing is evicted
+    before. Positions go on where sequence numbers begin anew.
     """
     named = segments.select("flow", "ts", F.col("arrival").alias("packet_no"), "seq", "data")
 
@@ -221,7 +222,7 @@ def reassemble_stream(segments: DataFrame, idle: float = 120, watermark: str = W
         if state.hasTimedOut:
             state.remove()
             return
-        expected, starts, pieces = state.get if state.exists else (None, [], [])
+        expected, last, starts, pieces = state.get if state.exists else (None, None, [], [])
         waiting = {int(s): bytes(p) for s, p in zip(starts, pieces, strict=True)}
         rows = _ordered(frames, ("packet_no",))
         out = []
@@ -229,9 +230,11 @@ def reassemble_stream(segments: DataFrame, idle: float = 120, watermark: str = W
             data = bytes(r.data)
             if not data:
                 continue
-            expected = int(r.seq) if expected is None else expected
-            if len(data) > len(waiting.get(int(r.seq), b"")):
-                waiting[int(r.seq)] = data
+            # the nearer way around from the segment before
+            last = int(r.seq) if last is None else last + (int(r.seq) - last + (1 << 31)) % (1 << 32) - (1 << 31)
+            expected = last if expected is None else expected
+            if len(data) > len(waiting.get(last, b"")):
+                waiting[last] = data
             begin, released = expected, b""
             for seq in sorted(waiting):
                 if seq > expected:
@@ -241,14 +244,14 @@ def reassemble_stream(segments: DataFrame, idle: float = 120, watermark: str = W
                 expected += len(fresh)
             if released:
                 out.append((key[0], int(r.packet_no), begin, released))
-        state.update((expected, list(waiting), list(waiting.values())))
+        state.update((expected, last, list(waiting), list(waiting.values())))
         _keep_until(state, int(rows["us"].max()) + int(idle * MICROS))
         yield pd.DataFrame(out, columns=["flow", "arrival", "start", "data"])
 
     flow_type = dict(segments.dtypes)["flow"]
     return _grouped(named, ["flow"], watermark, ["packet_no", "seq", "data"]).applyInPandasWithState(
         step, f"flow {flow_type}, arrival bigint, start bigint, data binary",
-        "expected bigint, starts array<bigint>, pieces array<binary>", "append", GroupStateTimeout.EventTimeTimeout,
+        "expected bigint, last bigint, starts array<bigint>, pieces array<binary>", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 

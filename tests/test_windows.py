@@ -57,9 +57,7 @@ def test_silence_equals_sequential_rule(spark, seed, n, span, width, inclusive):
     assert sorted(r.id for r in got.collect()) == chain(rows, width * 1_000_000, inclusive)
 
 
-@pytest.mark.parametrize("limit", [0, 200_000])
-def test_silence_of_a_derived_input(spark, monkeypatch, limit):
-    monkeypatch.setattr(w, "SMALL_INPUT", limit)
+def test_silence_of_a_derived_input(spark):
     rows = events(11, 2000, "aab", 4000)
     got = w.silence(frame(spark, rows), ["k"], "ts", 3, True, ["id"], derived=True)
     assert sorted(r.id for r in got.collect()) == chain(rows, 3_000_000, True)
