@@ -43,6 +43,23 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+class _WordHashes(dict):
+    """Hashes of words, those met lately kept; any process gives the same."""
+
+    KEPT = 1 << 20
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.KEPT:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+
+_HASHES = _WordHashes()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(_ODD)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -53,7 +70,7 @@ class Runs:
     """Hashes of any runs of a text's words."""
 
     def __init__(self, words: list[bytes]) -> None:
-        self.words = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+        self.words = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
         powers = np.full(len(words), _ODD, dtype=np.uint64)
         self.back = np.full(len(words) + 1, _BACK, dtype=np.uint64)
         if len(words):
@@ -124,32 +141,41 @@ def _with_class(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(read, "doc_id bigint, class binary, text string")
 
 
-def _cut(documents: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(anchor, hash, text, windows): the wanted segments (class, doc_id, anchor, hash, first, last), cut from one document
-    that holds them, with the hashes of their windows.
+def _cut(documents: DataFrame, wanted: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
+    """(anchor, hash, text, n_windows, windows, occurrences): the wanted segments (class, doc_id, anchor, hash, first, last,
+    occurrences, kinds), each cut from one document that holds it, written; with the hashes of its windows where its
+    anchor has segments of several kinds.
+
+    ``repeated``: (class, doc_id) of rows that stand in the table more than once; they cut the same twice.
     """
-    asked = wanted.groupBy(F.col("class").alias("_class"), F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("anchor", "hash", "first", "last")).alias("asked"))
+    parts = F.collect_list(F.struct("anchor", "hash", "first", "last", "occurrences", (F.col("kinds") > 1).alias("mixed")))
+    asked = wanted.groupBy(F.col("class").alias("_class"), F.col("doc_id").alias("_id")).agg(parts.alias("asked"))
+    twice = repeated.select(F.col("class").alias("_again"), F.col("doc_id").alias("_again_id"))
+    asked = asked.join(twice, (F.col("_class") == F.col("_again")) & F.col("_id").eqNullSafe(F.col("_again_id")), "left")
     held = _with_class(documents).join(asked, (F.col("class") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    out = pa.schema([("anchor", pa.int64()), ("hash", pa.int64()), ("text", pa.string()), ("windows", pa.list_(pa.int64()))])
+    out = pa.schema(
+        [("anchor", pa.int64()), ("hash", pa.int64()), ("text", pa.string()), ("n_windows", pa.int32()), ("windows", pa.list_(pa.int64())), ("occurrences", pa.int64()), ("again", pa.bool_())]
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                runs = Runs(words)
-                rows = []
+            for text, asked, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, rows = words_of(text), []
+                runs = Runs(words) if any(a["mixed"] for a in asked) else None
                 for a in asked:
                     begins = np.arange(a["first"], a["last"] + 1)
                     phrase = b" ".join(words[a["first"] : a["last"] + window]).decode("utf-8", "surrogatepass")
-                    rows.append((a["anchor"], a["hash"], phrase, runs.of(begins, begins + window)))
+                    rows.append((a["anchor"], a["hash"], phrase, len(begins), runs.of(begins, begins + window) if a["mixed"] else None, a["occurrences"], again))
                 for begin in range(0, len(rows), 4096):
                     yield table_of(out, *zip(*rows[begin : begin + 4096], strict=True))
 
-    cutting = held.select("text", "asked").mapInArrow(cut, "anchor bigint, hash bigint, text string, windows array<bigint>")
-    return materialize(cutting.dropDuplicates(["anchor", "hash"]))  # repeated rows cut the same
+    cutting = held.select("text", "asked", F.col("_again").isNotNull().alias("again"))
+    names = "anchor bigint, hash bigint, text string, n_windows int, windows array<bigint>, occurrences bigint, again boolean"
+    written = materialize(cutting.mapInArrow(cut, names))
+    return written.filter("not again").unionByName(written.filter("again").dropDuplicates(["anchor", "hash"])).drop("again")
 
 
-def confirmed_phrases(documents: DataFrame, live: DataFrame, window: int = WINDOW) -> DataFrame:
+def confirmed_phrases(documents: DataFrame, live: DataFrame, repeated: DataFrame, window: int = WINDOW) -> DataFrame:
     """(anchor, hash, text, stretches): segments that hold windows of two or more occurrences; stretches are the first and
     last such window of each run of them.
 
@@ -158,19 +184,19 @@ def confirmed_phrases(documents: DataFrame, live: DataFrame, window: int = WINDO
     one = F.min(F.struct("class", "doc_id", "first", "last"))
     counted = materialize(live.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("occurrences"), one.alias("one")))
     kinds = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    told = materialize(counted.join(kinds, "anchor").select("anchor", "hash", "occurrences", "kinds", "one.*"))
-    cut = _cut(documents, told, window).join(told.select("anchor", "hash", "occurrences", "kinds"), ["anchor", "hash"])
-    cut = materialize(cut)
+    told = counted.join(kinds, "anchor").select("anchor", "hash", "occurrences", "kinds", "one.*")
+    cut = _cut(documents, told, repeated, window)
     # segments of two or more occurrences recur as a whole; in the others, windows that segments of the same anchor share
-    whole = cut.filter("occurrences > 1").select("anchor", "hash", F.array(F.struct(F.lit(0).alias("a"), (F.size("windows") - 1).alias("b"))).alias("stretches"))
-    windows = materialize(cut.filter("kinds > 1").select("anchor", "hash", "occurrences", F.posexplode("windows").alias("place", "window")))
+    whole = cut.filter("occurrences > 1").select("anchor", "hash", "text", F.array(F.struct(F.lit(0).alias("a"), (F.col("n_windows") - 1).alias("b"))).alias("stretches"))
+    windows = cut.filter("windows is not null").select("anchor", "hash", "occurrences", F.posexplode("windows").alias("place", "window"))
     recurring = windows.groupBy("anchor", "window").agg(F.sum("occurrences").alias("_n")).filter("_n > 1").drop("_n")
     places = windows.filter("occurrences = 1").join(recurring, ["anchor", "window"]).groupBy("anchor", "hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
     # a run begins where the window before does not recur, and ends where the next one does not
     begins = F.filter("places", lambda p: ~F.array_contains("places", p - 1))
     ends = F.filter("places", lambda p: ~F.array_contains("places", p + 1))
     some = places.select("anchor", "hash", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("stretches"))
-    return materialize(cut.select("anchor", "hash", "text").join(whole.unionByName(some), ["anchor", "hash"]))
+    single = cut.filter("occurrences = 1").select("anchor", "hash", "text")
+    return whole.unionByName(single.join(some, ["anchor", "hash"]))
 
 
 class PhraseAutomaton:
@@ -264,7 +290,8 @@ def remove_repeated_passages(documents: DataFrame, window: int = WINDOW) -> Data
     every = read.select("doc_id", "class", F.inline("segments"))
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
     live = materialize(every.join(anchors, "anchor", "left_semi"))
-    phrases = confirmed_phrases(documents, live, window)
+    repeated = read.groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    phrases = confirmed_phrases(documents, live, repeated, window)
     # copies lose all their words anyhow; the others meet the phrases of their own segments
     places = live.join(copies, "class", "left_anti").select(shard, "anchor", "hash").distinct()
     pieces = places.join(phrases, ["anchor", "hash"]).select("shard", "text", "stretches")
