@@ -1,6 +1,6 @@
 """Removal of repeated passages with phrase automata.
 
-A window is 35 consecutive words. Its anchor is the run of five words in it with the smallest hash, the leftmost of
+A window is 35 consecutive words. Its anchor is the run of eight words in it with the smallest hash, the leftmost of
 equal ones, so equal windows have equal anchors at equal places. Windows of a document with one anchor form a segment;
 only its hashes travel.
 
@@ -25,13 +25,15 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import materialize, table_of, text_batches
 
 WINDOW = 35
-ANCHOR = 5  # words
+ANCHOR = 8  # words
+CLASS = 16  # bytes of a digest that tell texts apart
 SHARD = 2_000_000  # bytes of documents, about
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
@@ -104,41 +106,47 @@ def segments(runs: Runs, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray,
 
 
 def segment_table(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, class binary, n_words, n_bytes, segments array<struct<anchor, hash, first, last>>) of every row; null text: no words."""
+    """(doc_id, class, n_words, n_bytes, sha256, segments array<struct<anchor, hash, first, last>>) of every row; null text: no words.
+
+    Texts of one class have the same words: it is the head of their digest, 128 bits.
+    """
     parts = [("anchor", pa.int64()), ("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
-    out = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n_words", pa.int64()), ("n_bytes", pa.int64()), ("segments", pa.list_(pa.struct(parts)))])
+    out = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n_words", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.binary()), ("segments", pa.list_(pa.struct(parts)))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
             for begin in range(0, len(texts), 1000):
-                classes, n_words, n_bytes, found = [], [], [], []
+                digests, n_words, n_bytes, found = [], [], [], []
                 for text in texts[begin : begin + 1000]:
                     words = words_of(text)
                     joined = b" ".join(words)
-                    classes.append(hashlib.sha256(joined).digest())
+                    digests.append(hashlib.sha256(joined).digest())
                     n_words.append(len(words))
                     n_bytes.append(len(joined))
                     found.append(segments(Runs(words), window))
                 offsets = np.cumsum([0, *[len(f[0]) for f in found]]).astype(np.int32)
                 flat = [pa.array(np.concatenate([f[k] for f in found]).astype(t.to_pandas_dtype()), t) for k, (_, t) in enumerate(parts)]
                 lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, names=[n for n, _ in parts]))
-                yield table_of(out, ids.slice(begin, 1000).cast(pa.int64()), classes, n_words, n_bytes, lists)
+                yield table_of(out, ids.slice(begin, 1000).cast(pa.int64()), [d[:CLASS] for d in digests], n_words, n_bytes, digests, lists)
 
     struct = "array<struct<anchor:bigint,hash:bigint,first:int,last:int>>"
-    return documents.select("doc_id", "text").mapInArrow(read, f"doc_id bigint, class binary, n_words bigint, n_bytes bigint, segments {struct}")
+    return documents.select("doc_id", "text").mapInArrow(read, f"doc_id bigint, class binary, n_words bigint, n_bytes bigint, sha256 binary, segments {struct}")
 
 
 def _with_class(documents: DataFrame) -> DataFrame:
-    """(doc_id, class, text) with the words' digest computed anew; the text is its words between single blanks."""
-    out = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("text", pa.string())])
+    """(doc_id, class, n_words, packed): the class computed anew, and the words between single blanks, compressed for the way."""
+    out = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n_words", pa.int64()), ("packed", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for ids, texts in text_batches(batches):
             for begin in range(0, len(texts), 1000):
-                joined = [b" ".join(words_of(t)) for t in texts[begin : begin + 1000]]
-                yield table_of(out, ids.slice(begin, 1000).cast(pa.int64()), [hashlib.sha256(t).digest() for t in joined], [t.decode("utf-8", "surrogatepass") for t in joined])
+                words = list(map(words_of, texts[begin : begin + 1000]))
+                joined = [b" ".join(w) for w in words]
+                classes = [hashlib.sha256(t).digest()[:CLASS] for t in joined]
+                yield table_of(out, ids.slice(begin, 1000).cast(pa.int64()), classes, list(map(len, words)), list(map(pack, joined)))
 
-    return documents.select("doc_id", "text").mapInArrow(read, "doc_id bigint, class binary, text string")
+    return documents.select("doc_id", "text").mapInArrow(read, "doc_id bigint, class binary, n_words bigint, packed binary")
 
 
 def _cut(documents: DataFrame, wanted: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
@@ -158,9 +166,10 @@ def _cut(documents: DataFrame, wanted: DataFrame, repeated: DataFrame, window: i
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for text, asked, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, rows = words_of(text), []
+            for packed, asked, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, rows = unpack(packed).split(), []
                 runs = Runs(words) if any(a["mixed"] for a in asked) else None
                 for a in asked:
                     begins = np.arange(a["first"], a["last"] + 1)
@@ -169,7 +178,7 @@ def _cut(documents: DataFrame, wanted: DataFrame, repeated: DataFrame, window: i
                 for begin in range(0, len(rows), 4096):
                     yield table_of(out, *zip(*rows[begin : begin + 4096], strict=True))
 
-    cutting = held.select("text", "asked", F.col("_again").isNotNull().alias("again"))
+    cutting = held.select("packed", "asked", F.col("_again").isNotNull().alias("again"))
     names = "anchor bigint, hash bigint, text string, n_windows int, windows array<bigint>, occurrences bigint, again boolean"
     written = materialize(cutting.mapInArrow(cut, names))
     return written.filter("not again").unionByName(written.filter("again").dropDuplicates(["anchor", "hash"])).drop("again")
@@ -187,16 +196,16 @@ def confirmed_phrases(documents: DataFrame, live: DataFrame, repeated: DataFrame
     told = counted.join(kinds, "anchor").select("anchor", "hash", "occurrences", "kinds", "one.*")
     cut = _cut(documents, told, repeated, window)
     # segments of two or more occurrences recur as a whole; in the others, windows that segments of the same anchor share
-    whole = cut.filter("occurrences > 1").select("anchor", "hash", "text", F.array(F.struct(F.lit(0).alias("a"), (F.col("n_windows") - 1).alias("b"))).alias("stretches"))
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n_windows") - 1).alias("b")))
     windows = cut.filter("windows is not null").select("anchor", "hash", "occurrences", F.posexplode("windows").alias("place", "window"))
     recurring = windows.groupBy("anchor", "window").agg(F.sum("occurrences").alias("_n")).filter("_n > 1").drop("_n")
     places = windows.filter("occurrences = 1").join(recurring, ["anchor", "window"]).groupBy("anchor", "hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
     # a run begins where the window before does not recur, and ends where the next one does not
     begins = F.filter("places", lambda p: ~F.array_contains("places", p - 1))
     ends = F.filter("places", lambda p: ~F.array_contains("places", p + 1))
-    some = places.select("anchor", "hash", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("stretches"))
-    single = cut.filter("occurrences = 1").select("anchor", "hash", "text")
-    return whole.unionByName(single.join(some, ["anchor", "hash"]))
+    some = materialize(places.select("anchor", "hash", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("some")))
+    stretches = F.when(F.col("occurrences") > 1, whole).otherwise(F.col("some")).alias("stretches")
+    return cut.join(some, ["anchor", "hash"], "left").select("anchor", "hash", "text", stretches).filter("stretches is not null")
 
 
 class PhraseAutomaton:
@@ -248,7 +257,7 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> tuple[int, str]:
 
 
 def _located(texts: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
-    """(class, n_removed, kept, kept_sha256) of the texts (shard, class, text) in which phrases (shard, text, stretches) occur."""
+    """(class, n_removed, kept, kept_sha256) of the texts (shard, class, packed) in which phrases (shard, text, stretches) occur."""
     out = pa.schema([("class", pa.binary()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
     def locate(key: tuple[pa.Scalar, ...], documents: pa.Table, phrases: pa.Table) -> pa.Table:
@@ -257,11 +266,11 @@ def _located(texts: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
             words = text.split(" ")
             for s in stretches:  # windows a to b share the words from the last one's first to the first one's last
                 compiled[" ".join(words[s["a"] : s["b"] + window])] = (s["b"] - s["a"], window)
-        rows = []
+        rows, unpack = [], zstandard.ZstdDecompressor().decompress
         if compiled:
             automaton = PhraseAutomaton(compiled)
-            for name, text in zip(documents["class"].to_pylist(), documents["text"].to_pylist(), strict=True):
-                padded = f" {text} "
+            for name, packed in zip(documents["class"].to_pylist(), documents["packed"].to_pylist(), strict=True):
+                padded = f" {unpack(packed).decode('utf-8', 'surrogatepass')} "
                 spans = automaton.spans(padded)
                 if spans:
                     removed, kept = without_spans(padded, spans)
@@ -295,13 +304,13 @@ def remove_repeated_passages(documents: DataFrame, window: int = WINDOW) -> Data
     # copies lose all their words anyhow; the others meet the phrases of their own segments
     places = live.join(copies, "class", "left_anti").select(shard, "anchor", "hash").distinct()
     pieces = places.join(phrases, ["anchor", "hash"]).select("shard", "text", "stretches")
-    long = _with_class(documents).filter(F.length("text") >= 2 * window - 1).join(copies, "class", "left_anti").select(shard, "class", "text")
+    long = _with_class(documents).filter(F.col("n_words") >= window).join(copies, "class", "left_anti").select(shard, "class", "packed")
     located = _located(long, pieces, window)
     gone = copies.select("class", F.lit(None).cast("bigint").alias("n_removed"), F.lit("").alias("kept"), F.lit(NONE_LEFT).alias("kept_sha256"))
     changed = materialize(located.unionByName(gone))
-    own = read.select("doc_id", "class", "n_words").join(changed.withColumn("_found", F.lit(True)), "class", "left")
+    own = read.select("doc_id", "class", "n_words", "sha256").join(changed.withColumn("_found", F.lit(True)), "class", "left")
     removed = F.when(F.col("_found"), F.coalesce("n_removed", "n_words")).otherwise(F.lit(0).cast("bigint"))
-    return own.select("doc_id", "n_words", removed.alias("n_removed"), "kept", F.coalesce("kept_sha256", F.lower(F.hex("class"))).alias("kept_sha256"))
+    return own.select("doc_id", "n_words", removed.alias("n_removed"), "kept", F.coalesce("kept_sha256", F.lower(F.hex("sha256"))).alias("kept_sha256"))
 
 
 SQL = rf"""
