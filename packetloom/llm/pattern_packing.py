@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.chunked_tokens import stretch_encoder
+from packetloom.llm.chunked_tokens import parts_of, stretch_encoder
 from packetloom.llm.common import materialize, table_of, text_batches, u32
 
 GRAIN = 8  # tokens in a length class
@@ -28,7 +28,7 @@ SPREAD_ROWS = 50_000  # pieces ranked in one group
 def token_pieces(documents: DataFrame, tokenizer: str, limit: int, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the end id behind every whole text, documents over ``limit`` cut at its multiples.
 
-    A null text is empty (one piece, the end id). Repeated rows are pieces each; a null doc_id stays null.
+    A null text is empty (one piece, the end id). The string of a special token in a text is that token, as the library has it. Repeated rows are pieces each; a null doc_id stays null.
     """
     out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -36,8 +36,8 @@ def token_pieces(documents: DataFrame, tokenizer: str, limit: int, end_id: int =
         encoder, end = stretch_encoder(tokenizer, False), u32([end_id])
         for keys, texts in text_batches(batches):
             rows = []
-            for k in range(0, len(texts), 500):
-                for key, ids in zip(keys.slice(k, 500).to_pylist(), encoder.encode_batch(texts[k : k + 500]), strict=True):
+            for k, some in parts_of(texts):
+                for key, ids in zip(keys.slice(k, len(some)).to_pylist(), encoder.encode_batch(some), strict=True):
                     data = ids + end
                     for piece, begin in enumerate(range(0, len(data), 4 * limit)):
                         part = data[begin : begin + 4 * limit]
