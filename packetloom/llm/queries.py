@@ -109,10 +109,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_wavelet_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
-    tokens = wavelet_shards.encode_tokens(documents, public_tokenizers.path("byte_bpe_50k.json"))
     path = new_path(spark)
-    wavelet_shards.write_shards(tokens, documents.select("doc_id"), path)
+    wavelet_shards.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
     return wavelet_shards.read_shards(spark, path)
 
 

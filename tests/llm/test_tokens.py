@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from packetloom.llm import pattern_packing, piece_bpe, wavelet_shards
+from packetloom.llm import chunked_tokens, pattern_packing, piece_bpe, wavelet_shards
 from packetloom.llm.chunked_tokens import stretch_encoder
 from packetloom.llm.common import new_path
 from packetloom.llm.queries import QUERIES
@@ -79,9 +79,24 @@ def test_stretches_give_the_ids_of_whole_texts(stretches, text):
     assert np.frombuffer(stretches.encode_batch([text])[0], "<u4").tolist() == stretches.library.encode(text, add_special_tokens=False).ids
 
 
-def test_special_tokens_in_texts_are_text(stretches):
-    texts = ["<|endoftext|>", "a <|endoftext|> b <|startoftext|>", "plain"]
-    assert [np.frombuffer(i, "<u4").tolist() for i in stretches.encode_batch(texts)] == [stretches.library.encode(t, add_special_tokens=False).ids for t in texts]
+def test_special_tokens_in_texts_are_as_the_library_has_them(stretches):
+    """The library as it is, read from its file anew."""
+    from tokenizers import Tokenizer
+
+    path = next(p for p, spaces in ((BYTES, True), (WORDS, False)) if spaces == stretches.spaces)
+    library = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a <|endoftext|> b <|startoftext|>", "plain", "", " <|startoftext|>\n", "x<|endoftext|>y z", "  two  blanks "]
+    assert [np.frombuffer(i, "<u4").tolist() for i in stretches.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_stretches_are_looked_up_again_after_many(monkeypatch):
+    monkeypatch.setattr(chunked_tokens, "CACHED_STRETCHES", 20)
+    monkeypatch.setattr(chunked_tokens, "SLICE", 7)
+    for path, spaces in ((BYTES, True), (WORDS, False)):
+        encoder = chunked_tokens.StretchEncoder(path, spaces)
+        for k in range(12):
+            texts = [" ".join(f"w{(k * j) % 40}" for j in range(30)), "", f"one{k}"]
+            assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode_batch(texts)] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
@@ -95,7 +110,7 @@ def test_wavelet_matrix_answers_as_the_array(values, data):
         assert (matrix.access(places) == x[places]).all()
         value, end = data.draw(st.sampled_from(values)), data.draw(st.integers(0, len(values)))
         assert matrix.rank(value, end) == values[:end].count(value)
-        assert matrix.places(value) == [k for k, v in enumerate(values) if v == value]
+        assert matrix.places(value).tolist() == [k for k, v in enumerate(values) if v == value]
         assert matrix.rank(2**20 + 1) == 0
         with pytest.raises(IndexError):
             matrix.select(value, values.count(value))
@@ -103,7 +118,7 @@ def test_wavelet_matrix_answers_as_the_array(values, data):
 
 def shard_rows(spark, frame, tokens_a_shard):
     path = new_path(spark)
-    wavelet_shards.write_shards(wavelet_shards.encode_tokens(frame, BYTES), frame.select("doc_id"), path, tokens_a_shard)
+    wavelet_shards.write_shards(frame, BYTES, path, tokens_a_shard)
     return wavelet_shards.read_shards(spark, path).collect(), spark.read.parquet(path).count()
 
 
@@ -121,6 +136,42 @@ def test_shards_hold_all_documents_in_order(spark, documents, clashing):
     assert shard_rows(spark, documents([]), 50)[0] == []
 
 
+def test_shards_answer_without_being_unpacked(spark, documents, monkeypatch):
+    """Single tokens, counts and occurrences against the array, over several ranges and shards; repeated ids over ranges."""
+    monkeypatch.setattr(wavelet_shards, "RANGE_BYTES", 20_000)
+    rows = [(k // 3, f"word{k % 50} the the end {k}" * (k % 9)) for k in range(900)]
+    path, library = new_path(spark), Tokenizer.from_file(BYTES)
+    wavelet_shards.write_shards(documents(rows), BYTES, path, 700)
+    shards = spark.read.parquet(path)
+    assert shards.select("part").distinct().count() > 3 and shards.count() > 20
+    order = sorted((r.part, r.shard, k, r) for k, r in enumerate(shards.collect()))
+    flat = [(key, offset, token) for *_, r in order for key, ids in _documents_of(r) for offset, token in enumerate(ids)]
+    assert sorted(Counter(key for key, *_ in flat).items()) == sorted(sum((Counter({k: len(library.encode(t, add_special_tokens=False).ids) + 1}) for k, t in rows), Counter()).items())
+    asked = [0, 5, 5, 701, len(flat) // 2, len(flat) - 1, len(flat), -1]
+    found = wavelet_shards.tokens_at(spark, path, spark.createDataFrame([(p,) for p in asked], "position long")).collect()
+    assert sorted(map(tuple, found)) == sorted((p, flat[p][2]) for p in set(asked) if 0 <= p < len(flat))
+    the = library.encode(" the", add_special_tokens=False).ids[0]
+    counts = {r.token: r.n for r in wavelet_shards.token_counts(spark, path, [the, 0, 49_999]).collect()}
+    want = Counter(token for *_, token in flat)
+    assert counts == {the: want[the], 0: want[0], 49_999: want[49_999]}
+    places = wavelet_shards.token_occurrences(spark, path, the).collect()
+    assert Counter(map(tuple, places)) == Counter((key, offset) for key, offset, token in flat if token == the)
+
+
+def test_one_token_takes_one_chunk_a_plane():
+    values = np.random.default_rng(8).integers(0, 50_000, 5 * wavelet_shards.CHUNK)
+    matrix = wavelet_shards.WaveletMatrix.from_bytes(wavelet_shards.WaveletMatrix.of(values).to_bytes())
+    assert matrix.access([77])[0] == values[77] and len(matrix.met) == matrix.width
+    assert matrix.rank(int(values[77])) == (values == values[77]).sum() and len(matrix.met) <= 3 * matrix.width
+
+
+def _documents_of(row):
+    ids, at = wavelet_shards.WaveletMatrix.from_bytes(bytes(row.block)).values().tolist(), 0
+    for key, n in zip(row.doc_ids, row.lengths, strict=True):
+        yield key, ids[at : at + n]
+        at += n
+
+
 def test_shard_query_on_a_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     library, start = Tokenizer.from_file(BYTES), 0
