@@ -24,14 +24,15 @@ SHE_OTHER = "[Гг]осп(?:ожа|ожи|оже|ожу|ожой)|[Гг]-(?:жа
 HE_TITLE = rf"(?:\b(?:{HE})|(?<![\p{{L}}\p{{N}}_-])(?:{HE_OTHER}))"
 SHE_TITLE = rf"(?:\b(?:{SHE})|(?<![\p{{L}}\p{{N}}_-])(?:{SHE_OTHER}))"
 TITLE = rf"(?:{HE_TITLE}|{SHE_TITLE})"
-NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    # a host of any number of labels without a repeated group, which Java would follow by recursion
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?=[A-Za-z0-9-])[A-Za-z0-9.-]*(?<=[A-Za-z0-9-])\.[A-Za-z]{2,}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "name": rf"(?=\p{{Lu}})(?<= )(?:(?<={TITLE}\.? ){NAME}|(?<={TITLE}\.? {NAME} ){NAME})",
+    "name": rf"(?=\p{{Lu}})(?<= )(?<={TITLE}\.? ){NAME}(?: {NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity.
@@ -39,7 +40,7 @@ MAY_HOLD = rf"[0-9@]|{TITLE}\.? \p{{Lu}}"
 #: A text without this holds no name. In one with it, words are looked up that may be a name without its title: whole
 #: capitalised ones, without a possessive ending, that are no part of a mail address.
 TITLED = rf"{TITLE}\.? \p{{Lu}}"
-WORD = r"(?<![\p{L}\p{N}_'’-])\p{Lu}[\p{L}'’-]{1,30}?(?=['’-]*(?:['’]s)?(?![\p{L}'’-]))(?![\p{N}_]|[A-Za-z0-9._%+'’-]*@)"
+WORD = r"(?<![\p{L}\p{N}_'’-])\p{Lu}[\p{L}'’-]+?(?=['’-]{0,8}(?:['’]s)?(?![\p{L}'’-]))(?![\p{N}_]|[A-Za-z0-9._%+'’-]*@)"
 POSSESSIVE = "['’-]*(?:['’]s)?$"
 WITH_WORDS = rf"{ANY}|(?:{WORD})"
 #: Letters from which names are made, by script: consonants, vowels, the ending of women's names.
@@ -64,34 +65,37 @@ def _canonical(kind: Column, mention: Column) -> Column:
 
 
 def _mentions(text: Column, words: bool) -> Column:
-    """array<struct<place, mention, kind, value>>: names are parted into given names by gender and family names.
+    """array<struct<place, part, mention, kind, value>>: names are parted into given names by gender and family names.
 
-    With ``words``, words that may be names too are mentions without a kind; their value is that of a name.
+    ``place`` counts the matches, ``part`` is 1 for the family name behind a given name. With ``words``, words that may be
+    names too are mentions without a kind; their value is that of a name.
     """
     pattern = WITH_WORDS if words else ANY
 
+    def entry(place: Column, part: int, mention: Column, kind: Column, value: Column) -> Column:
+        return F.struct(place.alias("place"), F.lit(part).alias("part"), mention.alias("mention"), kind.alias("kind"), value.alias("value"))
+
     def described(pieces: Column) -> Column:
         def named(whole: Column) -> Column:
-            def kinds(found: Column) -> Column:
-                def one(mention: Column, k: Column) -> Column:
-                    kind = _kind(mention)
-                    before, behind = F.get(pieces, k), F.get(pieces, k + 1)
-                    second = (before == " ") & (k > 0) & (_kind(F.get(found, k - 1)) == "name")
-                    first_of_two = (behind == " ") & F.coalesce(_kind(F.get(found, k + 1)) == "name", F.lit(False))
-                    # the title may be such a word
-                    woman = F.concat(F.coalesce(F.get(whole, k - 1), F.lit("")), before).rlike(rf"{SHE_TITLE}\.? $")
-                    part = F.when(second | ~first_of_two, "family").when(woman, "given_f").otherwise("given_m")
-                    kind = F.when(kind == "name", part).otherwise(kind)
-                    value = _canonical(_kind(mention), mention)
-                    if words:
-                        kind = F.when(mention != "", kind)
-                        value = F.when(mention == "", F.lower(F.get(whole, k))).otherwise(value)
-                    return F.struct(k.alias("place"), F.get(whole, k).alias("mention"), kind.alias("kind"), value.alias("value"))
-
-                return F.transform(found, one)
+            def one(mention: Column, k: Column) -> Column:
+                """``mention``: what an entity's pattern matched, empty for a word that may be a name."""
+                kind = _kind(mention)
+                given, family = F.substring_index(mention, " ", 1), F.substring_index(mention, " ", -1)
+                # the title may be such a word
+                woman = F.concat(F.coalesce(F.get(whole, k - 1), F.lit("")), F.get(pieces, k)).rlike(rf"{SHE_TITLE}\.? $")
+                first = F.when(woman, "given_f").otherwise("given_m")
+                both = F.array(entry(k, 0, given, first, F.lower(given)), entry(k, 1, family, F.lit("family"), F.lower(family)))
+                own = F.when(kind == "name", "family").otherwise(kind)
+                single = F.array(entry(k, 0, mention, own, _canonical(kind, mention)))
+                found = F.when((kind == "name") & mention.contains(" "), both).otherwise(single)
+                if words:
+                    bare = F.get(whole, k)
+                    found = F.when(mention == "", F.array(entry(k, 0, bare, F.lit(None).cast("string"), F.lower(bare)))).otherwise(found)
+                return found
 
             # what only WORD matches has an empty group here
-            return let(F.regexp_extract_all(text, F.lit(f"({ANY})|(?:{WORD})"), F.lit(1)), kinds) if words else kinds(whole)
+            found = F.regexp_extract_all(text, F.lit(f"({ANY})|(?:{WORD})"), F.lit(1)) if words else whole
+            return F.flatten(F.transform(found, one))
 
         return let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), named)
 
@@ -107,7 +111,7 @@ def _looked_up(words: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("_key") != F.col("value"), F.col("kind") != "family", "kind", "value")).alias("_best")
     names = names.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "_key").agg(best)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")) & (F.col("value") == F.col("_key"))
-    known = bare.join(names, same, "left").select("doc_id", "content", "place", "mention", F.col("_best.kind").alias("kind"), F.col("_best.value").alias("value"))
+    known = bare.join(names, same, "left").select("doc_id", "content", "place", "part", "mention", F.col("_best.kind").alias("kind"), F.col("_best.value").alias("value"))
     return found.select(known.columns).union(known)
 
 
@@ -197,8 +201,8 @@ def surrogates(values: DataFrame, secret: str) -> DataFrame:
     accepted, todo = [], values
     for attempt in range(MOST_ROUNDS):
         drawn = todo.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), secret, attempt)).join(real, ["kind", "surrogate"], "left_anti")
-        for earlier in accepted:
-            drawn = drawn.join(earlier, ["kind", "surrogate"], "left_anti")
+        if accepted:
+            drawn = drawn.join(reduce(DataFrame.unionByName, accepted).select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         won = materialize(drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate"))
         accepted.append(won)
         todo = materialize(todo.join(won, ["kind", "value"], "left_anti"))
@@ -233,18 +237,22 @@ def replace_personal_data(documents: DataFrame, secret: str) -> DataFrame:
     named = F.col("text").rlike(TITLED)
     words = materialize(held.filter(named).select("doc_id", content.alias("content"), F.inline(_mentions(F.col("text"), True))))
     plain = held.filter(~named).select("doc_id", content.alias("content"), F.inline(_mentions(F.col("text"), False)))
-    found = materialize(plain.select("doc_id", "content", "place", "mention", "kind", "value").union(_looked_up(words)))
+    found = materialize(plain.select("doc_id", "content", "place", "part", "mention", "kind", "value").union(_looked_up(words)))
     known = surrogates(found.filter("kind is not null"), secret)
     # other words stay in the list as they are
     new = F.coalesce(_written(F.col("mention"), F.col("kind"), F.col("surrogate")), F.col("mention"))
-    written = found.join(known, ["kind", "value"], "left").select("doc_id", "content", F.struct("place", new.alias("surrogate"), F.col("kind").isNotNull().alias("entity")).alias("_one"))
+    written = found.join(known, ["kind", "value"], "left").select("doc_id", "content", F.struct("place", "part", new.alias("surrogate"), F.col("kind").isNotNull().alias("entity")).alias("_one"))
     by_document = written.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.sort_array(F.collect_set("_one")).alias("_new"))
     rows = wrapped(documents.drop("n_entities"))
     old = F.col("row.text")
     joined = rows.join(by_document, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_content")), "left")
 
     def replaced(pieces: Column) -> Column:
-        behind = F.transform(F.col("_new"), lambda n: F.concat(n["surrogate"], F.get(pieces, n["place"] + 1)))
+        def behind_it(n: Column, k: Column) -> Column:
+            given = F.coalesce(F.get(F.col("_new"), k + 1)["place"] == n["place"], F.lit(False))
+            return F.concat(n["surrogate"], F.when(given, " ").otherwise(F.get(pieces, n["place"] + 1)))
+
+        behind = F.transform(F.col("_new"), behind_it)
         return F.concat(F.get(pieces, F.lit(0)), F.array_join(behind, ""))
 
     text = F.when(F.col("_new").isNull(), old).otherwise(F.when(old.rlike(TITLED), let(F.split(old, WITH_WORDS, -1), replaced)).otherwise(let(F.split(old, ANY, -1), replaced)))
