@@ -298,7 +298,8 @@ def remove_repeated_passages(documents: DataFrame, window: int = WINDOW) -> Data
     shard = F.pmod(F.xxhash64("class"), F.lit(max(1, -(-size // SHARD)))).alias("shard")
     every = read.select("doc_id", "class", F.inline("segments"))
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
-    live = materialize(every.join(anchors, "anchor", "left_semi"))
+    # written, so that the join's sides are plain shuffles and a hot anchor can be split
+    live = materialize(every.join(materialize(anchors), "anchor", "left_semi"))
     repeated = read.groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
     phrases = confirmed_phrases(documents, live, repeated, window)
     # copies lose all their words anyhow; the others meet the phrases of their own segments
