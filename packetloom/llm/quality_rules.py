@@ -3,7 +3,9 @@
 Each feature is a ratio in thousandths, kept to three significant digits. The counts of these values are the sketch: it
 has a relative error below one percent, two sketches merge by adding counts, and the order of merging is of no account.
 A group's cutoff is its median and a multiple of the spread below the median, so up to half of a group may be junk
-without moving it. Small groups use the sketch of their language, then that of all.
+without moving it. Each cutoff is drawn towards that of the wider sketch (language, then all) by as much as a group of
+``WEIGHT`` documents would, so the size of a group or table never switches anything. What is added to the spread is
+fixed for each feature: in clean text most of them are zero, which has no spread to go by.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from packetloom.llm.common import let, materialize, unwrapped, wrapped
 SPACE = r"\x20\x09-\x0D"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30  # the base rules
-LEAST_DOCUMENTS = 200  # a smaller group uses the next wider sketch
+WEIGHT = 50  # documents of a group that count as much as the wider sketch
 SPREADS = 6
 #: feature -> (count, of, slack in thousandths beyond the spread)
 FEATURES = {
@@ -141,15 +143,16 @@ def judge(features: DataFrame) -> DataFrame:
     """
     cut = materialize(cutoffs(sketches(features)))
     names = [f"most_{f}" for f in FEATURES]
-    usable = F.col("n") >= LEAST_DOCUMENTS
-    finest = cut.filter(F.col("level") == 0)
-    by_lang = cut.filter((F.col("level") == 1) & usable).select(F.col("lang").alias("_lang"), F.struct(*names).alias("_wider"))
-    everything = cut.filter(F.col("level") == 2).select("level", F.struct(*names).alias("_widest"))
-    chosen = (
-        finest.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-        .join(everything.withColumnRenamed("level", "_top"), F.col("level") + 2 == F.col("_top"))
-        .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.when(usable, F.struct(*names)).otherwise(F.coalesce("_wider", "_widest")).alias("_cut"))
-    )
+
+    def towards(wider: str) -> Column:
+        return F.struct(*[F.expr(f"(n * {m} + {WEIGHT} * {wider}.{m}) div (n + {WEIGHT})").alias(m) for m in names])
+
+    finest = cut.filter("level = 0")
+    everything = cut.filter("level = 2").select("level", F.struct(*names).alias("_widest"))
+    # one row for all, by an equality that always holds
+    by_lang = cut.filter("level = 1").join(everything.withColumnRenamed("level", "_top"), F.col("level") + 1 == F.col("_top"))
+    by_lang = by_lang.select(F.col("lang").alias("_lang"), towards("_widest").alias("_wider"))
+    chosen = finest.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), towards("_wider").alias("_cut"))
     fine = F.lit(True)
     for f in FEATURES:
         fine = fine & (_thousandths(f) <= F.col(f"_cut.most_{f}"))
@@ -217,8 +220,8 @@ WITH worded AS (
 ), mosts AS (
   SELECT *, median + {SPREADS} * (median - quarter) + CASE feature {slack} END AS most FROM cuts
 ), chosen AS (
-  SELECT f.lang, f.source, f.feature, CASE WHEN f.n >= {LEAST_DOCUMENTS} THEN f.most WHEN l.n >= {LEAST_DOCUMENTS} THEN l.most ELSE e.most END AS most
-  FROM mosts f LEFT JOIN mosts l ON l.level = 1 AND l.feature = f.feature AND l.lang IS NOT DISTINCT FROM f.lang
+  SELECT f.lang, f.source, f.feature, (f.n * f.most + {WEIGHT} * ((l.n * l.most + {WEIGHT} * e.most) // (l.n + {WEIGHT}))) // (f.n + {WEIGHT}) AS most
+  FROM mosts f JOIN mosts l ON l.level = 1 AND l.feature = f.feature AND l.lang IS NOT DISTINCT FROM f.lang
   JOIN mosts e ON e.level = 2 AND e.feature = f.feature WHERE f.level = 0
 ), based AS (
   SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, {fine} AS fine FROM counted
