@@ -25,11 +25,11 @@ OTHER_SPACE = r"[\t\x0b-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 UNEVEN = rf"^[ \n]|[ \n]$|[ \n][ \n]|{OTHER_SPACE}"
 # Punctuation behind a letter or digit is never one token with it, so it is a stretch of its own: fewer different ones.
 ENDING = r"([A-Za-z0-9])([.,;:!?)]+)([ \n]|$)"
-CACHED_STRETCHES = 600_000
-SLICE = 1 << 20  # stretches whose ids are gathered at once
+CACHED_STRETCHES = 400_000
+SLICE = 1 << 18  # stretches whose ids are gathered at once
 
 
-def parts_of(texts: list[str], rows: int = 2000, characters: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def parts_of(texts: list[str], rows: int = 1000, characters: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """(number of the first, texts): runs of texts that are encoded together; a longer text is a run of its own."""
     begin = held = 0
     for k, text in enumerate(texts):

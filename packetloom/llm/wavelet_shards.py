@@ -220,7 +220,6 @@ def write_shards(documents: DataFrame, tokenizer: str, path: str, shard_tokens:
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("_row")]
     rows = documents.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
     ordered = rows.repartitionByRange(max(1, -(-size // RANGE_BYTES)), *order).sortWithinPartitions(*order)
-    ids = encode_tokens(ordered, tokenizer, end_id).withColumn("part", F.spark_partition_id())
     out = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("block", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,18 +229,27 @@ def write_shards(documents: DataFrame, tokenizer: str, path: str, shard_tokens:
             ids = np.frombuffer(b"".join(pieces), "<u4")
             return table_of(out, [part], [shard], [keys], [[len(p) // 4 for p in pieces]], [len(ids)], [WaveletMatrix.of(ids).to_bytes()])
 
-        for batch in batches:
-            for part, key, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):  # noqa: B007
-                keys.append(key)
-                pieces.append(ids)
-                held += len(ids) // 4
-                if held >= shard_tokens:
-                    yield row()
-                    shard, keys, pieces, held = shard + 1, [], [], 0
+        for part, key, ids in encoded(batches):  # noqa: B007
+            keys.append(key)
+            pieces.append(ids)
+            held += len(ids) // 4
+            if held >= shard_tokens:
+                yield row()
+                shard, keys, pieces, held = shard + 1, [], [], 0
         if keys:
             yield row()
 
-    ids.select("part", "doc_id", "ids").mapInArrow(cut, SHARDS).write.option("compression", "uncompressed").parquet(path)
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, bytes]]:
+        encoder, end = stretch_encoder(tokenizer, True), u32([end_id])
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for k, some in parts_of(texts):
+                rows = batch.slice(k, len(some))
+                for part, key, ids in zip(rows.column(2).to_pylist(), rows.column(0).to_pylist(), encoder.encode_batch(some), strict=True):
+                    yield part, key, ids + end
+
+    numbered = ordered.select(F.col("doc_id").cast("bigint"), "text", F.spark_partition_id().alias("part"))
+    numbered.mapInArrow(cut, SHARDS).write.option("compression", "uncompressed").parquet(path)
 
 
 def _starts(shards: DataFrame) -> DataFrame:
