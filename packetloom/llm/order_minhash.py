@@ -7,7 +7,7 @@ is missed. Bucket members are aligned in a band: aligned k-mers over all k-mers
 only pairs go that cannot reach it by their lengths or by the k-mers that they do not share.
 
 Groups are the components of "similarity of 0.8 or more" among texts that share a bucket. Texts are first compared with
-a few centres of their buckets; after that, only with those bucket members that are still in another component.
+one centre of each of their buckets; after that, only with those bucket members that are still in another component.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import materialize, table_of, text_batches, unwrapped, wrapped
+from packetloom.llm.common import materialize, table_of, unwrapped, wrapped
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -138,14 +138,15 @@ def similarity_reaches(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 
 def sketched(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_class, n, buckets, odd, few): a hash of the words, the number of k-mers, the sketch, the k-mers' parities,
-    few k-mers themselves. Without words the class is null.
+    """(doc_id, content, text_class, n, buckets, odd, few): a hash of the text, one of the words, the number of k-mers, the
+    sketch, the k-mers' parities, few k-mers themselves. Without words the class is null.
     """
     lists = [(name, pa.list_(pa.int64())) for name in ("buckets", "odd", "few")]
-    out = pa.schema([("doc_id", pa.int64()), ("text_class", pa.int64()), ("n", pa.int32()), *lists])
+    out = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("text_class", pa.int64()), ("n", pa.int32()), *lists])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_batches(batches):
+        for batch in batches:
+            ids, texts, contents = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], batch.column(2)
             for begin in range(0, len(texts), 1000):
                 classes, counts, buckets, odd, few = [], [], [], [], []
                 for text in texts[begin : begin + 1000]:
@@ -156,9 +157,10 @@ def sketched(documents: DataFrame) -> DataFrame:
                     buckets.append(order_sketch(keys).view(np.int64) if len(runs) else [])
                     odd.append(parities(keys) if len(runs) else [])
                     few.append(keys.view(np.int64) if len(runs) <= FEW else [])
-                yield table_of(out, ids.slice(begin, 1000).cast(pa.int64()), classes, counts, buckets, odd, few)
+                yield table_of(out, ids.slice(begin, 1000).cast(pa.int64()), contents.slice(begin, 1000), classes, counts, buckets, odd, few)
 
-    return documents.select("doc_id", "text").mapInArrow(sketch, "doc_id bigint, text_class bigint, n int, buckets array<bigint>, odd array<bigint>, few array<bigint>")
+    hashed = documents.select("doc_id", "text", F.xxhash64("text").alias("content"))
+    return hashed.mapInArrow(sketch, "doc_id bigint, content bigint, text_class bigint, n int, buckets array<bigint>, odd array<bigint>, few array<bigint>")
 
 
 def _rarest(nodes: DataFrame) -> DataFrame:
@@ -272,14 +274,15 @@ def _reachable(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, group_id, copy_of, is_first): the group of every document.
+    """(doc_id, group_id, copy_of, is_first, component, content): the group of every document.
 
     ``copy_of``: the smallest doc_id with the same words; ``group_id``: the smallest doc_id of all linked texts;
-    ``is_first``: whether the row's doc_id is that. Null texts and those without words are groups of their own; texts of
+    ``is_first``: whether the row's doc_id is that; ``component``: a number of the group, null for texts without words;
+    ``content``: a hash of the text, that tells rows of one doc_id apart. Null texts and those without words are groups of their own; texts of
     fewer than five words are linked if their words are equal; repeated rows share a group; null doc_ids stay null and
     come first only where no other id is. An empty table gives an empty one.
 
-    Copies are one node from the start. A bucket emits a few pairs for each member, and pairs across components only for
+    Copies are one node from the start. A bucket emits one pair for each member, and pairs across components only for
     members outside its commonest component, so a group of alike texts costs its size, not its square.
     """
     sketches = materialize(sketched(documents))
@@ -291,12 +294,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = nodes.select("text_class", "n", F.explode("buckets").alias("bucket"))
     order = F.xxhash64("text_class")
     centre = F.struct("text_class", "n")
-    shared = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("_size"), F.array(F.min_by(centre, order), F.max_by(centre, order), F.min_by(centre, "text_class"), F.min_by(centre, F.col("n"))).alias("centres")
-    )
+    # the same centre in most buckets of a group of alike texts, so that their pairs are few
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"), F.min_by(centre, order).alias("centre"))
     shared = shared.filter("_size > 1").drop("_size")
     buckets = materialize(members.join(shared, "bucket"))
-    stars = _pairs(buckets.select(F.col("text_class").alias("x"), F.col("n").alias("nx"), F.inline(F.array_distinct("centres"))).withColumnsRenamed({"text_class": "y", "n": "ny"}))
+    stars = _pairs(buckets.select(F.col("text_class").alias("x"), F.col("n").alias("nx"), F.col("centre.text_class").alias("y"), F.col("centre.n").alias("ny")))
     pairs = materialize(_reachable(stars, nodes))
     wanted = nodes.select("doc_id", "text_class").join(buckets.select("text_class").distinct(), "text_class", "left_semi")
     grams = materialize(_kmer_table(documents, wanted))
@@ -320,17 +322,32 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = across.select(*[F.col(f"{c}_{side}").alias(f"{new}{side}") for c, new in (("text_class", ""), ("n", "n")) for side in "xy"])
     rest = _pairs(named).join(pairs, ["a", "b"], "left_anti")
     more = _verified(rest, grams)
-    groups = components(links.union(more)).withColumnRenamed("node", "text_class")
+    # what the first links connect, each component now says with one link a text
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = components(known.union(more)).withColumnRenamed("node", "text_class")
     named = nodes.select("text_class", "doc_id").join(groups, "text_class", "left").withColumn("component", F.coalesce("component", "text_class"))
     heads = named.groupBy("component").agg(F.min("doc_id").alias("group_id"))
-    named = named.join(heads, "component").select("text_class", F.col("doc_id").alias("copy_of"), "group_id")
-    rows = sketches.select("doc_id", "text_class").join(named, "text_class", "left")
+    named = named.join(heads, "component").select("text_class", F.col("doc_id").alias("copy_of"), "group_id", "component")
+    rows = sketches.select("doc_id", "content", "text_class").join(named, "text_class", "left")
     own = F.when(F.col("text_class").isNull(), F.col("doc_id"))
-    return rows.select("doc_id", F.coalesce("group_id", own).alias("group_id"), F.coalesce("copy_of", own).alias("copy_of")).withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("group_id")))
+    groups = rows.select("doc_id", F.coalesce("group_id", own).alias("group_id"), F.coalesce("copy_of", own).alias("copy_of"), "component", "content")
+    return groups.select("doc_id", "group_id", "copy_of", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("is_first"), "component", "content")
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; all columns as they were."""
-    first = near_duplicates(documents).filter("is_first").select(F.col("doc_id").alias("_id")).distinct()
-    rows = wrapped(documents)
-    return rows.join(first, F.col("row.doc_id").eqNullSafe(F.col("_id")), "left_semi").select(unwrapped(rows))
+    """One row of each group, all columns as they were.
+
+    The one with the smallest doc_id (a null one only where no other is); of several texts under it the one with the
+    smallest hash, of equal rows any one. Texts without words stay, each row of them.
+    """
+    near = materialize(near_duplicates(documents))
+    sized = near.filter("is_first and component is not null").groupBy("component", "doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
+    chosen = sized.groupBy("component").agg(F.min_by(F.struct("doc_id", "content", "n"), "content").alias("one")).select("one.*")
+    chosen = materialize(chosen.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "n"))
+    empty = near.filter("component is null").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct()
+    rows = wrapped(documents).withColumn("_own", F.xxhash64("row.text"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_content"))
+    single = rows.join(chosen.filter("n = 1").drop("n").unionByName(empty), same, "left_semi").select("row")
+    several = rows.join(chosen.filter("n > 1"), same).dropDuplicates(["_id", "_content"]).select("row")
+    kept = single.unionByName(several)
+    return kept.select(unwrapped(kept))

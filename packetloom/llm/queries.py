@@ -84,7 +84,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_order_minhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "copy_of", "is_first")
 
 
 @query("op6_secret_automaton")

@@ -12,6 +12,7 @@ import corpus_pipeline
 from packetloom.llm import line_templates, order_minhash, pii_surrogates, quality_rules
 from packetloom.llm.common import materialize, read_table
 from packetloom.llm.queries import ORACLES, QUERIES
+from conftest import CLASHING
 
 SF = "/root/testdata/sf0.001"
 SPACE = "\x20\x09-\x0d"
@@ -98,6 +99,19 @@ def test_templates_with_variable_fields(spark, documents, clashing):
     assert line_templates.drop_recurring_lines(documents([])).count() == 0
 
 
+def test_long_lines_need_few_texts_and_short_ones_many(spark, documents):
+    """A long passage that nine texts share goes from eight; a word that 200 texts have as a line goes too, one that 50 have stays."""
+    passage = " ".join(f"p{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60))
+    rows = [(k, f"{'x' * (k + 1)} own\n{passage}\n{'y' * (k + 1)}") for k in range(9)]
+    rows += [(100 + k, f"{'z' * (k + 1)} mine\nContents" + ("\nIndex" if k < 50 else "")) for k in range(200)]
+    rows += [(500, "1 2 3 4"), (501, "5 6 7 8"), *[(600 + k, f"own {'v' * k}\n\n1 2 3") for k in range(300)]]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(documents(rows)).collect()}
+    assert got[0].text == rows[0][1] and all(passage not in got[k].text and got[k].n_dropped == 1 for k in range(1, 9))
+    assert got[100].text == rows[9][1] and all("Contents" not in got[100 + k].text for k in range(1, 200))
+    assert all(("Index" in got[100 + k].text) == (k < 50) for k in range(200))
+    assert all(got[k].n_dropped == 0 for k in got if k >= 500)  # fields alone say nothing
+
+
 def test_copies_of_one_text_do_not_make_its_lines_common(spark, documents):
     rows = [(k, "the very same line in all\nand this second one too") for k in range(30)]
     assert {r.n_dropped for r in line_templates.drop_recurring_lines(documents(rows)).collect()} == {0}
@@ -342,7 +356,15 @@ def test_groups_are_the_components_of_all_pairs(spark, documents, clashing):
     kept = order_minhash.keep_first(documents(rows)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(brute_groups(rows).values()))
     assert order_minhash.near_duplicates(documents([])).count() == 0
-    assert [tuple(r) for r in order_minhash.near_duplicates(documents([(None, "some words that are here now")])).collect()] == [(None, None, None, True)]
+    assert [tuple(r)[:4] for r in order_minhash.near_duplicates(documents([(None, "some words that are here now")])).collect()] == [(None, None, None, True)]
+
+
+def test_one_row_of_each_group_stays(spark, documents, clashing):
+    one, other, third = "a b c d e f g h", "quite other words that are told here now", "nothing like the rest of it all at once"
+    rows = [(7, one), (7, one), (9, one), (7, other), (8, other + " "), (None, third), (None, third), (None, one), (3, None), (3, None), (4, ""), (4, " ")]
+    kept = order_minhash.keep_first(clashing(documents(rows))).collect()
+    assert sorted([(r.doc_id, r.text) for r in kept], key=repr) == sorted([(7, one), (7, other), (None, third), (3, None), (3, None), (4, ""), (4, " ")], key=repr)
+    assert set(kept[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", *CLASHING}
 
 
 def test_groups_of_a_table(spark):
@@ -415,6 +437,33 @@ def test_pipeline_is_its_operators(spark, documents):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_templates", "order_minhash", "pii_surrogates", "pattern_packing"]
 
 
+def test_pipeline_of_odd_tables(spark, documents, clashing):
+    """Nulls in any column, empty texts, repeated rows, a very long text and clashing columns through all stages; an empty table."""
+    rng = random.Random(9)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
+
+    rows = [(k, prose(60), "en", "web", 1) for k in range(30)]
+    rows += [rows[3], rows[3], (50, rows[4][1], None, None, None), (None, prose(50), "en", None, 5), (None, None, "en", "web", None), (60, None, None, "web", 0), (61, "", "en", "web", 0)]
+    rows += [(62, prose(20_000), "en", "web", 9), (63, "Mr. Ann Low wrote to x@y.org " + prose(40), "en", "web", 9), (64, "short", "en", "web", 5)]
+    long = next(r[1] for r in rows if r[0] == 62)
+    for frame in (clashing(documents(rows)), documents([])):
+        docs, names = frame, frame.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = materialize(stage(spark, docs, SF))
+            assert docs.columns == names
+        kept = docs.collect()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        if not kept:
+            assert not packed
+            continue
+        by_id = Counter(r.doc_id for r in kept)
+        assert by_id == Counter({**{k: 1 for k in range(30)}, None: 1, 62: 1, 63: 1})  # equal rows once, of 4 and 50 the first
+        assert next(r.text for r in kept if r.doc_id == 62) == long and "x@y.org" not in next(r.text for r in kept if r.doc_id == 63)
+        assert {r.doc_id for r in packed} == set(by_id)
+
+
 def test_pipeline_query(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     sequences = defaultdict(int)
