@@ -263,16 +263,23 @@ def content_chain(text: Column, low: Column, contents: Column) -> Column:
 def occurrences(haystack: Column, needle: Column) -> Column:
     """Zero-based starts of all, also overlapping, occurrences (binary columns)."""
 
-    def scan(hay):
-        return let(needle, lambda lit: starts(hay, lit))
+    # cut before every place where the needle begins; the lengths of the parts add up to these places
+    text, lit = latin1(haystack), latin1(needle)
+    ahead = F.concat(F.lit("(?=(?s:"), F.regexp_replace(lit, "([^A-Za-z0-9])", r"\\$1"), F.lit("))"))
 
-    def starts(hay, lit):
-        length = F.length(lit)
-        last = F.length(hay) - length
-        all_ = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: hay.substr(i + 1, length) == lit)
-        return F.when((last >= 0) & (length > 0), all_).otherwise(F.array().cast("array<int>"))
+    def starts(parts):
+        lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
 
-    return let(haystack, scan)
+        def step(acc, n):
+            return F.struct((acc["at"] + n).alias("at"), F.concat(acc["found"], F.array(acc["at"] + n)).alias("found"))
+
+        return F.aggregate(lengths, begin, step, lambda acc: acc["found"])
+
+    later = let(F.split(text, ahead, -1), starts)
+    # a part in front of the first character would be empty and is not made
+    first = F.when(F.startswith(text, lit), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.when((F.length(lit) > 0) & F.contains(text, lit), F.concat(first, later)).otherwise(F.array().cast("array<int>"))
 
 
 def regex_all(text: Column, regexes: Column) -> Column:
@@ -439,18 +446,26 @@ def _grams(data: Column, size: int) -> Column:
 def literal_matches(payloads: DataFrame, literals: DataFrame, key: str = "packet_no") -> DataFrame:
     """One row per occurrence: ``key, rule_id, match_text, pos_start, pos_end`` (inclusive).
 
-    ``literals`` has ``rule_id, literal``.  Literals are joined to payloads on
-    their first (up to four) bytes, never as all pairs, then verified.
+    ``literals`` has ``rule_id, literal``; ``key`` tells payloads apart. Literals meet payloads by pieces of up to four
+    bytes, never as all pairs: payloads give (key, piece), without the payload, for the pieces that literals have. Of a
+    literal's pieces the one that fewest payloads hold makes the candidates; only these meet their payload again.
     """
     prepared = literals.withColumn("_l", literal_bytes(F.col("literal"))).filter(F.length("_l") > 0)
     prepared = prepared.withColumn("_needle", F.encode("_l", "ISO-8859-1"))
-    size = F.least(F.length("_needle"), F.lit(GRAM))
+    own = F.when(F.length("_needle") >= GRAM, _grams(F.col("_needle"), GRAM)).otherwise(F.array("_l"))
+    named = materialize(prepared.select("rule_id", "_l", "_needle", F.explode(own).alias("_gram")))
     # at most GRAM different piece lengths
-    lengths = sorted(row[0] for row in prepared.select(size).distinct().collect())
-    anchors = prepared.select("rule_id", "literal", "_l", "_needle", F.col("_l").substr(F.lit(1), size).alias("_gram"))
+    lengths = sorted(row[0] for row in named.select(F.length("_gram")).distinct().collect())
     grams = F.concat(*[F.coalesce(_grams(F.col("payload"), n), F.array().cast("array<string>")) for n in lengths])
-    pieces = payloads.select(key, "payload", F.explode(grams).alias("_gram"))
-    pairs = lookup_join(pieces, anchors, ["_gram"]).filter(F.contains("payload", "_needle"))
+    pieces = payloads.select(key, F.explode(grams).alias("_gram"))
+    hits = materialize(lookup_join(pieces, materialize(named.select("_gram").distinct()), ["_gram"]).select(key, "_gram"))
+    often = hits.groupBy("_gram").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = named.join(often, "_gram").groupBy("rule_id", "_l", "_needle").agg(F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"), F.count(F.lit(1)).alias("_met"))
+    # a literal with a piece that no payload holds is nowhere
+    whole = named.groupBy("rule_id", "_l", "_needle").agg(F.count(F.lit(1)).alias("_pieces"))
+    rarest = materialize(rarest.join(whole, ["rule_id", "_l", "_needle"]).filter("_met = _pieces").drop("_met", "_pieces"))
+    candidates = lookup_join(hits, rarest, ["_gram"]).select(key, "rule_id", "_l", "_needle")
+    pairs = candidates.join(payloads.select(key, "payload"), key).filter(F.contains("payload", "_needle"))
     start = F.explode(occurrences(F.col("payload"), F.col("_needle")))
     return pairs.select(key, "rule_id", F.col("_l").alias("match_text"), F.length("_needle").alias("_n"), start.alias("pos_start")).select(
         key, "rule_id", "match_text", "pos_start", (F.col("pos_start") + F.col("_n") - 1).alias("pos_end")

@@ -242,7 +242,7 @@ def silence(
     The input is read twice, times only and whole rows; ``derived`` writes an
     input that is itself expensive to a table first.  Rows without a time are
     left out.  Of rows at one time the first by ``order`` counts; of those equal
-    in that too, the first by all columns.
+    in that too, the first by a hash of all columns.
     """
     if derived:
         df = materialize(df)
@@ -251,7 +251,7 @@ def silence(
     block, upper = width * _BLOCK, width * _BLOCK * _BLOCK
     columns = df.columns
     key = F.to_json(F.struct(*[(F.col(k) if isinstance(k, str) else k).alias(f"k{i}") for i, k in enumerate(keys)]))
-    ranked = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.to_json(F.struct(*columns)).alias("all"))
+    ranked = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], _all_of(df).alias("all"))
     at = df.select(*columns, key.alias("_k"), micros(ts).alias("_t")).filter("_t is not null")
     # equal times: only the first row of a tick can ever be emitted
     ticks = (
@@ -300,6 +300,11 @@ def silence(
     return emitted.select("_row.*").select(*columns)
 
 
+def _all_of(df: DataFrame) -> Column:
+    """A number from all columns, to put rows in order that are equal in what is ordered by."""
+    return F.xxhash64(*[F.to_json(F.col(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields])
+
+
 def _starts(batch_cols: Sequence[pa.Array]) -> np.ndarray:
     """Index of every row that begins a new group in sorted columns."""
     n = len(batch_cols[0])
