@@ -103,9 +103,10 @@ def port_spec(items: Column) -> Column:
         valid = body.rlike(r"^(?:\d{1,5}|\d{1,5}:\d{0,5}|:\d{1,5})$")
         lo = F.when(start == "", 0).otherwise(start.try_cast("int"))
         hi = F.when(colon == "", lo).when(stop == "", 65535).otherwise(stop.try_cast("int"))
+        any_port = body == "any"
         return F.struct(
-            F.when(valid, lo).otherwise(-1).alias("lo"),
-            F.when(valid, hi).otherwise(-1).alias("hi"),
+            F.when(any_port, 0).when(valid, lo).otherwise(-1).alias("lo"),
+            F.when(any_port, 65535).when(valid, hi).otherwise(-1).alias("hi"),
             item.startswith("!").alias("neg"),
         )
 

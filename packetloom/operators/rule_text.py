@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,45 +243,86 @@ def set_variable(stored: DataFrame, name: str, value: str) -> DataFrame:
     return stored.select("name", "value").filter(F.col("name") != name).unionByName(row)
 
 
+MEMBERS = "array<struct<signs:int,item:string>>"
+
+
+def list_members(text: Column) -> Column:
+    """Members of an address or port text as ``array<struct<signs,item>>``: lists may be nested, ``!`` stands before members or lists.
+
+    ``signs``: the ``!`` before the item. Inside lists two cancel each other; before a single item they stay as written.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"(!*\s*\[|\]|[^\[\],]+)"), F.lit(1))
+    begin = F.struct(F.array(F.lit(0)).alias("signs"), F.array().cast(MEMBERS).alias("members"))
+
+    def step(acc, token):
+        word = strip(token)
+        sum_ = F.element_at(acc["signs"], -1) + F.length(F.regexp_extract(word, "^(!*)", 1))
+        item = strip(F.regexp_replace(word, "^!+", ""))
+        one = F.array(F.struct(F.when(F.size(acc["signs"]) > 1, sum_ % 2).otherwise(sum_).alias("signs"), item.alias("item")))
+        signs = F.when(word.endswith("["), F.concat(acc["signs"], F.array(sum_)))
+        signs = signs.when(word == "]", F.slice(acc["signs"], 1, F.greatest(F.size(acc["signs"]) - 1, F.lit(1)))).otherwise(acc["signs"])
+        members = F.when(word.endswith("[") | word.isin("]", "") | (item == ""), acc["members"]).otherwise(F.concat(acc["members"], one))
+        return F.struct(signs.alias("signs"), members.alias("members"))
+
+    return F.aggregate(tokens, begin, step, lambda acc: acc["members"])
+
+
+def _members_text(members: Column) -> Column:
+    signed = F.transform(members, lambda m: F.concat(F.repeat(F.lit("!"), m["signs"]), m["item"]))
+    return F.when(F.size(members) == 1, F.get(signed, F.lit(0))).when(F.size(members) == 0, "any").otherwise(F.concat(F.lit("["), F.array_join(signed, ","), F.lit("]")))
+
+
 def resolve_variables(variables: DataFrame) -> DataFrame:
-    """Adds ``resolved``: nested and negated references followed, unknown ones become any.
+    """Adds ``resolved``: references followed wherever they stand, in lists too, signs kept; unknown ones become any.
 
-    Every round follows each reference to what its variable has become by then, so chains halve. Variables that lead
-    back to themselves are an error.
+    Values are lists of members. Every round puts the members that a referenced variable has by then in place of each
+    reference, so chains halve. Variables that lead back to themselves are an error. Values without references stay as
+    they are written; others come as a flat list.
     """
-    out = materialize(variables.select("name", "value", F.col("value").alias("resolved")))
-    open_refs = F.col("resolved").rlike(r"^!*\$")
+    out = materialize(variables.select("name", "value", list_members(F.col("value")).alias("members")))
+    open_refs = F.exists("members", lambda m: m["item"].startswith("$"))
     waiting = out.filter(open_refs).count()
     rounds = waiting.bit_length() + 1
     while waiting:
         if rounds == 0:
             names = [r["name"] for r in out.filter(open_refs).select("name").limit(20).collect()]
             raise ValueError(f"variables that refer to themselves: {', '.join(sorted(names))}")
-        table = out.select(F.col("name").alias("_ref"), F.col("resolved").alias("_next"))
-        ref = F.regexp_extract("resolved", r"^!*(\$.*)$", 1)
-        sign = F.regexp_extract("resolved", r"^(!*)\$", 1)
-        followed = F.when(F.col("_ref") == "", F.col("resolved")).otherwise(F.concat(sign, F.coalesce("_next", F.lit("any"))))
-        out = materialize(lookup_join(out.withColumn("_ref", ref), table, ["_ref"], "left").select("name", "value", followed.alias("resolved")))
+        table = out.select(F.col("name").alias("_ref"), F.col("members").alias("_theirs")).filter(F.col("_ref").startswith("$"))
+        listed = F.col("value").rlike(r"[\[,]").alias("_listed")
+        each = out.filter(open_refs).select("name", listed, F.posexplode("members").alias("_at", "_m"))
+        each = each.withColumn("_ref", F.when(F.col("_m.item").startswith("$"), F.col("_m.item")))
+        several = F.col("_listed") | (F.size("_theirs") != 1)
+
+        def turned(m: Column) -> Column:
+            both = m["signs"] + F.col("_m.signs")
+            return F.struct(F.when(several, both % 2).otherwise(both).alias("signs"), m["item"].alias("item"))
+
+        unknown = F.array(F.struct(F.col("_m.signs").alias("signs"), F.lit("any").alias("item")))
+        own = F.when(F.col("_ref").isNull(), F.array("_m")).otherwise(F.coalesce(F.transform("_theirs", turned), unknown)).cast(MEMBERS)
+        met = lookup_join(each, table, ["_ref"], "left").select("name", F.struct("_at", own.alias("members")).alias("_one"))
+        lists = met.groupBy("name").agg(F.flatten(F.transform(F.array_sort(F.collect_list("_one")), lambda o: o["members"])).alias("_new"))
+        out = materialize(out.join(lists, "name", "left").select("name", "value", F.coalesce("_new", "members").alias("members")))
         waiting, rounds = out.filter(open_refs).count(), rounds - 1
-    return out
+    text = F.when(F.col("value").contains("$"), _members_text(F.col("members"))).otherwise(F.col("value"))
+    return out.select("name", "value", text.alias("resolved"))
 
 
-def _substituted(rules: DataFrame, column: str, resolved: DataFrame) -> DataFrame:
-    names = resolved.select(F.col("name").alias("_name"), F.col("resolved").alias("_value"))
-    named = rules.withColumn("_name", F.regexp_extract(column, r"^!?(\$.*)$", 1))
-    joined = lookup_join(named, names, ["_name"], "left")
-    sign = F.when(F.col(column).startswith("!"), "!").otherwise("")
-    value = F.when(F.col("_name") == "", F.col(column)).otherwise(F.concat(sign, F.coalesce("_value", F.lit("any"))))
-    return joined.withColumn(column, F.regexp_replace(value, "^!!", "")).drop("_name", "_value")
+def _substituted(rules: DataFrame, columns: Sequence[str], variables: DataFrame) -> DataFrame:
+    """The rules with variables resolved in the columns: their distinct texts with a reference are resolved like variables."""
+    texts = rules.select(F.explode(F.array(*columns)).alias("value")).filter(F.col("value").contains("$")).distinct()
+    named = texts.select(F.concat(F.lit("="), "value").alias("name"), "value")
+    resolved = resolve_variables(variables.select("name", "value").unionByName(named)).filter(F.col("name").startswith("="))
+    resolved = materialize(resolved.select(F.col("value").alias("_text"), "resolved"))
+    for column in columns:
+        joined = lookup_join(rules.withColumn("_text", F.col(column)), resolved, ["_text"], "left")
+        rules = joined.withColumn(column, F.coalesce("resolved", column)).drop("_text", "resolved")
+    return rules
 
 
 def convert_rules(lines: DataFrame, variables: DataFrame, line: str = "line") -> DataFrame:
     """Rule rows of all readable rule lines (columns of the rules schema)."""
     parsed = split_header(lines, line).filter("parsed")
-    # needed four times below
-    resolved = resolve_variables(variables)
-    for column in ("src", "dst", "src_port", "dst_port"):
-        parsed = _substituted(parsed, column, resolved)
+    parsed = _substituted(parsed, ("src", "dst", "src_port", "dst_port"), variables)
     options = F.col("options")
     first = lambda name: F.get(option_values(options, name), F.lit(0))
     rows = parsed.withColumns(

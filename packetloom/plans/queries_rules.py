@@ -173,6 +173,21 @@ def _(spark, sf):
     return _converted(spark, sf).select("rule_id", "src")
 
 
+@query(
+    "r6_lists",
+    """SELECT 'snort_' || p_partkey AS rule_id,
+      CASE p_partkey % 3 WHEN 0 THEN '[192.168.0.0/16,10.0.0.0/8]' WHEN 1 THEN '[!192.168.0.0/16,10.0.0.' || p_size || ']' ELSE '[192.168.0.0/16,!172.16.0.0/12,any]' END AS src,
+      CASE p_partkey % 2 WHEN 0 THEN '8080,!80,!443' ELSE '!80,!443,' || p_size END AS dst_ports FROM part""",
+)
+def _(spark, sf):
+    lines = t.read(spark, sf, "part").selectExpr(
+        "concat('alert tcp ', array('[$HOME_NET,10.0.0.0/8]', concat('[!$HOME_NET,10.0.0.', p_size, ']'), '[![$EXTERNAL_NET,172.16.0.0/12],$NOPE]')[p_partkey % 3], ' any -> any ', "
+        "array('[8080,!$HTTP_PORTS]', concat('![$HTTP_PORTS,!', p_size, ']'))[p_partkey % 2], ' (msg:\"m\"; content:\"x\"; sid:', p_partkey, '; rev:1;)') as line"
+    )
+    rules = rule_text.convert_rules(lines, rule_text.default_variables(spark))
+    return rules.select("rule_id", "src", F.array_join("dst_ports", ",").alias("dst_ports"))
+
+
 @query(
     "r7_ports",
     """SELECT 'snort_' || p_partkey AS rule_id, coalesce(CASE p_partkey % 3 WHEN 1 THEN '!80' WHEN 2 THEN '1,2,3' END, '-') AS src_ports,

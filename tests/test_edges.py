@@ -9,7 +9,7 @@ from packetloom.functions.http import dechunk
 from packetloom.operators.behavior import brute_force
 from packetloom.operators.flows import connections, reassemble
 from packetloom.operators.joins import fits
-from packetloom.operators.rule_text import resolve_variables
+from packetloom.operators.rule_text import convert_rules, default_variables, resolve_variables
 from packetloom.operators.windows import silence
 from packetloom.sources.capture import parse_frames, read_captures
 
@@ -28,6 +28,27 @@ def test_variables_resolve_at_any_depth(spark):
     assert found["$N"] == "!10.0.0.0/8" and found["$M"] == "any"
 
 
+def test_variables_inside_lists(spark):
+    values = [
+        ("$HOME_NET", "192.168.0.0/16"), ("$HTTP_PORTS", "80,443"), ("$BOTH", "[$HOME_NET, 10.0.0.0/8]"), ("$NOT", "![$BOTH,!1.2.3.4]"),
+        ("$DEEP", "[$NOT,[!$NOT,[$GONE]]]"), ("$PORTS", "[8080,!$HTTP_PORTS]"), ("$PLAIN", "[ 1 , 2 ]"), ("$TWICE", "!!$HOME_NET"), ("$NONE", "[]"),
+    ]
+    found = resolved(spark, values)
+    both = "192.168.0.0/16,10.0.0.0/8"
+    assert found["$BOTH"] == f"[{both}]" and found["$PORTS"] == "[8080,!80,!443]"
+    assert found["$NOT"] == "[!192.168.0.0/16,!10.0.0.0/8,1.2.3.4]"
+    assert found["$DEEP"] == f"[!192.168.0.0/16,!10.0.0.0/8,1.2.3.4,{both},!1.2.3.4,any]"
+    assert (found["$PLAIN"], found["$TWICE"], found["$NONE"]) == ("[ 1 , 2 ]", "!!192.168.0.0/16", "[]")
+    with pytest.raises(ValueError, match=r"\$A, \$B"):
+        resolved(spark, [("$A", "[1.1.1.1,$B]"), ("$B", "![$A,2.2.2.2]")])
+
+
+def test_rules_with_variables_inside_lists(spark):
+    lines = [('alert tcp [$HOME_NET,10.0.0.0/8] any -> ![$HOME_NET] [8080,!$HTTP_PORTS] (msg:"m"; content:"x"; sid:7; rev:1;)',)]
+    rule = convert_rules(spark.createDataFrame(lines, "line string"), default_variables(spark)).first()
+    assert (rule["src"], rule["dst"], rule["dst_ports"]) == ("[192.168.0.0/16,10.0.0.0/8]", "!192.168.0.0/16", ["8080", "!80", "!443"])
+
+
 def test_variables_in_a_circle_are_named(spark):
     with pytest.raises(ValueError, match=r"\$A, \$B"):
         resolved(spark, [("$A", "$B"), ("$B", "$A"), ("$C", "any")])
