@@ -52,7 +52,7 @@ class WaveletMatrix:
             words = _packed(ones)
             planes.append(words)
             counts[k, 1:] = np.cumsum(np.bitwise_count(words).astype(np.int64).reshape(chunks, CHUNK // 64).sum(axis=1))
-            values = values.take(_split(ones))
+            values = np.concatenate([np.compress(~ones, values), np.compress(ones, values)])
         return cls(n, counts, lambda plane, chunk: planes[plane][chunk * (CHUNK // 64) : (chunk + 1) * (CHUNK // 64)])
 
     def _chunk(self, plane: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ class WaveletMatrix:
             ones = _unpacked(np.concatenate(words) if words else np.zeros(0, dtype="<u8"), self.n)
             values[self.zeros[k] :] |= one << values.dtype.type(self.width - 1 - k)
             joined = np.empty_like(values)
-            joined[_split(ones)] = values
+            joined[~ones], joined[ones] = values[: self.zeros[k]], values[self.zeros[k] :]
             values = joined
         return values
 
@@ -149,7 +149,7 @@ class WaveletMatrix:
         return int(self.places(value, nth, nth + 1)[0])
 
     def to_bytes(self) -> bytes:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=1)
         chunks = self.counts.shape[1] - 1
         bodies = [packer.compress(self.load(k, c).tobytes()) for k in range(self.width) for c in range(chunks)]
         offsets = np.cumsum([0, *map(len, bodies)]).astype("<u8")
@@ -183,11 +183,6 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.frombuffer(data + bytes(-len(data) % (CHUNK // 8)), dtype="<u8")
 
 
-def _split(ones: np.ndarray) -> np.ndarray:
-    """Places of the zeros, then of the ones."""
-    return np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)])
-
-
 def _unpacked(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), count=n, bitorder="little").view(bool)
 
