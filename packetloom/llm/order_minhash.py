@@ -238,20 +238,32 @@ def _verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) is linked with, over any number of links.
 
-    Every round takes the smallest label of the neighbours, then the label of that label; each round is written.
+    Every node follows its smallest neighbour, if that is smaller; the trees that this makes are flattened by jumping
+    from parent to grandparent and become one node each; edges inside a tree go. So the edges are read once a round, and
+    few are left after the first. Each step is written.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    links, labels = materialize(edges.select("a", "b").filter("a <> b").distinct()), None
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("_near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "_near").alias("_to"), "component")
-        jump = labels.select(F.col("node").alias("_to"), F.col("component").alias("_far"))
-        moved = materialize(step.join(jump, "_to", "left").select("node", F.coalesce("_far", "_to").alias("new"), "component"))
-        labels = moved.select("node", F.col("new").alias("component"))
-        if moved.filter("new <> component").isEmpty():
+        both = links.union(links.select("b", "a"))
+        roots = _flattened(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+        labels = roots if labels is None else materialize(labels.join(roots.toDF("component", "_root"), "component", "left").select("node", F.coalesce("_root", "component").alias("component")))
+        moved = links.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").filter("x <> y")
+        links = materialize(moved.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        if links.isEmpty():
             return labels
 
 
+def _flattened(parents: DataFrame) -> DataFrame:
+    """(node, component) with the root of each node in place of its parent."""
+    parents = materialize(parents)
+    while True:
+        above = parents.toDF("component", "_above")
+        moved = materialize(parents.join(above, "component").select("node", F.col("_above").alias("new"), "component"))
+        parents = moved.select("node", F.col("new").alias("component"))
+        if moved.filter("new <> component").isEmpty():
+            return parents
+
+
 def _pairs(candidates: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of candidates (x, y, nx, ny) whose lengths allow the similarity."""
     possible = F.least("nx", "ny") >= SIMILARITY * F.greatest("nx", "ny")

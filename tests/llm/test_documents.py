@@ -470,3 +470,18 @@ def test_pipeline_query(spark):
     for r in rows:
         sequences[r.sequence_id] += r.length
     assert rows and max(sequences.values()) <= 2048
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_are_those_of_a_walk(spark, seed):
+    rng = random.Random(seed)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)] + [(500, k) for k in range(501, 560)] + [(7, 7), (9, 8), (8, 9)]
+    rng.shuffle(edges)
+    smallest = {x: x for e in edges if e[0] != e[1] for x in e}
+    while any(smallest[a] != smallest[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    found = order_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == smallest and len(found) == len(smallest)
+    assert order_minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
