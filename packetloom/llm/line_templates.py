@@ -20,6 +20,7 @@ LEAST_TEXTS = 10  # distinct texts from which a token of a leaf is a constant an
 REPEATED = 40  # constant tokens that a line's texts must have in all: twenty in two texts, four in ten
 SHORT, SHORT_TEXTS = 2, 100  # lines of up to so many constant tokens, often headings, need so many texts
 FIELD = "<*>"
+WITH_DIGIT = rf"[^{SPACE}0-9]*[0-9][^{SPACE}]*"
 
 
 def enough(constants: Column) -> Column:
@@ -30,18 +31,16 @@ def enough(constants: Column) -> Column:
 def _lines(documents: DataFrame, carry_tokens: bool) -> DataFrame:
     """(doc_id, content, pos, leaf, line, constants) of every line with tokens; with ``tokens`` in place of the last, if carried."""
     content = F.xxhash64("text")
-    split = documents.select("doc_id", content.alias("content"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    tokens = F.transform(F.regexp_extract_all("line", F.lit(f"([^{SPACE}]+)"), F.lit(1)), _masked)
+    # fields are masked in the whole text, which keeps its line ends, before it is cut
+    masked = F.regexp_replace("text", WITH_DIGIT, FIELD)
+    split = documents.select("doc_id", content.alias("content"), F.posexplode(F.split(masked, "\n")).alias("pos", "line"))
+    tokens = F.regexp_extract_all("line", F.lit(f"([^{SPACE}]+)"), F.lit(1))
     masked = split.select("doc_id", "content", "pos", tokens.alias("tokens")).filter(F.size("tokens") > 0)
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf")
     constants = F.size(F.filter("tokens", lambda t: t != FIELD)).alias("constants")
     return masked.select("doc_id", "content", "pos", leaf, F.xxhash64("tokens").alias("line"), "tokens" if carry_tokens else constants)
 
 
-def _masked(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
-
-
 def _beyond_first(rows: DataFrame, names: list[str], enough_texts: Column) -> DataFrame:
     """(doc_id, content, pos) of the rows (with ``names`` and ``constants``) whose ``names`` stand in enough distinct texts, but the first."""
     first = F.min(F.struct("doc_id", "pos", "content")).alias("first")
