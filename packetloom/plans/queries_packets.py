@@ -233,6 +233,45 @@ def _(spark, sf):
 # --------------------------------------------------------------------------- HTTP
 
 
+def _buffers(spark, sf):
+    """Three pages sent one after the other on one connection, as one value."""
+    pages = t.http_pages(spark, sf)
+    sent = F.array_sort(F.collect_list(F.struct("page_id", F.hex("buf").alias("h"))))
+    joined = pages.groupBy(F.expr("page_id div 3").alias("conn")).agg(sent.alias("sent"))
+    return joined.select("conn", F.expr("unhex(array_join(transform(sent, p -> p.h), ''))").alias("buf"))
+
+
+@query(
+    "p14_http_requests",
+    f"""SELECT page_id // 3 AS conn, 'POST' AS method,
+      CASE WHEN regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1) END AS path,
+      {_HOST} AS host, md5(html) AS body, CAST(strlen(html) AS INT) AS size FROM pages""",
+)
+def _(spark, sf):
+    found = http.http_requests(F.col("buf"))
+    rows = _buffers(spark, sf).select("conn", F.explode(found["messages"]).alias("m"))
+    return rows.select(
+        "conn", "m.method", "m.path", F.col("m.headers")["host"].alias("host"), F.md5("m.body").alias("body"),
+        F.length("m.body").alias("size"),
+    )
+
+
+@query(
+    "p15_http_responses",
+    """SELECT doc_id, CAST(200 + n_chars % 300 AS INT) AS status_code, 'All is ' || lang AS status_text, source AS server, md5(text) AS body FROM documents""",
+)
+def _(spark, sf):
+    buf = F.expr(
+        "cast(concat('HTTP/1.1 ', cast(200 + n_chars % 300 as string), ' All is ', lang, '\\r\\n', 'SERVER:  ', source, ' \\r\\n', "
+        "'Content-Length: ', cast(octet_length(text) as string), '\\r\\n\\r\\n', text, 'HTTP/1.1 200 OK\\r\\nContent-Length: 5\\r\\n\\r\\nHel') as binary)"
+    )
+    found = http.http_responses(buf)
+    rows = t.read(spark, sf, "documents").select("doc_id", F.explode(found["messages"]).alias("m"))
+    return rows.select(
+        "doc_id", "m.status_code", "m.status_text", F.col("m.headers")["server"].alias("server"), F.md5("m.body").alias("body")
+    )
+
+
 def _pipelined(spark, sf):
     """Three pages sent one after the other on one connection, in packets of up to 1000 bytes: pieces of streams."""
     pages = t.http_pages(spark, sf).withColumn("flow", F.expr("page_id div 3"))
@@ -244,7 +283,7 @@ def _pipelined(spark, sf):
 
 
 @query(
-    "p14_http_requests",
+    "p14_stream_requests",
     f"""SELECT page_id // 3 AS conn, 'POST' AS method,
       CASE WHEN regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1) END AS path,
       {_HOST} AS host, md5(html) AS body, CAST(strlen(html) AS INT) AS size FROM pages""",
@@ -258,7 +297,7 @@ def _(spark, sf):
 
 
 @query(
-    "p15_http_responses",
+    "p15_stream_responses",
     """SELECT doc_id, CAST(200 + n_chars % 300 AS INT) AS status_code, 'All is ' || lang AS status_text, source AS server, md5(text) AS body FROM documents""",
 )
 def _(spark, sf):
