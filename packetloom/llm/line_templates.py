@@ -20,7 +20,7 @@ LEAST_TEXTS = 10  # distinct texts from which a token of a leaf is a constant an
 REPEATED = 40  # constant tokens that a line's texts must have in all: twenty in two texts, four in ten
 SHORT, SHORT_TEXTS = 2, 100  # lines of up to so many constant tokens, often headings, need so many texts
 FIELD = "<*>"
-WITH_DIGIT = rf"[^{SPACE}0-9]*[0-9][^{SPACE}]*"
+WITH_DIGIT = rf"(?<![^{SPACE}])[^{SPACE}0-9]*[0-9][^{SPACE}]*"
 
 
 def enough(constants: Column) -> Column:
