@@ -31,16 +31,20 @@ def lookup_join(
 
     The lookup side is broadcast only if it is counted to be small.  Otherwise
     it is repeated per salt and the large side spread over the salts, so that a
-    key holding much of the large side is shared by several tasks.
+    key holding much of the large side is shared by several tasks (``salts=1``
+    where no key does); both sides are then shuffled, whatever size Spark
+    estimates for a file.
     """
     on = list(on)
     if how not in ("inner", "left", "left_anti", "left_semi"):
         raise ValueError(f"lookup_join does not support {how}")
     if fits(small, rows):
         return big.join(F.broadcast(small), on, how)
+    if salts == 1:
+        return big.join(small.hint("merge"), on, how)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if _hashable(big, c)]), F.lit(salts))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return big.withColumn("_salt", spread).join(copies, [*on, "_salt"], how).drop("_salt")
+    return big.withColumn("_salt", spread).join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def _hashable(df: DataFrame, column: str) -> bool:

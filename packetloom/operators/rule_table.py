@@ -32,12 +32,12 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, order: Sequence[str] =
 
 def overlay(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Base rows with the changed ids replaced."""
-    kept = lookup_join(base, changes.select("rule_id").distinct(), ["rule_id"], "left_anti")
+    kept = lookup_join(base, changes.select("rule_id").distinct(), ["rule_id"], "left_anti", salts=1)
     return kept.unionByName(changes)
 
 
 def delete_rules(base: DataFrame, ids: DataFrame) -> DataFrame:
-    return lookup_join(base, ids.select("rule_id").distinct(), ["rule_id"], "left_anti")
+    return lookup_join(base, ids.select("rule_id").distinct(), ["rule_id"], "left_anti", salts=1)
 
 
 def _like(column: str, text: str) -> Column:
