@@ -13,6 +13,8 @@ Times are BIGINT microseconds inside these functions.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -76,85 +78,58 @@ def trailing(
         *[(F.lit(v) if isinstance(v, int) else v).cast("bigint").alias(f"v_{n}") for n, v in sums.items()],
         *[(F.col(c) if isinstance(c, str) else c).alias(f"i_{n}") for n, c in distinct.items()],
         *([F.col(order).alias("o_first")] if order else []),
-    ).withColumn("cell", cell_of(F.col("us"), width))
-
-    zero = F.lit(0).cast("bigint")
-    no_order = F.lit(None).cast(dict(base.dtypes).get("o_first", "bigint"))
+    )
+    # a row goes to its own cell and, if it counts for anything, to the next; all that follows stays in that cell's task
+    us, cell, zero = F.col("us"), F.col("cell"), F.lit(0).cast("bigint")
+    counts = us.isNotNull() & reduce(
+        or_, [F.col(f"v_{n}") != 0 for n in sums] + [F.col(f"i_{n}").isNotNull() for n in distinct], F.lit(False)
+    )
+    home = cell_of(us, width)
+    rows = base.withColumn("cell", F.explode(F.when(counts, F.array(home, home + width)).otherwise(F.array(home))))
+    here = F.coalesce(us >= cell, F.lit(True))
+    if order:
+        rows = rows.withColumn("o_first", F.when(here, F.col("o_first")))
+    rows = rows.repartition(*keys, "cell")
+    for name in distinct:
+        rows = _presence(rows, keys, name, width, here)
 
-    def entry(cell, at, sign, tick):
-        fields = [cell.alias("cell"), at.alias("at"), F.lit(tick).alias("tick")]
-        fields += [(F.col(f"v_{n}") * sign).alias(f"d_{n}") for n in sums]
-        fields += [zero.alias(f"d_{n}") for n in distinct]
-        fields.append((F.col("o_first") if tick and order else no_order).alias("o_first"))
+    def step(at, tick, sign):
+        fields = [at.alias("at"), F.lit(tick).alias("tick")]
+        fields += [F.coalesce(F.col(f"v_{n}") * sign, zero).alias(f"d_{n}") for n in sums]
+        fields += [(F.col(f"c_{n}") if sign > 0 else -F.col(f"g_{n}")).alias(f"d_{n}") for n in distinct]
         return F.struct(*fields)
 
-    after = F.col("cell") + width
-    entries = [entry(F.col("cell"), F.col("us"), 1, 1)]
-    if sums:
-        entries += [entry(after, after, 1, 0), entry(after, F.col("us") + width + 1, -1, 0)]
-    deltas = base.select(*keys, F.inline(F.array(*entries)))
-
-    for name in distinct:
-        deltas = deltas.unionByName(_presence(base, keys, name, width, sums, distinct, no_order, zero))
-
+    steps = F.when(here, F.array(step(us, 1, 1))).otherwise(F.array(step(cell, 0, 1), step(us + width + 1, 0, -1)))
+    first = ["o_first"] if order else []
     names = [*sums, *distinct]
-    steps = deltas.groupBy(*keys, "cell", "at").agg(
+    deltas = rows.select(*keys, "cell", *first, F.inline(steps))
+    deltas = deltas.filter(reduce(or_, [F.col(f"d_{n}") != 0 for n in names], F.col("tick") == 1))
+    ticks = deltas.groupBy(*keys, "cell", "at").agg(
         F.max("tick").alias("tick"),
-        F.min("o_first").alias("o_first"),
+        *[F.min(c).alias(c) for c in first],
         *[F.sum(f"d_{n}").alias(f"d_{n}") for n in names],
     )
     running = Window.partitionBy(*keys, "cell").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    out = steps.select(
-        *keys, "at", "tick", "o_first", *[F.sum(f"d_{n}").over(running).alias(n) for n in names]
-    ).filter("tick = 1")
+    out = ticks.select(*keys, "at", "tick", *first, *[F.sum(f"d_{n}").over(running).alias(n) for n in names]).filter("tick = 1")
     kept = [F.col("o_first").alias(order)] if order else []
     return out.select(*keys, F.col("at").alias("us"), *kept, *names)
 
 
-def _presence(base, keys, name, width, sums, distinct, no_order, zero):
-    """+1/-1 steps for the number of items present in the window, per cell.
+def _presence(rows: DataFrame, keys: Sequence[str], name: str, width: int, here: Column) -> DataFrame:
+    """Adds ``c_<name>`` and ``g_<name>``: whether a row brings its item into the window, and whether it is gone after it.
 
-    A cell is as long as the window, so inside a cell an item stays present from
-    its first occurrence on; only the last occurrence in the cell before matters.
+    A cell is as long as the window, so what is seen in it stays to its end; an
+    item of the cell before goes with its last row there, unless it comes again first.
     """
-    item = f"i_{name}"
-    cell, own, prev = F.col("cell"), F.col("own"), F.col("prev")
-    none = F.lit(None).cast("bigint")
-    spans = (
-        base.filter(F.col(item).isNotNull())
-        .select(
-            *keys,
-            item,
-            F.inline(
-                F.array(
-                    F.struct(cell.alias("cell"), F.col("us").alias("own"), none.alias("prev")),
-                    F.struct((cell + width).alias("cell"), none.alias("own"), F.col("us").alias("prev")),
-                )
-            ),
-        )
-        .groupBy(*keys, item, "cell")
-        .agg(F.min("own").alias("own"), F.max("prev").alias("prev"))
-    )
+    item, us = F.col(f"i_{name}"), F.col("us")
+    seen = Window.partitionBy(*keys, "cell", item).orderBy("us")
+    comes = F.lag(F.lit(1)).over(seen).isNull() | (us - F.lag(us).over(seen) > width)
+    goes = ~here & (F.lead(F.lit(1)).over(seen).isNull() | (F.lead(us).over(seen) - us > width))
 
-    def step(at, sign):
-        return F.struct(at.alias("at"), F.lit(sign).cast("bigint").alias("sign"))
+    def flag(condition):
+        return F.when(item.isNotNull() & F.coalesce(condition, F.lit(False)), 1).otherwise(0).cast("bigint")
 
-    gone = prev + width + 1
-    steps = (
-        F.when(prev.isNull(), F.array(step(own, 1)))
-        .when(own.isNull(), F.array(step(cell, 1), step(gone, -1)))
-        .when(own < gone, F.array(step(cell, 1)))
-        .otherwise(F.array(step(cell, 1), step(gone, -1), step(own, 1)))
-    )
-    return spans.select(*keys, "cell", F.inline(steps)).select(
-        *keys,
-        "cell",
-        "at",
-        F.lit(0).alias("tick"),
-        *[zero.alias(f"d_{n}") for n in sums],
-        *[(F.col("sign") if n == name else zero).alias(f"d_{n}") for n in distinct],
-        no_order.alias("o_first"),
-    )
+    return rows.withColumns({f"c_{name}": flag(comes), f"g_{name}": flag(goes)})
 
 
 # --------------------------------------------------------------------------- running values
@@ -239,6 +214,10 @@ def silence(
     the upper blocks are walked per key.  The entries found on the way down
     then start every block on its own, so a hot key is shared by many tasks.
 
+    Only blocks that the chain can reach from the one before, or can leave for
+    the next, take part: a block whose first row comes later than anything
+    before it could silence starts by itself.
+
     The input is read twice, times only and whole rows; ``derived`` writes an
     input that is itself expensive to a table first.  Rows without a time are
     left out.  Of rows at one time the first by ``order`` counts; of those equal
@@ -250,25 +229,18 @@ def silence(
     reach = width + 1 if inclusive else width
     block, upper = width * _BLOCK, width * _BLOCK * _BLOCK
     columns = df.columns
-    key = F.to_json(F.struct(*[(F.col(k) if isinstance(k, str) else k).alias(f"k{i}") for i, k in enumerate(keys)]))
-    ranked = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], _all_of(df).alias("all"))
-    at = df.select(*columns, key.alias("_k"), micros(ts).alias("_t")).filter("_t is not null")
-    # equal times: only the first row of a tick can ever be emitted
-    ticks = (
-        at.withColumn("_b", cell_of(F.col("_t"), block))
-        .groupBy("_k", "_b", "_t")
-        .agg(F.min_by(F.struct(*columns), ranked).alias("_row"))
-    )
-
-    level1 = (
-        at.select("_k", cell_of(F.col("_t"), block).alias("_b"), F.col("_t").alias("_c"))
-        .distinct()
-        .withColumn("_o", F.col("_c"))
+    key = F.to_json(F.struct(*[(F.col(k) if isinstance(k, str) else k).alias(str(i)) for i, k in enumerate(keys)]))
+    home = cell_of(F.col("_c"), block)
+    # the times that can silence the start of the next block are seen there too, before its own
+    seen_in = F.explode(F.when(F.col("_c") + reach > home + block, F.array(home, home + block)).otherwise(F.array(home)))
+
+    times = df.select(key.alias("_k"), micros(ts).alias("_c")).filter("_c is not null")
+    level1 = materialize(
+        times.select("_k", seen_in.alias("_b"), "_c", F.col("_c").alias("_o"))
         .repartition("_k", "_b")
         .sortWithinPartitions("_k", "_b", "_c")
-        .mapInArrow(_lift(width, reach), "_k string, _b bigint, _c bigint, _o bigint")
-        .withColumn("_u", cell_of(F.col("_b"), upper))
-    )
+        .mapInArrow(_lift(width, reach, block), "_k string, _b bigint, _c bigint, _o bigint")
+    ).withColumn("_u", cell_of(F.col("_b"), upper))
     level2 = (
         level1.select("_k", F.col("_u").alias("_b"), "_c", "_o")
         .repartition("_k", "_b")
@@ -289,20 +261,28 @@ def silence(
         .sortWithinPartitions("_k", "_g", F.col("_e").asc_nulls_last(), "_c")
         .mapInArrow(_walk(reach, marked=True), "_k string, _g bigint, _e bigint, _b bigint, _c bigint, _o bigint")
     )
-    rows = ticks.select("_k", F.col("_b").alias("_g"), nobody.alias("_e"), F.col("_t").alias("_c"), F.col("_t").alias("_o"), "_row")
+    own = F.when(F.col("_c") >= F.col("_g"), F.struct(*columns))
+    rows = (
+        df.select(*columns, key.alias("_k"), micros(ts).alias("_c"))
+        .filter("_c is not null")
+        .select("*", seen_in.alias("_g"))
+        .select("_k", "_g", nobody.alias("_e"), "_c", own.alias("_row"))
+    )
     marks = middle.select("_k", F.col("_b").alias("_g"), F.col("_c").alias("_e"))
     merged = rows.unionByName(marks, allowMissingColumns=True)
+    ranked = [F.col("_row")[c] for c in order]
     emitted = (
         merged.repartition("_k", "_g")
-        .sortWithinPartitions("_k", "_g", F.col("_e").asc_nulls_last(), "_c")
-        .mapInArrow(_walk(reach, marked=True), merged.schema)
+        .sortWithinPartitions("_k", "_g", F.col("_e").asc_nulls_last(), "_c", *ranked, _all_of(df, "_row"))
+        .mapInArrow(_walk(reach, marked=True, fresh=True), merged.schema)
     )
     return emitted.select("_row.*").select(*columns)
 
 
-def _all_of(df: DataFrame) -> Column:
-    """A number from all columns, to put rows in order that are equal in what is ordered by."""
-    return F.xxhash64(*[F.to_json(F.col(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields])
+def _all_of(df: DataFrame, row: str) -> Column:
+    """A number from all columns, held in ``row``, to put rows in order that are equal in what is ordered by."""
+    held = F.col(row)
+    return F.xxhash64(*[F.to_json(held[f.name]) if "map<" in f.dataType.simpleString() else held[f.name] for f in df.schema.fields])
 
 
 def _starts(batch_cols: Sequence[pa.Array]) -> np.ndarray:
@@ -333,8 +313,13 @@ def _search(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarr
         hi = np.where(open_ & ~less, mid, hi)
 
 
-def _lift(width: int, reach: int):
-    """Per (key, block): entry candidates and the last emission each leads to."""
+def _lift(width: int, reach: int, block: int | None = None):
+    """Per (key, block): entry candidates and the last emission each leads to.
+
+    With ``block``, its length, a block also shows times of the block before that
+    can silence its start (smaller than ``_b``); blocks that neither depend on
+    these nor can silence the next block's start give nothing.
+    """
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -350,6 +335,14 @@ def _lift(width: int, reach: int):
         in_zone = c - base[group] <= width
         beyond = _search(c, start, end, base + width + 1)
         in_zone[beyond[beyond < end]] = True
+        if block:
+            first = _search(c, start, end, base)
+            some = first < end
+            head = c[np.minimum(first, len(c) - 1)]
+            alone = (first == start) | (head >= c[np.maximum(first - 1, 0)] + reach)
+            leads = c[end - 1] + reach > base + block
+            in_zone &= (c >= base[group]) & (some & ~alone)[group]
+            in_zone[first[some & alone & leads]] = True
         entry = np.flatnonzero(in_zone)
         at, last = entry.copy(), end[group[entry]]
         live = np.arange(len(entry))
@@ -368,6 +361,7 @@ def _lift(width: int, reach: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = batch.take(pa.array(_starts([batch.column("_k"), batch.column("_b"), batch.column("_c")])))
             cut = int(_starts([batch.column("_k"), batch.column("_b")])[-1])
             if held and (
                 held[-1].column("_k")[-1] != batch.column("_k")[0] or held[-1].column("_b")[-1] != batch.column("_b")[0]
@@ -385,16 +379,19 @@ def _lift(width: int, reach: int):
     return run
 
 
-def _walk(reach: int, marked: bool):
+def _walk(reach: int, marked: bool, fresh: bool = False):
     """Follow the chain inside each group and keep the rows it visits.
 
     A group starts at its marker row (``_e`` not null); without markers it starts
-    at its first row.  Only the state of the open group is kept between batches.
+    at its first row.  With ``fresh``, a group without marker starts at its first
+    row of ``_g`` or later if none of its earlier rows silences that.  Only the
+    state of the open group is kept between batches.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, open_allow = None, None
-        never = np.iinfo(np.int64).max
+        never, none = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+        # waits: the open group has shown only rows before ``_g`` so far, the last of them at open_before
+        open_key, open_allow, open_before, waits = None, None, none, False
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -405,15 +402,29 @@ def _walk(reach: int, marked: bool):
             marker = e.is_valid().to_numpy(zero_copy_only=False)
             entry = e.fill_null(0).to_numpy(zero_copy_only=False)
             c = batch.column("_c").fill_null(0).to_numpy(zero_copy_only=False)
-            o = batch.column("_o").fill_null(0).to_numpy(zero_copy_only=False)
+            o = c if fresh else batch.column("_o").fill_null(0).to_numpy(zero_copy_only=False)
+            lo = start + marker[start].astype(np.int64)
+            first = (k[0].as_py(), g[0].as_py())
+            goes_on = first == open_key and not (marked and marker[0])
             if marked:
                 allow = np.where(marker[start], entry[start], never)
             else:
-                allow = np.full(len(start), np.iinfo(np.int64).min)
-            first = (k[0].as_py(), g[0].as_py())
-            if first == open_key and not (marked and marker[0]):
+                allow = np.full(len(start), none)
+            if fresh:
+                base = g.to_numpy(zero_copy_only=False)[start]
+                own = _search(c, lo, end, base)
+                before = np.where(own > lo, c[np.maximum(own - 1, 0)], none)
+                if goes_on and waits:
+                    before[0] = max(before[0], open_before)
+                alone = (own < end) & (c[np.minimum(own, n - 1)] >= before + reach)
+                allow = np.where(~marker[start] & alone, base, allow)
+                settled = goes_on and not waits
+                waits = bool(not marker[start[-1]] and own[-1] == end[-1] and not (settled and len(start) == 1))
+                open_before = before[-1]
+            else:
+                settled = goes_on
+            if settled:
                 allow[0] = open_allow
-            lo = start + marker[start].astype(np.int64)
             keep = np.zeros(n, dtype=bool)
             live = np.flatnonzero((allow != never) & (lo < end))
             while len(live):
