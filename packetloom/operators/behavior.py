@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 from packetloom.functions.alerts import behavior_topic, rule_topic
 from packetloom.functions.http import LOGIN_PORTS, LOGIN_WORDS
 from packetloom.operators import byte_stream
-from packetloom.operators.joins import lookup_join
 from packetloom.operators.materialize import materialize
 from packetloom.operators.windows import (
     MICROS,
@@ -38,36 +37,41 @@ def high_connection_rate(
     cooldown: float | None = 120,
 ) -> DataFrame:
     """Many connections between two hosts, with several targets or ports touched."""
-    conns = packets.select("ts", "src_ip", "dst_ip", "dst_port", F.lower("proto").alias("proto"), "packet_no")
+    # read for the pairs and for the sources
+    conns = materialize(packets.select("ts", "src_ip", "dst_ip", "dst_port", F.lower("proto").alias("proto"), "packet_no"))
+    # the alert's port is that of its packet, and the smallest one if the packet comes more than once
+    first = F.struct("packet_no", F.col("dst_port").isNull().alias("_none"), "dst_port").alias("first")
     pair = trailing(
-        conns, ["src_ip", "dst_ip", "proto"], "ts", window, {"connections": 1}, {"unique_ports": "dst_port"}, "packet_no"
+        conns.select("*", first), ["src_ip", "dst_ip", "proto"], "ts", window, {"connections": 1}, {"unique_ports": "dst_port"}, "first"
     )
-    busy = pair.filter(
-        (F.col("connections") > max_connections) & (F.col("connections") >= int(max_connections * burst))
+    busy = materialize(
+        pair.filter((F.col("connections") > max_connections) & (F.col("connections") >= int(max_connections * burst)))
     )
-    spread = trailing(conns, ["src_ip", "proto"], "ts", window, distinct={"unique_targets": "dst_ip"})
+    # targets are wanted at the times of busy pairs only: these are marked among the rows
+    marked = F.lit(1).alias("_asked")
+    asked = busy.select("src_ip", "proto", from_micros("us").alias("ts"), marked).distinct()
+    sources = conns.select("src_ip", "proto", "ts", "dst_ip").unionByName(asked, allowMissingColumns=True)
+    spread = trailing(sources, ["src_ip", "proto"], "ts", window, distinct={"unique_targets": "dst_ip"}, order="_asked")
+    known = F.col("first.packet_no").isNotNull() & F.col("dst_ip").isNotNull()
     fired = (
-        busy.join(spread, ["src_ip", "proto", "us"])
+        busy.join(spread.filter("_asked is not null"), ["src_ip", "proto", "us"])
         .filter((F.col("unique_targets") >= min_targets) | (F.col("unique_ports") >= min_ports))
         .select(
             from_micros("us").alias("ts"),
-            "packet_no",
+            F.col("first.packet_no").alias("packet_no"),
             "src_ip",
             "dst_ip",
             "proto",
             "connections",
             "unique_targets",
             "unique_ports",
+            F.when(known, F.col("first.dst_port")).alias("target_port"),
         )
     )
     if cooldown:
         fired = silence(fired, ["src_ip"], "ts", cooldown, False, ["packet_no", "dst_ip"], derived=True)
-    # the port is looked up for the few alerts instead of being carried through the windows
-    fired = materialize(fired)
-    keys = ["packet_no", "ts", "src_ip", "dst_ip"]
-    ports = lookup_join(packets.select(*keys, "dst_port"), fired.select(*keys), keys, "left_semi")
-    ports = ports.groupBy(*keys).agg(F.min("dst_port").alias("target_port"))
-    return fired.join(ports, keys, "left")
+    columns = ["packet_no", "ts", "src_ip", "dst_ip", "proto", "connections", "unique_targets", "unique_ports", "target_port"]
+    return fired.select(*columns)
 
 
 def accepted_probes(packets: DataFrame, seconds: float = 1) -> DataFrame:
@@ -86,15 +90,18 @@ def port_scan(
     min_targets: int = 5,
     dedupe: float | None = 1,
     cooldown: float | None = 180,
+    probes: DataFrame | None = None,
 ) -> DataFrame:
-    """Many ports or targets probed by one source; checked at every TCP packet."""
+    """Many ports or targets probed by one source; checked at every TCP packet.
+
+    ``probes`` are the packets' ``accepted_probes`` with ``dedupe``, where they are at hand already.
+    """
     tcp = packets.filter((F.lower("proto") == "tcp") & F.col("dst_port").isNotNull()).select(
         "packet_no", "ts", "src_ip", "dst_ip", "dst_port"
     )
     one = F.lit(1).cast("bigint")
     if dedupe:
-        # read by every branch of the trailing window
-        probes = materialize(accepted_probes(packets, dedupe).select(*tcp.columns, one.alias("n")))
+        probes = (accepted_probes(packets, dedupe) if probes is None else probes).select(*tcp.columns, one.alias("n"))
         nothing = {"dst_ip": F.lit(None).cast("string"), "dst_port": F.lit(None).cast("int")}
         rows = probes.unionByName(tcp.withColumns(nothing).withColumn("n", F.lit(0).cast("bigint")))
     else:
