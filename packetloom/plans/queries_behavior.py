@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import behavior, correlate, stats
 from packetloom.operators.alert_stream import dedupe_alerts, dedupe_modes
+from packetloom.operators.materialize import materialize
 from packetloom.operators.windows import running, silence
 from packetloom.plans.registry import query
 from packetloom.plans.sql_tables import ALERTS, AUTH, CONNECTIONS, IP, PACKETS, K, silenced
@@ -368,8 +369,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     conns = t.connections(spark, sf)
-    found = behavior.port_scan(conns, 30 * DAY, 9, 11, 10, cooldown=90 * DAY)
-    probes = behavior.accepted_probes(conns)
+    probes = materialize(behavior.accepted_probes(conns))
+    found = behavior.port_scan(conns, 30 * DAY, 9, 11, 10, cooldown=90 * DAY, probes=probes)
     return behavior.scan_top(found, probes, "dst_port", 30 * DAY, 5)
 
 
