@@ -30,6 +30,7 @@ from packetloom.operators.joins import lookup_join
 from packetloom.operators.materialize import materialize
 
 GRAM = 4
+FEW_GRAMS = 128  # so many pieces are searched for one by one; more are met by cutting payloads into pieces
 KEYED_PORTS = 64  # rules naming at most this many ports are joined on the port
 
 PACKET_DEFAULTS = {
@@ -417,8 +418,9 @@ def match_packets(
     long_enough = (r["buffer"] == "raw") & (F.length(r["anchor"]) >= GRAM)
     by_gram = materialize(compiled.filter(F.coalesce(long_enough, F.lit(False))).withColumn("_gram", gram))
     others = _keyed(compiled.filter(~F.coalesce(long_enough, F.lit(False))))
-    low = F.encode("_low", "ISO-8859-1")
-    pieces = ready.withColumn("_gram", F.explode(_grams(low, GRAM)))
+    some = _few_grams(by_gram)
+    grams = _grams(F.encode("_low", "ISO-8859-1"), GRAM) if some is None else _held(F.col("_low"), some)
+    pieces = ready.withColumn("_gram", F.explode(grams))
     proto = F.coalesce(F.upper("proto"), F.lit("IP"))
     found = (
         lookup_join(pieces, by_gram, ["_gram"])
@@ -443,6 +445,19 @@ def _grams(data: Column, size: int) -> Column:
     return let(data, cut)
 
 
+def _few_grams(named: DataFrame) -> list[str] | None:
+    """The distinct pieces (``_gram``) if they are at most ``FEW_GRAMS``."""
+    found = [row[0] for row in named.select("_gram").distinct().limit(FEW_GRAMS + 1).collect()]
+    return found if len(found) <= FEW_GRAMS else None
+
+
+def _held(text: Column, grams: list[str]) -> Column:
+    """Those of a few pieces that a text holds."""
+    if not grams:
+        return F.array().cast("array<string>")
+    return let(text, lambda t: F.filter(F.array(*[F.lit(g) for g in sorted(grams)]), lambda g: F.contains(t, g)))
+
+
 def literal_matches(payloads: DataFrame, literals: DataFrame, key: str = "packet_no") -> DataFrame:
     """One row per occurrence: ``key, rule_id, match_text, pos_start, pos_end`` (inclusive).
 
@@ -454,11 +469,16 @@ def literal_matches(payloads: DataFrame, literals: DataFrame, key: str = "packet
     prepared = prepared.withColumn("_needle", F.encode("_l", "ISO-8859-1"))
     own = F.when(F.length("_needle") >= GRAM, _grams(F.col("_needle"), GRAM)).otherwise(F.array("_l"))
     named = materialize(prepared.select("rule_id", "_l", "_needle", F.explode(own).alias("_gram")))
-    # at most GRAM different piece lengths
-    lengths = sorted(row[0] for row in named.select(F.length("_gram")).distinct().collect())
-    grams = F.concat(*[F.coalesce(_grams(F.col("payload"), n), F.array().cast("array<string>")) for n in lengths])
-    pieces = payloads.select(key, F.explode(grams).alias("_gram"))
-    hits = materialize(lookup_join(pieces, materialize(named.select("_gram").distinct()), ["_gram"]).select(key, "_gram"))
+    some = _few_grams(named)
+    if some is not None:
+        hits = payloads.select(key, F.explode(_held(latin1(F.col("payload")), some)).alias("_gram"))
+    else:
+        # at most GRAM different piece lengths
+        lengths = sorted(row[0] for row in named.select(F.length("_gram")).distinct().collect())
+        grams = F.concat(*[F.coalesce(_grams(F.col("payload"), n), F.array().cast("array<string>")) for n in lengths])
+        pieces = payloads.select(key, F.explode(grams).alias("_gram"))
+        hits = lookup_join(pieces, materialize(named.select("_gram").distinct()), ["_gram"]).select(key, "_gram")
+    hits = materialize(hits)
     often = hits.groupBy("_gram").agg(F.count(F.lit(1)).alias("_often"))
     rarest = named.join(often, "_gram").groupBy("rule_id", "_l", "_needle").agg(F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"), F.count(F.lit(1)).alias("_met"))
     # a literal with a piece that no payload holds is nowhere

@@ -108,3 +108,31 @@ def test_later_fragments_have_no_ports(spark):
     assert found[1]["proto"] == "IP" and found[1]["src_port"] is None and found[1]["tcp_flags"] is None
     assert bytes(found[1]["payload"]).startswith(b"GARBAGE")
     assert found[2]["proto"] == "TCP"
+
+
+def test_a_large_lookup_table_is_never_broadcast(spark):
+    # Spark's estimate is that of the small file; repeated over salts it does not fit the driver
+    from packetloom.operators.joins import lookup_join
+    from packetloom.operators.rule_table import overlay
+
+    base = spark.range(30).selectExpr("id as rule_id", "'a' as name")
+    small = spark.range(10).selectExpr("id as rule_id")
+    for joined in (lookup_join(base, small, ["rule_id"], "left_anti", rows=5), lookup_join(base, small, ["rule_id"], "left_anti", rows=5, salts=1)):
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["rule_id"] for r in joined.collect()) == list(range(10, 30))
+    changed = overlay(base, spark.range(3).selectExpr("id as rule_id", "'b' as name"))
+    assert sorted(r["name"] for r in changed.collect()) == ["a"] * 27 + ["b"] * 3
+
+
+def test_few_pieces_are_searched_not_cut(spark, monkeypatch):
+    from packetloom.operators import matching
+
+    packets = spark.createDataFrame([(1, bytearray(b"abcabcd")), (2, bytearray(b"zz")), (3, None)], "packet_no long, payload binary")
+    literals = spark.createDataFrame([("x", "abc"), ("y", "bcabc"), ("z", "z"), ("none", "qrst")], "rule_id string, literal string")
+    found = lambda: sorted((r["packet_no"], r["rule_id"], r["pos_start"], r["pos_end"]) for r in matching.literal_matches(packets, literals).collect())
+    want = [(1, "x", 0, 2), (1, "x", 3, 5), (1, "y", 1, 5), (2, "z", 0, 0), (2, "z", 1, 1)]
+    monkeypatch.setattr(matching, "FEW_GRAMS", 1)
+    assert found() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(matching, "_grams", lambda data, size, cut=matching._grams: cut(data, size) if "payload" not in str(data) else 1 / 0)
+    assert found() == want

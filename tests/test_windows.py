@@ -117,3 +117,28 @@ def test_ewma_equals_fold(spark):
             prior, avg = avg, x if avg is None else 0.2 * x + 0.8 * avg
             assert got[(k, s)][1] == pytest.approx(avg, rel=1e-12)
             assert got[(k, s)][0] == (None if prior is None else pytest.approx(prior, rel=1e-12))
+
+
+def _exchanges(df, kind="Exchange hashpartitioning"):
+    return df._jdf.queryExecution().sparkPlan().toString().count(kind), df._jdf.queryExecution().executedPlan().toString().count(kind)
+
+
+def test_trailing_shuffles_rows_once(spark):
+    # sums and two distinct counts; before, each count grouped the rows anew and the steps were shuffled twice
+    rows = spark.range(40).selectExpr("id % 3 as k", "timestamp_seconds(id) as ts", "id % 5 as a", "id % 7 as b", "id")
+    out = w.trailing(rows, ["k"], "ts", 10, {"n": 1}, {"as": "a", "bs": "b"}, order="id")
+    assert _exchanges(out)[1] == 1
+    assert all(r["n"] <= 4 and r["as"] <= r["n"] and r["bs"] <= r["n"] for r in out.collect())
+
+
+def test_only_linked_blocks_are_lifted():
+    # blocks of 160 (width and reach 10): one by itself, one that can silence the next, one that depends on it
+    import pyarrow as pa
+
+    rows = [(0, 5), (160, 315), (320, 315), (320, 322), (320, 330), (480, 600)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["a"] * len(rows)), pa.array([b for b, _ in rows]), pa.array([c for _, c in rows]), pa.array([c for _, c in rows])],
+        names=["_k", "_b", "_c", "_o"],
+    )
+    got = [tuple(r.values()) for out in w._lift(10, 10, 160)([batch]) for r in out.to_pylist()]
+    assert got == [("a", 160, 315, 315), ("a", 320, 322, 322), ("a", 320, 330, 330)]
