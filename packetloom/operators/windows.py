@@ -4,8 +4,7 @@ Spark's RANGE frames recompute a sliding aggregate for every row, keep the whole
 frame in memory and put one key into one task.  The functions here work on time
 *cells* instead: a row's cell is its time rounded down to a multiple of the
 window width, so everything a row can see lies in its own cell or in the one
-before.  Work is keyed by (key, cell), a hot key is spread over its cells, and
-what crosses a cell border is pre-aggregated before it is shuffled.
+before.  Work is keyed by (key, cell), and a hot key is spread over its cells.
 
 Times are BIGINT microseconds inside these functions.
 """
