@@ -27,15 +27,25 @@ def enough(constants: Column) -> Column:
     return F.when(constants > SHORT, F.greatest(F.lit(2), F.ceil(F.lit(REPEATED) / constants))).when(constants > 0, SHORT_TEXTS)
 
 
-def _lines(documents: DataFrame, carry_tokens: bool) -> DataFrame:
-    """(doc_id, content, pos, leaf, line, constants) of every line with tokens; with ``tokens`` in place of the last, if carried."""
-    content = F.xxhash64("text")
-    split = documents.select("doc_id", content.alias("content"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    tokens = F.transform(F.regexp_extract_all("line", F.lit(f"([^{SPACE}]+)"), F.lit(1)), _masked)
-    masked = split.select("doc_id", "content", "pos", tokens.alias("tokens")).filter(F.size("tokens") > 0)
+def _tokens(line: Column) -> Column:
+    """A line's tokens, those with digits masked: tokens are looked at one by one only in lines that have a digit.
+
+    White space becomes blanks first where there is other than blanks, so that cutting at one character is enough.
+    """
+    spaced = F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, "\t\n\x0b\x0c\r", "     ")).otherwise(line)
+    tokens = F.array_remove(F.split(spaced, " "), "")
+    return F.when(line.rlike("[0-9]"), F.transform(tokens, _masked)).otherwise(tokens)
+
+
+def _lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, content, pos, leaf, line, constants, shown) of every line with tokens; ``shown``: the line as it is."""
+    # hashed and cut before the rows are multiplied, not once for every line
+    cut = documents.select("doc_id", F.xxhash64("text").alias("content"), F.split("text", "\n").alias("lines"))
+    split = cut.select("doc_id", "content", F.posexplode("lines").alias("pos", "shown")).filter(F.col("shown").rlike(f"[^{SPACE}]"))
+    masked = split.select("doc_id", "content", "pos", "shown", _tokens(F.col("shown")).alias("tokens"))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf")
-    constants = F.size(F.filter("tokens", lambda t: t != FIELD)).alias("constants")
-    return masked.select("doc_id", "content", "pos", leaf, F.xxhash64("tokens").alias("line"), "tokens" if carry_tokens else constants)
+    constants = F.size(F.array_remove("tokens", FIELD)).alias("constants")
+    return masked.select("doc_id", "content", "pos", leaf, F.xxhash64("tokens").alias("line"), constants, "shown")
 
 
 def _masked(token: Column) -> Column:
@@ -57,16 +67,18 @@ def recurring_lines(documents: DataFrame) -> DataFrame:
 
     Leaves, lines and templates are told apart by 64-bit hashes. Lines as they are (but for fields with digits) are
     counted by hashes alone. Templates are looked for in leaves that enough distinct texts reach; only their lines go
-    on with their tokens, one row for each distinct line, however often it occurs.
+    on with their tokens, one row for each distinct line, however often it occurs. Lines are written beside their
+    hashes, so that documents are cut into lines once.
     """
-    hashes = materialize(_lines(documents, False))
+    hashes = materialize(_lines(documents))
     same = _beyond_first(hashes.select("doc_id", "content", "pos", "line", "constants"), ["line"], enough(F.col("constants")))
     leaves = hashes.groupBy("leaf", "content").agg(F.min("pos").alias("_p")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     leaves = materialize(leaves.filter(F.col("n") >= LEAST_TEXTS).select("leaf"))
     held = materialize(hashes.join(leaves, "leaf", "left_semi").select("doc_id", "content", "pos", "leaf", "line"))
     texts = held.groupBy("leaf", "line", "content").agg(F.count(F.lit(1)).alias("_n")).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
     # the tokens of one line of each kind
-    tokens = _lines(documents, True).join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    shown = hashes.select("leaf", "line", "shown").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("shown").alias("shown"))
+    tokens = shown.select("leaf", "line", _tokens(F.col("shown")).alias("tokens"))
     cells = materialize(texts.join(tokens, ["leaf", "line"]).select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token")))
     # constants: tokens that enough texts have at this place of the leaf
     constants = cells.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter((F.col("n") >= LEAST_TEXTS) & (F.col("token") != FIELD)).select("leaf", "place", "token", F.lit(True).alias("constant"))

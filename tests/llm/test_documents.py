@@ -485,3 +485,20 @@ def test_components_are_those_of_a_walk(spark, seed):
     found = order_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in found} == smallest and len(found) == len(smallest)
     assert order_minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lines_are_cut_into_tokens_once(spark, documents):
+    """Tokens as a regular expression finds them, whatever white space stands between; documents are read for them once."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    shown = ["a b", " a\tb\x0bc\x0c d\r", "  ", "", "x1 y 2", "<*> z", "\xa0a\x1c b", "7\r\t8", "é\u2003 ü9"]
+    lines = line_templates._lines(documents([(1, "\n".join(shown)), (2, None)]))
+    kept = [(k, t) for k, t in enumerate(shown) if re.search(r"[^\x20\x09-\x0D]", t)]
+    assert sorted((r.pos, r.shown) for r in lines.collect()) == kept
+    tokens = {r.pos: r.t for r in lines.select("pos", line_templates._tokens(F.col("shown")).alias("t")).collect()}
+    masked = {k: ["<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", text)] for k, text in kept}
+    assert tokens == masked
+    constants = {r.pos: r.constants for r in lines.collect()}
+    assert constants == {k: sum(t != "<*>" for t in ts) for k, ts in masked.items()}
