@@ -75,8 +75,9 @@ def releases(segments: DataFrame) -> DataFrame:
     widths = sized.select("flow", "_width").distinct()
     wide = spans.join(widths, "flow").withColumn("_near", F.expr("start div _width"))
     meet = wide.join(over, ["flow", "_width", "_near"]).filter("start >= lo and start < hi").select("flow", "start", "stop", "arrival", "seq", "size")
-    covers = materialize(spans.join(meet, ["flow", "start", "stop"], "left"))
-    first = covers.groupBy("flow", "start", "stop").agg(F.min("arrival").alias("_first"))
+    covers = materialize(meet)
+    every = covers.select("flow", "start", "stop", "arrival").unionByName(spans.withColumn("arrival", F.lit(None)))
+    first = every.groupBy("flow", "start", "stop").agg(F.min("arrival").alias("_first"))
     holes = first.filter("_first is null").groupBy("flow").agg(F.min("start").alias("_hole"))
     known = first.join(holes, "flow", "left").filter("_hole is null or start < _hole").select("flow", "start", "_first")
     out = running(known, ["flow"], F.col("start"), ["start"], {"released": ("max", F.col("_first"))}, CELL).select("flow", "start", "released")
@@ -136,23 +137,36 @@ def lines(stream: DataFrame) -> DataFrame:
     """
     parts = F.split("text", "\r\n", -1)
     rows = stream.select("flow", "block", "from", F.posexplode(parts).alias("no", "line"))
+    blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    named = F.col("line").rlike(r"(?i)^[ \t]*content-length[ \t]*:")
+    short = F.lit("content-length:").startswith(F.lower(F.regexp_replace("line", r"[ \t]+", "")))
+    # what is asked of a line is worked out before lines meet their neighbours, so that no line itself is shuffled or sorted
+    told = rows.select(
+        "flow",
+        "block",
+        "from",
+        "no",
+        F.length("line").alias("_size"),
+        blanks.alias("_spaces"),
+        named.alias("_named"),
+        F.when(named, _length_of(F.col("line"))).alias("_value"),
+        F.when(F.col("line").rlike(r"^[ \t]*([cC]|$)"), short).otherwise(False).alias("_short"),
+    )
     inside = Window.partitionBy("flow", "block").orderBy("no")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    rows = rows.select(
+    found = told.select(
         "flow",
         "block",
-        (F.col("from") + F.sum(F.length("line") + 2).over(upto) - 2).alias("at"),
-        F.sum(blanks).over(upto).cast("bigint").alias("spaces"),
-        F.lead("line").over(inside).alias("_next"),
-        F.lead("line", 2).over(inside).isNotNull().alias("_closed"),
+        (F.col("from") + F.sum(F.col("_size") + 2).over(upto) - 2).alias("at"),
+        F.sum("_spaces").over(upto).cast("bigint").alias("spaces"),
+        *[F.lead(c).over(inside).alias(c) for c in ("_size", "_named", "_value", "_short")],
+        F.lead("_size", 2).over(inside).isNotNull().alias("_closed"),
     )
     # the last part has no CRLF behind it, and what is shown of the next block has its marks there
-    rows = rows.filter(F.col("_next").isNotNull() & (F.col("at") < (F.col("block") + 1) * BLOCK))
-    named = F.col("_next").rlike(r"(?i)^[ \t]*content-length[ \t]*:")
-    perhaps = ~F.col("_closed") & (named | F.lit("content-length:").startswith(F.lower(F.regexp_replace("_next", r"[ \t]+", ""))))
-    value = _length_of(F.col("_next"))
-    return rows.select("flow", "at", "spaces", (F.col("_closed") & (F.col("_next") == "")).alias("ends_header"), F.when(F.col("_closed") & named, value).alias("length"), perhaps.alias("_open"))
+    found = found.filter(F.col("_size").isNotNull() & (F.col("at") < (F.col("block") + 1) * BLOCK))
+    ends = (F.col("_closed") & (F.col("_size") == 0)).alias("ends_header")
+    perhaps = ~F.col("_closed") & (F.col("_named") | F.col("_short"))
+    return found.select("flow", "at", "spaces", ends, F.when(F.col("_closed") & F.col("_named"), F.col("_value")).alias("length"), perhaps.alias("_open"))
 
 
 def _length_of(line: Column) -> Column:
@@ -162,14 +176,22 @@ def _length_of(line: Column) -> Column:
 
 def cut(stream: DataFrame, ranges: DataFrame) -> DataFrame:
     """The ranges (``flow, begin, end``, which may be empty, and others) with their bytes as ``text``."""
-    wanted = ranges.withColumn("_block", F.explode(F.expr(f"sequence(begin div {BLOCK}, greatest(begin, end - 1) div {BLOCK})")))
+    ranges = materialize(ranges)
+    first, last = F.expr(f"begin div {BLOCK}"), F.expr(f"greatest(begin, end - 1) div {BLOCK}")
     held = stream.select(F.col("flow").alias("_flow"), F.col("block").alias("_at"), "from", F.col("text").alias("_text"))
-    met = wanted.join(held, (F.col("flow") == F.col("_flow")) & (F.col("_block") == F.col("_at")))
-    begin = F.greatest(F.col("begin"), F.col("from"))
-    end = F.least(F.col("end"), (F.col("_block") + 1) * BLOCK)
-    part = F.substring("_text", (begin - F.col("from") + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
-    pieces = F.collect_list(F.struct(begin.alias("start"), part.alias("text")))
-    return met.groupBy(*ranges.columns).agg(_joined(pieces).alias("text"))
+
+    def parts(wanted: DataFrame) -> DataFrame:
+        met = wanted.join(held, (F.col("flow") == F.col("_flow")) & (F.col("_block") == F.col("_at")))
+        begin = F.greatest(F.col("begin"), F.col("from"))
+        end = F.least(F.col("end"), (F.col("_block") + 1) * BLOCK)
+        part = F.substring("_text", (begin - F.col("from") + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+        return met.select(*ranges.columns, begin.alias("_begin"), part.alias("text"))
+
+    # a range inside a block is whole at once; others are put together from their blocks
+    whole = parts(ranges.filter(first == last).withColumn("_block", first)).drop("_begin")
+    several = parts(ranges.filter(first != last).withColumn("_block", F.explode(F.sequence(first, last))))
+    pieces = F.collect_list(F.struct(F.col("_begin").alias("start"), "text"))
+    return whole.unionByName(several.groupBy(*ranges.columns).agg(_joined(pieces).alias("text")))
 
 
 def arrival_at(pieces: DataFrame, positions: DataFrame, at: str) -> DataFrame:

@@ -170,3 +170,33 @@ def test_logins_in_the_packets_are_seen(spark):
     assert sorted((r["packet_no"], r["src_ip"], r["success"], r["auth_type"]) for r in found) == [
         (2, "10.0.0.1", False, "http"), (6, "10.0.0.1", False, "ftp"), (6, "10.0.0.1", True, "ftp"),
     ]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_not_shuffled_with_their_text(spark):
+    rows = [(1, 0, 0, "A: b c\r\nContent-Length : 12\r\n\r\n content-le"), (2, 0, 3, "x\r\ny")]
+    found = byte_stream.lines(spark.createDataFrame(rows, "flow long, block long, from long, text string"))
+    got = sorted(tuple(r) for r in found.select("flow", "at", "spaces", "ends_header", "length", "_open").collect())
+    assert got == [(1, 6, 2, False, 12, False), (1, 27, 4, True, None, False), (1, 29, 4, False, None, True), (2, 4, 0, False, None, False)]
+    assert "lead(line" not in _plan(found)
+
+
+def test_only_ranges_over_several_blocks_are_put_together(spark):
+    size = byte_stream.BLOCK
+    text = "".join(chr(33 + k % 90) for k in range(2 * size + 500))
+    blocks = [(7, k, k * size, text[k * size : (k + 1) * size + byte_stream.OVER]) for k in range(3)]
+    stream = spark.createDataFrame(blocks, "flow long, block long, from long, text string")
+    ranges = [(7, 5, 9), (7, 5, 5), (7, size - 3, size + 2), (7, 10, 2 * size + 30), (7, size, 2 * size), (7, size - 2, size)]
+    found = byte_stream.cut(stream, spark.createDataFrame(ranges, "flow long, begin long, end long"))
+    assert {(r.begin, r.end): r.text for r in found.collect()} == {(b, e): text[b:e] for _, b, e in ranges}
+    assert "Union" in _plan(found)  # ranges inside a block take no part in the grouping
+
+
+def test_spans_that_nothing_covers_end_what_is_released(spark):
+    rows = [(1, 0, 100, 10), (1, 1, 105, 10), (1, 2, 130, 5), (2, 0, 7, 3), (2, 1, 7, 3)]
+    found = byte_stream.releases(spark.createDataFrame(rows, "flow long, arrival long, seq long, size long"))
+    got = sorted((r.flow, r.start, r.stop, r.arrival, r.skip, r.released) for r in found.collect())
+    assert got == [(1, 100, 105, 0, 0, 0), (1, 105, 110, 0, 5, 0), (1, 110, 115, 1, 5, 1), (2, 7, 10, 0, 0, 0)]
