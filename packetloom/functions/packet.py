@@ -158,7 +158,12 @@ def dns_question(payload: Column) -> Column:
 
         return let(F.coalesce(byte_at(payload, pos), F.lit(0)), take)
 
-    few, all_ = F.sequence(F.lit(1), F.lit(32)), F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(size / 2).cast("int")))
+    # every label takes two bytes at least; steps after the end of the name are passed over 32 at a time
+    few, runs = F.sequence(F.lit(1), F.lit(32)), F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(size / 64).cast("int")))
+
+    def walk(acc, _):
+        return F.when(acc["done"], acc).otherwise(F.aggregate(few, acc, step))
+
     questions = byte_at(payload, 4) * 256 + byte_at(payload, 5)
     asked = (size > 12) & (questions > 0)
     empty = F.struct(
@@ -182,11 +187,7 @@ def dns_question(payload: Column) -> Column:
             F.when(asked & (pos + 2 < size), let(number, kind)).alias("record_type"),
         )
 
-    # names have few labels; only a longer walk goes on over the whole payload
-    found = let(
-        F.aggregate(few, start, step),
-        lambda w: F.when(w["done"], answer(w)).otherwise(let(F.aggregate(all_, w, step), answer)),
-    )
+    found = let(F.aggregate(runs, start, walk), answer)
     return F.when((size < 12) | size.isNull(), empty).otherwise(found)
 
 

@@ -221,13 +221,11 @@ def _candidate_starts(stream: DataFrame, marks: DataFrame) -> DataFrame:
     return ends.select("flow", F.explode(behind).alias("at")).unionByName(origin).distinct()
 
 
-def message_frames(stream: DataFrame, responses: bool) -> DataFrame:
-    """``flow, start, header_end, stop`` of the complete requests or responses in the blocks of streams.
+def message_nodes(stream: DataFrame) -> DataFrame:
+    """Every place of the streams where a message can begin, with what stands there, written; for ``message_frames``.
 
-    A message ends with the body that the last Content-Length line of its header announces; the next one begins there.
-    Header blocks that are no message are passed over, and nothing follows a message whose body is incomplete. Every
-    possible start points to the one after it; the starts that follow from a stream's first one are found by doubling
-    the pointers, in as many rounds as a chain's length has binary digits.
+    ``flow, start, header_end, _total``, the first bytes (``_head``), the words of the first line, its CRLF (``_line_end``)
+    and the announced length.
     """
     marks = materialize(_with_open_lines(stream, lines(stream)))
     totals = stream.groupBy("flow").agg(F.max(F.col("from") + F.length("text")).alias("_total"))
@@ -260,24 +258,43 @@ def message_frames(stream: DataFrame, responses: bool) -> DataFrame:
     end = F.when(mark & F.col("ends_header"), F.struct("at", "_last"))
     nodes = running(rows, ["flow"], back, [F.col("at").desc(), "_start"], {"_crlf": ("min", crlf), "_end": ("min", end)}, CELL)
     words = F.col("_crlf.spaces") - F.col("spaces") + 1
-    answer = (F.col("_head") == "HTTP/") & (F.col("_crlf.at") >= F.col("at") + 5)
-    bad = ((words < 2) | ~answer) if responses else (words < 3)
-    wanted = F.lit(True) if responses else ~answer
     length = F.when(F.col("_end._last.line") >= F.col("at"), F.col("_end._last.length")).otherwise(0)
-    stop = F.when(bad, F.col("_end.at") + 4).otherwise(F.col("_end.at") + 4 + length)
-    nodes = nodes.filter("_start = 1 and _end is not null").select("flow", F.col("at").alias("start"), F.col("_end.at").alias("header_end"), stop.alias("stop"), (~bad & wanted).alias("_wanted"), "_total")
-    nodes = materialize(nodes.filter("stop <= _total"))
+    found = nodes.filter("_start = 1 and _end is not null")
+    return materialize(
+        found.select(
+            "flow", F.col("at").alias("start"), F.col("_end.at").alias("header_end"), "_total", "_head",
+            words.alias("_words"), F.col("_crlf.at").alias("_line_end"), length.alias("_length"),
+        )
+    )
+
+
+def message_frames(stream: DataFrame, responses: bool, nodes: DataFrame | None = None) -> DataFrame:
+    """``flow, start, header_end, stop`` of the complete requests or responses in the blocks of streams.
+
+    A message ends with the body that the last Content-Length line of its header announces; the next one begins there.
+    Header blocks that are no message are passed over, and nothing follows a message whose body is incomplete. Every
+    possible start points to the one after it; the starts that follow from a stream's first one are found by doubling
+    the pointers, in as many rounds as a chain's length has binary digits. ``nodes`` are the stream's ``message_nodes``,
+    where they are at hand already.
+    """
+    nodes = message_nodes(stream) if nodes is None else nodes
+    answer = (F.col("_head") == "HTTP/") & (F.col("_line_end") >= F.col("start") + 5)
+    bad = ((F.col("_words") < 2) | ~answer) if responses else (F.col("_words") < 3)
+    wanted = F.lit(True) if responses else ~answer
+    stop = F.when(bad, F.col("header_end") + 4).otherwise(F.col("header_end") + 4 + F.col("_length"))
+    nodes = nodes.select("flow", "start", "header_end", stop.alias("stop"), (~bad & wanted).alias("_wanted"), "_total").filter("stop <= _total")
     origin = materialize(stream.groupBy("flow").agg(F.min("from").alias("start")))
     reached = _followed(nodes.select("flow", "start", F.col("stop").alias("next")), origin)
     return nodes.filter("_wanted").join(reached, ["flow", "start"], "left_semi").select("flow", "start", "header_end", "stop")
 
 
-def http_messages(stream: DataFrame, responses: bool = False) -> DataFrame:
+def http_messages(stream: DataFrame, responses: bool = False, nodes: DataFrame | None = None) -> DataFrame:
     """``flow, begin, end, m``: the complete HTTP requests or responses in the blocks of streams, with their positions.
 
     ``m`` is as one of ``http_requests`` or ``http_responses``. Only a single message is ever brought together.
+    ``nodes`` as for ``message_frames``.
     """
-    frames = message_frames(stream, responses).select("flow", F.col("start").alias("begin"), F.col("stop").alias("end"), "header_end")
+    frames = message_frames(stream, responses, nodes).select("flow", F.col("start").alias("begin"), F.col("stop").alias("end"), "header_end")
     head = (F.col("header_end") - F.col("begin")).cast("int")
     block, body = F.col("text").substr(F.lit(1), head), F.col("text").substr(head + 5, F.length("text"))
     fields = response_fields if responses else request_fields

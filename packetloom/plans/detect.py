@@ -41,27 +41,42 @@ class Detection:
 
 def routed(packets: DataFrame) -> DataFrame:
     """Packets with their application protocol, named buffers, directed flow and detection path."""
+    return _with_buffers(_headers(packets))
+
+
+def _headers(packets: DataFrame) -> DataFrame:
+    """``routed`` packets without the named buffers, which only rule matching looks at."""
     p = {c: F.col(c) for c in ("proto", "src_ip", "dst_ip", "src_port", "dst_port", "payload")}
-    out = packet.header_projection(packets).withColumns(
+    return packet.header_projection(packets.drop("buffers")).withColumns(
         {
             "route": packet.packet_route(p["proto"], p["payload"]),
             "app_proto": packet.app_protocol(p["proto"], p["src_port"], p["dst_port"], p["payload"]),
             "flow": packet.directed_flow_id(p["proto"], p["src_ip"], p["src_port"], p["dst_ip"], p["dst_port"]),
         }
     )
-    return out.withColumn("buffers", packet.sticky_buffers(F.col("app_proto"), p["proto"], p["payload"]))
 
 
-def _with_flow_state(matches: DataFrame, packets: DataFrame, stream: bool) -> DataFrame:
-    """Matches whose flow keywords fit the state of their TCP flow.
+def _with_buffers(packets: DataFrame) -> DataFrame:
+    """Packets with the named buffers of their own payload, where they have none yet."""
+    if "buffers" in packets.columns:
+        return packets
+    return packets.withColumn("buffers", packet.sticky_buffers(F.col("app_proto"), F.col("proto"), F.col("payload")))
 
-    The state is computed from headers alone and joined to the matches, so no
-    payload is shuffled for it.
-    """
+
+def _flow_states(packets: DataFrame) -> DataFrame:
+    """``packet_no, flow_established, flow_dir`` of the TCP packets, from headers alone; read for packet and stream matches."""
     headers = packets.filter("proto = 'TCP'").select(
         "packet_no", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags"
     )
-    state = flows.flow_state(headers).select("packet_no", "flow_established", "flow_dir")
+    return materialize(flows.flow_state(headers).select("packet_no", "flow_established", "flow_dir"))
+
+
+def _with_flow_state(matches: DataFrame, state: DataFrame, stream: bool) -> DataFrame:
+    """Matches whose flow keywords fit the state of their TCP flow.
+
+    The state (as from ``_flow_states``) is joined to the matches, so no payload
+    is shuffled for it.
+    """
     bare = matches.drop("flow_established", "flow_dir", "stream")
     joined = bare.join(state, "packet_no", "left").withColumn("stream", F.lit(stream))
     return joined.filter(flow_filter(F.col("flow_tokens"))).drop("flow_tokens")
@@ -71,7 +86,7 @@ def raw_matches(packets: DataFrame, rules: PreparedRules) -> DataFrame:
     """Matches on single payloads, flow keywords still open (``flow_tokens``)."""
     wanted = packets.filter(F.col("route").isin("raw", "ip") & (F.length("payload") > 0))
     preview = F.trim(packet.utf8_lossy(F.col("payload").substr(1, 100)))
-    matched = match_packets(wanted, rules, defer_flow=True)
+    matched = match_packets(_with_buffers(wanted), rules, defer_flow=True)
     return matched.withColumn("preview", preview).drop("payload", "buffers")
 
 
@@ -108,7 +123,7 @@ def stream_matches(packets: DataFrame, raw: DataFrame, rules: PreparedRules, num
     )
     others = pieces.join(whole.filter("not same").select("flow", "released"), ["flow", "released"], "left_semi")
     chunks = byte_stream.chunks_of(segments, others).select(F.col("arrival").alias("packet_no"), F.col("data").alias("_chunk"))
-    cut = tcp.join(chunks, "packet_no").withColumn("payload", F.col("_chunk")).drop("_chunk")
+    cut = _with_buffers(tcp.join(chunks, "packet_no")).withColumn("payload", F.col("_chunk")).drop("_chunk")
     preview = F.trim(packet.utf8_lossy(F.col("payload").substr(1, 100)))
     again = match_packets(cut, rules, defer_flow=True)
     return same.unionByName(again.withColumn("preview", preview).drop("payload", "buffers"))
@@ -131,9 +146,10 @@ def http_messages(packets: DataFrame, numbers: DataFrame) -> tuple[DataFrame, Da
     pieces = materialize(byte_stream.releases(named.select("flow", "arrival", "seq", F.length("data").alias("size"))))
     stream = byte_stream.blocks(byte_stream.piece_data(named, pieces))
     heads = segments.drop("seq", "payload")
+    nodes = byte_stream.message_nodes(stream)  # the same for requests and responses
 
     def timed(responses: bool) -> DataFrame:
-        found = byte_stream.http_messages(stream, responses).withColumn("_last", F.col("end") - 1)
+        found = byte_stream.http_messages(stream, responses, nodes).withColumn("_last", F.col("end") - 1)
         found = byte_stream.arrival_at(pieces, found, "_last").withColumnRenamed("arrival", "packet_no")
         return materialize(found.join(heads, ["flow", "packet_no"]).select(*heads.columns, F.col("begin").alias("msg_no"), "m"))
 
@@ -180,8 +196,9 @@ def detect_rules(
     raw = materialize(raw_matches(packets, rules))
     numbers = connection_numbers(packets) if numbers is None else numbers
     requests, responses = http_messages(packets, numbers) if messages is None else messages
-    single = _with_flow_state(raw, packets, stream=False)
-    streamed = _with_flow_state(stream_matches(packets, raw, rules, numbers), packets, stream=True)
+    state = _flow_states(packets)
+    single = _with_flow_state(raw, state, stream=False)
+    streamed = _with_flow_state(stream_matches(packets, raw, rules, numbers), state, stream=True)
     ports = single.filter("route = 'raw'")
     hits = rule_alerts(streamed, "stream").withColumn("mode", F.lit(0)).unionByName(
         rule_alerts(ports, "packet").withColumn("mode", F.lit(1))
@@ -222,7 +239,8 @@ def detect(
     settings = settings or Settings()
     if "size" not in packets.columns:
         packets = packets.withColumn("size", F.coalesce(F.length("payload"), F.lit(0)))
-    ready = routed(packets)
+    # every step reads the packets: they are read, routed and written once, and a step reads the columns it needs
+    ready = materialize(_headers(packets))
     numbers = connection_numbers(ready)
     messages = http_messages(ready, numbers)
     matched = materialize(detect_rules(ready, prepare_rules(rules), numbers, messages))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import http
 from packetloom.operators import behavior, byte_stream, flows
 from packetloom.plans import detect
+from packetloom.plans.queries_rules import make_rules
 
 BASE = datetime(2024, 1, 1, tzinfo=timezone.utc).replace(tzinfo=None)
 SEGMENTS = "flow string, arrival long, seq long, data binary"
@@ -172,6 +173,33 @@ def test_logins_in_the_packets_are_seen(spark):
     ]
 
 
+def test_detection_reads_its_packets_once(spark):
+    ask = b"GET /license HTTP/1.1\r\nHost: h\r\n\r\n"
+    rows = [packet(1, 0, ask, 1), packet(2, 5, b"a License text", 1, port=8000), packet(3, 90, b"nothing", 90, port=9000)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    packets = spark.createDataFrame(rows, PACKETS).mapInArrow(counted, PACKETS)
+    run = detect.detect(packets, make_rules(spark, [{"id": "lic", "contents": [("license", {"nocase": True})]}]))
+    assert [r["match_text"] for r in run.rule_alerts.filter("packet_no = 2 and match_rule = 'lic'").collect()] == ["license"]
+    assert seen.value == len(rows)
+
+
+def test_requests_and_responses_from_the_same_nodes(spark):
+    text = "GET /a HTTP/1.1\r\nContent-Length: 3\r\n\r\nxyzHTTP/1.1 200 OK\r\n\r\nno\r\n\r\nPUT /b HTTP/1.1\r\n\r\n"
+    rows = [(1, 0, 5, text), (2, 0, 0, "HTTP/1.1 302 Go\r\n\r\nHTTP/1.1 404 No\r\nContent-Length: 2\r\n\r\nab"), (3, 0, 0, "")]
+    stream = spark.createDataFrame(rows, "flow long, block long, from long, text string")
+    nodes = byte_stream.message_nodes(stream)
+    for responses in (False, True):
+        alone = sorted(map(tuple, byte_stream.message_frames(stream, responses).collect()))
+        assert sorted(map(tuple, byte_stream.message_frames(stream, responses, nodes).collect())) == alone
+        assert [f[:2] for f in alone] == ([(2, 0), (2, 19)] if responses else [(1, 5), (1, 5 + text.index("PUT"))])
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 

@@ -1,5 +1,7 @@
 """Column functions on the pinned cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,22 @@ def test_dns_question(spark):
     assert got["domain"] == ".".join("x" * 60) and got["record_type"] == "AAAA"
 
 
+def test_dns_names_of_any_length(spark):
+    def plain(data):
+        pos, labels = 12, []
+        while pos < len(data) and data[pos] and pos + data[pos] + 1 < len(data):
+            labels.append(data[pos + 1 : pos + 1 + data[pos]].decode())
+            pos += data[pos] + 1
+        return ".".join(labels) or None
+
+    rng = random.Random(3)
+    cases = [DNS[:12] + bytes(rng.choice((1, 2, 3, 97)) for _ in range(n)) for n in (0, 1, 2, 50, 51, 52, 53, 64, 116, 117, 900, 6000)]
+    cases += [DNS[:12] + b"\x01x" * n + end for n in (31, 32, 33, 63, 64, 65, 400) for end in (b"", b"\x00", b"\x00\x00\x01")]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, b binary")
+    found = {r["i"]: r["domain"] for r in df.select("i", packet.dns_question(F.col("b"))["domain"].alias("domain")).collect()}
+    assert {i: found[i] for i, c in enumerate(cases) if len(c) > 12} == {i: plain(c) for i, c in enumerate(cases) if len(c) > 12}
+
+
 def test_sanitize(spark):
     assert one(spark, alerts.sanitize_text(F.col("t")), t="A\0B\nC") == "A\\x00B\\x0aC"
     assert one(spark, alerts.sanitize_text(F.col("t")), t="a  b " + "x" * 500) == ("a b " + "x" * 396) + "…"
